@@ -9,8 +9,9 @@ they do not depend on the order in which tasks add them up.
 A source may hold any share of all rows, so that its prefix sum is never one
 task's: the source is cut into blocks (a band of sizes, then a salt); block
 totals are counted before the shuffle, their prefix sums run over the blocks,
-and only the rows of one block are sorted together. Sizes descend from block to block, which
-stratifies the sample by size and keeps the taken words near the target.
+and only the rows of one block are sorted together. Half of the rows (by hash) stand by falling
+size, the other half after them by rising size: the sample is stratified by size, and what the offset
+adds on the way down it takes back on the way up, which keeps the taken words near the target.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     size and the excess is shared again by weight. Sorted by cap over weight,
     the sources that reach their cap come first; for the i-th,
     level = (total - caps before) / (weights from i on), and the first source
-    whose cap isn't below level * weight sets the level for it and all after.
+    whose cap isn't below level * weight sets the level for it and all after. Levels
+    fall from there on, so that it is the highest of those that qualify.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -51,7 +53,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     every = Window.partitionBy()
     t = t.withColumn("total", F.sum("source_size").over(every).cast("double"))
     t = t.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    t = t.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every))
+    t = t.withColumn("level", F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every))
     # no level only if rounding put each one a hair above its ratio: every source is then full
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
@@ -67,9 +69,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     src, band, salt, tie, mass, step, rank, blk = missing_names(docs, "m_source", "m_band", "m_salt", "m_tie", "m_mass", "m_step", "m_rank", "m_block")
     sized = docs.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn(src, F.col(f"`{source}`"))
-    # eighth-octave bands of the size; the largest first
-    sized = sized.withColumn(band, F.floor(F.log2(F.col("size") + F.lit(1.0)) * -8).cast("int"))
     sized = sized.withColumn(tie, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col("size")))
+    # eighth-octave bands of the size: 0 and below as sizes fall, 1 and above as they rise
+    octave = F.floor(F.log2(F.col("size") + F.lit(1.0)) * -8).cast("int")
+    sized = sized.withColumn(band, F.when(F.col(tie) < 0, octave).otherwise(1 - octave))
     n_by_band = sized.groupBy(src, band).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     by_source = n_by_band.groupBy(F.col(src).alias("source")).agg(F.sum("words").alias("source_size"))
     targets = source_targets(by_source, weights, max_repeat)
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     blocks = blocks.withColumn("n_before", F.coalesce(F.sum("n").over(Window.partitionBy(src).orderBy(band, salt).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blocks = blocks.join(targets, blocks[src].eqNullSafe(targets.t_source))
     blocks = blocks.select(F.col(src).alias("k_source"), F.col(band).alias("k_band"), F.col(salt).alias("k_salt"), "n_before", "t_size", "t_target", "t_step")
-    inner = Window.partitionBy(src, band, salt).orderBy(F.col("size").desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(src, band, salt).orderBy(F.when(F.col(band) <= 0, -F.col("size")).otherwise(F.col("size")), tie).rowsBetween(Window.unboundedPreceding, 0)
     ranked = sized.withColumn(rank, F.count(F.lit(1)).over(inner))
     out = ranked.join(blocks, ranked[src].eqNullSafe(blocks.k_source) & (ranked[band] == blocks.k_band) & (ranked[salt] == blocks.k_salt))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col(src)), F.lit(UNIT))

@@ -15,10 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import missing_names, saved, scratch, small_batches, table
+from graphloom.llm.common import missing_names, saved, small_batches, table
 
 RADIUS = 2
 SHINGLE = 3
@@ -52,17 +52,16 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp",
     """The columns ``keep`` of ``docs`` and the fingerprint as a (signed) long."""
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    spark_schema = docs.select(*[F.col(f"`{c}`") for c in keep])
-    inner = spark_schema.withColumn("fp_text", docs[f"`{text}`"]) if "fp_text" not in keep else None
-    assert inner is not None, "fp_text is a reserved name"
-    schema = spark_schema.withColumn(name, F.lit(0).cast("long")).schema
+    columns = [F.col(f"`{c}`") for c in keep]
+    (held,) = missing_names(docs, "fp_text")
+    schema = docs.select(*columns, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(len(keep))), "<u8", b.num_rows).view("<i8")
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp, pa.int64())], names=[*b.schema.names[: len(keep)], name])
 
-    return inner.mapInArrow(run, schema)
+    return docs.select(*columns, F.col(f"`{text}`").alias(held)).mapInArrow(run, schema)
 
 
 def within(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
