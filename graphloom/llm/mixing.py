@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, missing_names, table
+from graphloom.llm.common import WORD, missing_names, saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -58,9 +58,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42, text: str = "text", source: str = "source", key: str = "doc_id", words: Column | None = None) -> DataFrame:
     """Adds size, source_size, target, copies, taken (long but target: double) to each row of ``docs``.
 
+    ``words`` gives the sizes where they are at hand; else the words of ``text`` are counted.
     Null texts have size 0; sources that are null are one source, by weight the last; empty
     sources have target 0 and no copies. Ties and repeated rows are ordered by key and text hash; equal
     rows may swap their copies. Of columns that bear the added names, the added ones stay.
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     src, band, salt, tie, mass, step, rank, blk = missing_names(docs, "m_source", "m_band", "m_salt", "m_tie", "m_mass", "m_step", "m_rank", "m_block")
-    sized = docs.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn(src, F.col(f"`{source}`"))
+    sized = docs.withColumn("size", word_count(F.col(f"`{text}`")) if words is None else words).withColumn(src, F.col(f"`{source}`"))
     sized = sized.withColumn(tie, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col("size")))
     # eighth-octave bands of the size: 0 and below as sizes fall, 1 and above as they rise
     octave = F.floor(F.log2(F.col("size") + F.lit(1.0)) * -8).cast("int")
@@ -103,5 +104,6 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    docs = table(spark, sf_dir, "documents")
+    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "mixing_sizes")
+    return mix(sizes, words=F.col("n_words")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
