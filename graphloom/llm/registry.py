@@ -5,8 +5,10 @@ from __future__ import annotations
 from graphloom.llm.mixing import op2_source_mixing
 from graphloom.llm.packing import op5_best_fit_packing
 from graphloom.llm.simhash import op10_simhash_components
+from graphloom.llm.weighted_sampling import op1_weighted_fingerprints
 
 QUERIES = {
+    "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_source_mixing": op2_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_simhash_components": op10_simhash_components,
