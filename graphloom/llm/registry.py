@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from graphloom.llm.chat import OP7_SQL, op7_perspective_rotation
+from graphloom.llm.forest import op8_prefix_forest
+from graphloom.llm.line_dedup import op6_line_dedup
 from graphloom.llm.mixing import op2_source_mixing
 from graphloom.llm.packing import op5_best_fit_packing
 from graphloom.llm.simhash import op10_simhash_components
@@ -11,7 +14,10 @@ QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_source_mixing": op2_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_perspective_rotation": op7_perspective_rotation,
+    "op8_prefix_forest": op8_prefix_forest,
     "op10_simhash_components": op10_simhash_components,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_perspective_rotation": OP7_SQL}
