@@ -17,15 +17,17 @@ Jaccard similarity of at least 0.8 to it, whether that one stays or goes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WORD, missing_names, saved, table
 
 SHINGLE = 5
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 #: A node with over 1 / HOT_SHARE of all lines (so HOT_SHARE nodes at most) is cut to its first line before the deal.
-HOT_SHARE = 1000
+HOT_SHARE = 10_000
 FILTER_WORDS = 1 << 16
 #: Jaccard similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
@@ -41,9 +43,25 @@ def with_words(rows: DataFrame) -> DataFrame:
 
 
 def with_tokens(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``words`` as ``toks``, the distinct hashes of the shingles."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, shingle)))
-    return rows.withColumn("toks", F.explode(F.array(F.array_distinct(many)))).drop("words")
+    """``words`` as ``toks``, the distinct hashes of the shingles (a line of fewer words is one).
+
+    Hashes of runs double in length: of 1 word, 2, 4 and so on, then of ``shingle`` words from the two runs
+    that cover it, each step one pass over the line.
+    """
+    def stepped(df, a, b, by, out):  # hash of a's i-th and b's (i + by)-th, where both are
+        later = F.slice(b, by + 1, F.greatest(F.size(b) - by, F.lit(0)))
+        return df.withColumn(out, F.zip_with(F.slice(a, 1, F.greatest(F.size(b) - by, F.lit(0))), later, lambda x, y: F.xxhash64(x, y)))
+
+    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    size = 1
+    while size * 2 <= shingle:
+        rows = stepped(rows, f"h{size}", f"h{size}", size, f"h{size * 2}")
+        size *= 2
+    if size < shingle:
+        rows = stepped(rows, f"h{size}", f"h{size}", shingle - size, f"h{shingle}")
+    many = F.when(F.size("words") < shingle, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(f"h{shingle}"))
+    rows = rows.select(*[c for c in rows.columns if c not in ("words", "h1", "h2", "h4", "h8", f"h{size}", f"h{shingle}")], F.explode(F.array(many)).alias("toks"))
+    return rows
 
 
 def lines(docs: DataFrame, text: str, key: str, test: Column | None = None) -> DataFrame:
@@ -55,15 +73,15 @@ def lines(docs: DataFrame, text: str, key: str, test: Column | None = None) -> D
     return d.select("did", "dh", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
 
 
-def rarity_classes(rows: DataFrame, shingle: int = SHINGLE) -> bytes:
-    """A byte for each bucket of tokens: four classes an octave of the bucket's count (at most 2^31). ``rows``: words."""
-    each = rows.select("words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (shingle - 1), F.lit(1)))).alias("i"))
-    token = F.xxhash64(F.slice("words", F.col("i"), shingle))  # as with_tokens has it, but compiled
-    counted = each.groupBy(token.bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
-    out = bytearray(BUCKETS)
-    for r in counted.select("b", F.least(F.lit(127), F.floor(F.log2(F.col("count") + F.lit(1.0)) * 4)).cast("int").alias("c")).collect():  # BUCKETS rows at most
-        out[r["b"]] = r["c"]
-    return bytes(out)
+def rarity_classes(rows: DataFrame) -> list[int]:
+    """A class of 0 to 127 for each bucket of tokens: how far its count is above or below the mean, by the logarithm of standard deviations. ``rows``: toks."""
+    counted = rows.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
+    mean = sum(r["count"] for r in counted) / BUCKETS
+    out = [0] * BUCKETS
+    for r in counted:
+        z = (r["count"] - mean) / math.sqrt(mean)
+        out[r["b"]] = max(0, min(127, 64 + int(math.copysign(6 * math.log2(1 + abs(z)), z))))
+    return out
 
 
 def need(n: Column) -> Column:
@@ -86,17 +104,17 @@ def member_filter(rows: DataFrame, *names: str) -> Column:
     """A test of columns ``names`` that passes all of ``rows`` and few others: a bitmap of FILTER_WORDS longs, whatever the input."""
     h = F.pmod(F.xxhash64(*names), F.lit(FILTER_WORDS * 63))
     words = rows.select(h.alias("h")).groupBy(F.floor(F.col("h") / 63).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 63 as int))")).alias("v"))
-    raw = bytearray(FILTER_WORDS * 8)
+    bits = [0] * FILTER_WORDS
     for r in words.collect():  # FILTER_WORDS rows at most
-        raw[8 * r["w"] : 8 * r["w"] + 8] = r["v"].to_bytes(8, "big")
-    word = F.conv(F.hex(F.substring(F.lit(raw), (F.floor(h / 63) * 8 + 1).cast("int"), F.lit(8))), 16, 10).cast("long")
-    return F.call_function("shiftright", word, (h % 63).cast("int")).bitwiseAND(F.lit(1)) == 1
+        bits[r["w"]] = r["v"]
+    held = rows.sparkSession.createDataFrame([(bits,)], "bits array<long>").scalar()
+    return F.call_function("shiftright", F.get(held, F.floor(h / 63).cast("int")), (h % 63).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(did, dh, line_no) of every line to remove."""
     base = with_words(lines(docs, text, key))
-    classes = rarity_classes(base, shingle)
+    classes = rarity_classes(with_tokens(base, shingle))
     at = F.struct("did", "dh", "line_no")
     base = base.withColumn("lid", F.xxhash64("words"))
     occurrences = saved(base.select("did", "dh", "line_no", "lid"), "line_occurrences")
@@ -107,24 +125,26 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shin
 
     # a token under its class: the class above the hash's upper 56 bits, so that the order of rarity is the order of numbers
     table_of = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # folded to one literal
-    rarest = F.array_sort(F.transform("toks", lambda t: F.shiftleft(F.get(table_of, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+    rarest = F.sort_array(F.transform("toks", lambda t: F.shiftleft(F.get(table_of, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
     n = F.size("toks")
     prefix = F.posexplode(F.slice(rarest, 1, n - need(n) + 1))
-    p = with_tokens(dealt, shingle).select("did", "dh", "line_no", "lid", n.alias("n"), prefix.alias("i", "tok"))
-    p = p.select("tok", "lid", "did", "dh", F.col("line_no"), (F.col("n") * F.lit(1 << 32) + F.col("i") + 1).alias("np"))
-    p = p.repartition("tok").groupBy("tok", "lid").agg(F.min(at).alias("first"), F.first("np").alias("np"))
+    p = with_tokens(dealt.select("did", "line_no", "lid", "words"), shingle).select("did", "line_no", "lid", n.alias("n"), prefix.alias("i", "tok"))
+    p = p.select("tok", "lid", "did", "line_no", (F.col("n") * F.lit(1 << 32) + F.col("i") + 1).alias("np"))
+    p = p.repartition("tok").groupBy("tok", "lid").agg(F.min(F.struct("did", "line_no")).alias("early"), F.first("np").alias("np"))
     by_token = Window.partitionBy("tok")
-    p = p.withColumn("lead", F.min(F.struct("first", "lid", "np")).over(by_token)).withColumn("last", F.max("lid").over(by_token)).withColumn("least", F.min("lid").over(by_token))
+    p = p.withColumn("lead", F.min(F.struct("early", "lid", "np")).over(by_token)).withColumn("last", F.max("lid").over(by_token)).withColumn("least", F.min("lid").over(by_token))
     split = lambda c: (F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    shared = p.where("last <> least").select("tok", F.struct("lid", "first", *split("np")).alias("x"), F.struct("lead.lid", "lead.first", *split("lead.np")).alias("y"))
-    shared = saved(shared, "line_shared")
+    shared = p.where("last <> least").select("tok", F.struct("lid", *split("np")).alias("x"), F.struct("lead.lid", *split("lead.np")).alias("y"))
+    place = nodes.select(F.col("lid").alias("n_lid"), "first")
+    shared = saved(shared.join(place, F.col("x.lid") == F.col("n_lid")).drop("n_lid"), "line_shared")
 
-    pairs = shared.where("x.lid <> y.lid").where(fits("x", "y")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
+    pairs = shared.where("x.lid <> y.lid").where(fits("x", "y")).select(F.col("first").alias("u"), F.col("y.lid").alias("l")).distinct()
+    pairs = pairs.join(place.withColumnRenamed("first", "v"), F.col("l") == F.col("n_lid")).select(F.when(F.col("u") < F.col("v"), F.col("v")).otherwise(F.col("u")).alias("a"), F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v")).alias("b"))
     met = matches(docs, pairs, text, key, shingle)
-    rest = shared.join(met.withColumnRenamed("a", "m"), F.col("x.first") == F.col("m"), "left_anti").where("x.lid <> y.lid")
-    others = shared.select("tok", F.col("x").alias("z"))
-    more = rest.join(others, "tok").where("z.first < x.first and z.lid <> y.lid").where(fits("x", "z"))
-    met2 = matches(docs, more.select(F.col("x.first").alias("a"), F.col("z.first").alias("b")).distinct(), text, key, shingle)
+    rest = shared.join(met.withColumnRenamed("a", "m"), F.col("first") == F.col("m"), "left_anti")
+    others = shared.select("tok", F.col("x").alias("z"), F.col("first").alias("z_first"))
+    more = rest.join(others, "tok").where("z_first < first").where("x.lid = y.lid or z.lid <> y.lid").where(fits("x", "z"))
+    met2 = matches(docs, more.select(F.col("first").alias("a"), F.col("z_first").alias("b")).distinct(), text, key, shingle)
     gone = met.unionByName(met2).distinct().select(F.col("a").alias("g_first"))
 
     judged = nodes.join(gone, F.col("first") == F.col("g_first"), "left").where("copies > 1 or g_first is not null")
