@@ -158,8 +158,9 @@ def identified(docs: DataFrame, keep: list[str], text: str = "text", declared: s
     ``address`` names a column of URLs, whose hosts then stand for ``host``; hosts have a domain and a suffix where they
     have dots. Nulls in declared or host are no evidence; null or letterless texts are "und", probability 0, and not kept; equal probabilities
     go to the first language by name; without any declared language everything is "und". Rows stay as they are, repeated
-    ones too. Empty input, empty result. ``narrow`` keeps the likelihoods instead of computing them twice, for few columns.
+    ones too. Of columns that bear the added names, the added ones stay. Empty input, empty result. ``narrow`` keeps the likelihoods instead of computing them twice, for few columns.
     """
+    keep = [c for c in keep if c.lower() not in ("language", "probability", "text_language", "kept")]
     model = fitted(docs, text, declared, key)
     ll, d, h = missing_names(docs, "ll", "declared", "host")
     if not model.languages:

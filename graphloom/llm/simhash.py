@@ -240,6 +240,20 @@ def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, prints.fp == named.n_fp).drop("n_fp")
 
 
+def kept_of_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group does: that with the smallest doc_id.
+
+    Repeated rows of it stay once. Of a group of null doc_ids alone one row stays for each fingerprint. Columns are unchanged.
+    """
+    fp, k_id, k_fp = missing_names(docs, "fp", "k_id", "k_fp")
+    narrow = with_fingerprint(docs, shingle, fp, keep=["doc_id"]).select("doc_id", F.col(fp).alias("fp"))
+    groups = grouped(saved(narrow, "simhash_prints"), radius)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(k_id), F.col("fp").alias(k_fp)).distinct()
+    rows = with_fingerprint(docs, shingle, fp)
+    rows = rows.join(stay, (F.col(fp) == F.col(k_fp)) & F.col("doc_id").eqNullSafe(F.col(k_id)), "left_semi")
+    return rows.dropDuplicates([fp, "doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = saved(with_fingerprint(docs, keep=["doc_id"]), "simhash_prints")
