@@ -94,10 +94,14 @@ def overlap(a: Column, b: Column) -> Column:
     return F.floor(((a + b) * NUM + (NUM + DEN - 1)) / (NUM + DEN)).cast("int")
 
 
-def fits(x: str, y: str) -> Column:
-    """Length filter, then the positional filter: what two nodes can share, given the places of a shared token."""
+def fits(x: str, y: str, first_shared: bool) -> Column:
+    """Length filter, then the positional filter: what two nodes can share, given the places of a shared token.
+
+    With ``first_shared`` the token counts as the first that the two share, as it is in one of the places where a matching pair meets.
+    """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-    return (m >= need(n)) & (n >= need(m)) & (F.least(i, j) + F.least(n - i, m - j) >= overlap(n, m))
+    upto = F.lit(1) if first_shared else F.least(i, j)
+    return (m >= need(n)) & (n >= need(m)) & (upto + F.least(n - i, m - j) >= overlap(n, m))
 
 
 def member_filter(rows: DataFrame, *names: str) -> Column:
@@ -138,12 +142,12 @@ def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shin
     place = nodes.select(F.col("lid").alias("n_lid"), "first")
     shared = saved(shared.join(place, F.col("x.lid") == F.col("n_lid")).drop("n_lid"), "line_shared")
 
-    pairs = shared.where("x.lid <> y.lid").where(fits("x", "y")).select(F.col("first").alias("u"), F.col("y.lid").alias("l")).distinct()
+    pairs = shared.where("x.lid <> y.lid").where(fits("x", "y", False)).select(F.col("first").alias("u"), F.col("y.lid").alias("l")).distinct()
     pairs = pairs.join(place.withColumnRenamed("first", "v"), F.col("l") == F.col("n_lid")).select(F.when(F.col("u") < F.col("v"), F.col("v")).otherwise(F.col("u")).alias("a"), F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v")).alias("b"))
     met = matches(docs, pairs, text, key, shingle)
     rest = shared.join(met.withColumnRenamed("a", "m"), F.col("first") == F.col("m"), "left_anti")
     others = shared.select("tok", F.col("x").alias("z"), F.col("first").alias("z_first"))
-    more = rest.join(others, "tok").where("z_first < first").where("x.lid = y.lid or z.lid <> y.lid").where(fits("x", "z"))
+    more = rest.join(others, "tok").where("z_first < first").where("x.lid = y.lid or z.lid <> y.lid").where(fits("x", "z", True))
     met2 = matches(docs, more.select(F.col("first").alias("a"), F.col("z_first").alias("b")).distinct(), text, key, shingle)
     gone = met.unionByName(met2).distinct().select(F.col("a").alias("g_first"))
 
