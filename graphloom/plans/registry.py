@@ -2,5 +2,253 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as X
+from graphloom.functions.sentences import split_sentences
+from graphloom.operators import evaluation as M
+from graphloom.operators import graph as G
+from graphloom.operators import instructions as I
+from graphloom.operators import vectors as V
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark, sf_dir):
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def c(name):
+    return F.col(name)
+
+
+def n_rows():
+    return F.count(F.lit(1))
+
+
+def supplied(t):
+    return t("lineitem").select(c("l_partkey").alias("src"), F.lit("SUPPLIED_BY").alias("rel"), c("l_suppkey").alias("dst"))
+
+
+@query("SELECT count(*) AS paths FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey IN (1, 2))")
+def graph_path_count_or(t):
+    of = t("supplier").select(c("s_suppkey").alias("src"), F.lit("IN").alias("rel"), c("s_nationkey").alias("dst"))
+    p = G.Pattern(t("part"), "part").out(supplied(t), "p_partkey", t("supplier"), "supplier", "s_suppkey")
+    p = p.out(of, "s_suppkey", t("nation"), "nation", "n_nationkey", c("n_nationkey").isin(1, 2))
+    return p.rows.agg(n_rows().alias("paths"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
+def graph_tag_objects(t):
+    p = t("part")
+    tag = p.agg(F.min("p_brand").alias("tag"))
+    return G.key_edges(p, "p_partkey", "p_brand", tag, "tag", "tag", "HAS_TAG").join(p, c("src") == c("p_partkey")).select("p_partkey", "p_name")
+
+
+@query("SELECT n_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey <= 2000 GROUP BY n_name")
+def graph_two_hop_collect(t):
+    e1 = t("orders").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"))
+    e2 = t("customer").select(c("c_custkey").alias("src"), c("c_nationkey").alias("dst"))
+    p = G.Pattern(t("orders"), "o", c("o_orderkey") <= 2000).out(e1, "o_orderkey", t("customer"), "cu", "c_custkey").out(e2, "c_custkey", t("nation"), "na", "n_nationkey")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o.o_orderkey")), lambda x: x.cast("string")), ",")
+    return p.rows.groupBy(c("na.n_name").alias("n_name")).agg(ids.alias("ids"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part WHERE contains(p_name, 'a')) GROUP BY word")
+def graph_contains_unwind_count(t):
+    return t("part").where(F.contains("p_name", F.lit("a"))).select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(n_rows().alias("n"))
+
+
+@query("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 42")
+def graph_point_lookup(t):
+    return G.find(t("customer"), "c_custkey", 42).select("c_name", "c_acctbal")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
+def graph_two_predicates(t):
+    o = t("orders")
+    return o.join(F.broadcast(o.agg(F.min("o_orderpriority").alias("p"))), (c("o_orderpriority") == c("p")) & (c("o_orderstatus") != "F")).agg(n_rows().alias("n"))
+
+
+@query("SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 3")
+def graph_having_distinct(t):
+    return supplied(t).groupBy(c("src").alias("part")).agg(F.count_distinct("dst").alias("suppliers")).where("suppliers >= 3")
+
+
+@query("SELECT l_suppkey AS supplier, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1")
+def graph_top1(t):
+    return supplied(t).groupBy(c("dst").alias("supplier")).agg(n_rows().alias("n")).orderBy(F.desc("n"), "supplier").limit(1)
+
+
+@query("SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
+def graph_edge_intersection(t):
+    l = t("lineitem").select(c("l_partkey").alias("part"), c("l_suppkey").alias("supplier"), "l_returnflag")
+    return l.where("l_returnflag = 'R'").drop("l_returnflag").intersect(l.where("l_returnflag = 'A'").drop("l_returnflag"))
+
+
+@query("SELECT l_partkey AS part, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1")
+def containment_first_wins(t):
+    return G.first_wins(supplied(t).select(c("src").alias("part"), c("dst").alias("supplier")), "part", "supplier")
+
+
+@query("SELECT DISTINCT p_type AS tag FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 10")
+def tag_nodes_missing(t):
+    p = t("part")
+    return G.missing(p, "p_type", p.where("p_size < 10").select(c("p_type").alias("tag")), "tag")
+
+
+@query("SELECT 'SUPPLIED_BY' AS rel, count(*) AS n FROM lineitem UNION ALL SELECT 'IN', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def edge_counts_by_relation(t):
+    return G.count_edges(supplied(t).unionByName(G.key_edges(t("supplier"), "s_suppkey", "s_nationkey", t("nation"), "n_nationkey", "n_nationkey", "IN")))
+
+
+@query("SELECT p_brand AS src, count(*) * count(*) AS n FROM part GROUP BY 1")
+def node_as_tail_bag(t):
+    p = t("part")
+    return G.as_tail(p, "p_partkey", "p_brand", p.select("p_brand").distinct(), "p_brand", "IS_TAG_OF", bag=True).groupBy("src").agg(n_rows().alias("n"))
+
+
+@query("SELECT p_brand AS src, count(*) AS n FROM part GROUP BY 1")
+def node_as_tail_distinct(t):
+    p = t("part")
+    return G.as_tail(p, "p_partkey", "p_brand", p.select("p_brand").distinct(), "p_brand", "IS_TAG_OF").groupBy("src").agg(n_rows().alias("n"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+def from_tag_anti_join(t):
+    return t("nation").join(t("supplier").where("s_suppkey <= 20"), c("n_nationkey") == c("s_nationkey"), "left_anti").select("n_nationkey", "n_name")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (length(text) > 100) AS with_text, count(*) FILTER (length(source) > 4) AS with_source FROM documents")
+def completeness_report(t):
+    return t("documents").agg(n_rows().alias("n"), F.count_if(F.length("text") > 100).alias("with_text"), F.count_if(F.length("source") > 4).alias("with_source"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(url), '\.html.*$', '') AS address FROM pages")
+def strip_address(t):
+    return t("pages").select("page_id", X.strip_address(F.lower("url")).alias("address"))
+
+
+@query(r"SELECT s_suppkey, CASE WHEN regexp_matches(lower(replace(s_name, '#', '-')), '^.*-0+[1-9](-[0-9]*)?$') THEN regexp_replace(lower(replace(s_name, '#', '-')), '0+([1-9])', '\1', 'g') ELSE lower(replace(s_name, '#', '-')) END AS name FROM supplier")
+def unify_name(t):
+    return t("supplier").select("s_suppkey", X.unify_name(F.replace(c("s_name"), F.lit("#"), F.lit("-"))).alias("name"))
+
+
+@query("SELECT doc_id, sha256(text) AS id FROM documents")
+def stable_id(t):
+    return t("documents").select("doc_id", X.stable_id(c("text")).alias("id"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\x20-\x7E\t\n\r\x0B\x0C]+'), lambda x: regexp_matches(x, '[\x21-\x7E]'))) AS runs FROM documents")
+def printable_runs(t):
+    return t("documents").select("doc_id", F.size(X.printable_runs(c("text"))).cast("long").alias("runs"))
+
+
+@query(r"SELECT e AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS e FROM documents) GROUP BY 1")
+def entity_frequency(t):
+    e = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{6,}"), F.lit(0))
+    return t("documents").select(F.explode(e).alias("entity")).groupBy("entity").agg(n_rows().alias("n"))
+
+
+@query()
+def sentence_split(t):
+    return t("documents").select("doc_id", F.posexplode(split_sentences(c("text"), ".!?")).alias("pos", "sentence"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"')) AS links FROM pages")
+def page_link_counts(t):
+    return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).cast("long").alias("links"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS link FROM pages")
+def page_links(t):
+    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("link"))
+
+
+@query("SELECT k AS chunk, CAST(CASE WHEN k = 11 THEN 5 ELSE 4 END AS BIGINT) AS n FROM (SELECT unnest(range(12)) AS k)")
+def schema_chunks(t):
+    s = t("nation").sparkSession.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(49)), lambda x: x.cast("string")).alias("s"))
+    return s.select(F.posexplode(I.chunks(c("s"), 4)).alias("chunk", "c")).select(c("chunk").cast("long").alias("chunk"), F.size("c").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT) AS labels FROM documents")
+def label_dedupe(t):
+    return t("documents").select("doc_id", F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("labels"))
+
+
+@query("SELECT event_type, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS ks FROM (SELECT DISTINCT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
+def label_group_json(t):
+    e = t("events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).distinct()
+    return e.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ",").alias("ks"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_extract(t):
+    return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT c_custkey, s AS negative FROM customer, (SELECT DISTINCT c_mktsegment AS s FROM customer) WHERE s <> c_mktsegment")
+def negative_set(t):
+    cu = t("customer")
+    every = F.broadcast(cu.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("every")))
+    return cu.join(every, F.lit(True)).select("c_custkey", F.explode(I.negatives(c("every"), F.array("c_mktsegment"), 1, c("c_custkey"))).alias("negative"))
+
+
+@query("WITH g AS (SELECT source, quality AS item, count(*) AS g FROM labels JOIN documents USING (doc_id) GROUP BY ALL), p AS (SELECT source, CAST(n_chars > 1500 AS INTEGER) AS item, count(*) AS p FROM labels JOIN documents USING (doc_id) GROUP BY ALL), j AS (SELECT source, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p USING (source, item)) SELECT source, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS pred FROM j GROUP BY ROLLUP (source)")
+def f1_by_source(t):
+    d = t("labels").join(t("documents"), "doc_id")
+    k = M.counts(d.select("source", c("quality").alias("item")), d.select("source", (c("n_chars") > 1500).cast("int").alias("item")), ["source"], "item")
+    return M.totals(k, ["source"]).select("source", "tp", "gold", "pred")
+
+
+@query("SELECT text, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1")
+def gold_pred_join_last_wins(t):
+    return M.last_wins(t("documents").select("text", "doc_id"), "text", "doc_id")
+
+
+@query("SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 4) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 3")
+def vector_topk(t):
+    e = t("embeddings")
+    q = e.where("vec_id = 7").select("embedding").first()[0]
+    return V.top_k(e, q).select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings v, embeddings q WHERE q.vec_id < 20) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 3")
+def vector_topk_batch(t):
+    e = t("embeddings")
+    return V.top_k_batch(e, e.where("vec_id < 20")).select("query_id", "vec_id", "rank")
+
+
+@query("WITH o AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)) SELECT min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM o GROUP BY r")
+def consecutive_runs(t):
+    o = t("orders").where("o_orderkey % 7 <> 0").select(F.lit(1).alias("one"), "o_orderkey")
+    return G.runs(o, ["one"], "o_orderkey").drop("one")
+
+
+@query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), '' ORDER BY turn) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY 1")
+def chat_prompt(t):
+    s = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    lines = F.transform(s, lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("</s>\n")))
+    return t("conversations").groupBy("conv_id").agg(F.concat(F.array_join(lines, ""), F.lit("<|assistant|>\n")).alias("prompt"))
+
+
+@query("SELECT n_nationkey, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey")
+def object_lookup(t):
+    s = t("supplier").groupBy("s_nationkey").agg(n_rows().alias("s"))
+    return t("nation").join(s, c("n_nationkey") == c("s_nationkey"), "left").select("n_nationkey", F.coalesce("s", F.lit(0)).alias("suppliers"))
+
+
+@query()
+def train_test_split(t):
+    _, test = I.split(t("documents").select("doc_id"), "doc_id")
+    return test
