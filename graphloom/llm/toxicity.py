@@ -28,7 +28,7 @@ HIDDEN = 12
 EPOCHS = 6
 BATCH = 64
 #: Longer words are cut into pieces of so many bytes, each a word.
-PIECE = 48
+PIECE = 24
 #: Words whose inputs a worker keeps.
 KEPT = 400_000
 
@@ -75,6 +75,16 @@ def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word, np.concatenate(grams, axis=1) if grams else np.full((len(words), 1), -1)
 
 
+def hashed_all(words: list[bytes], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed`` part by part, with narrow n-gram buckets."""
+    parts = [hashed(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    most = max(g.shape[1] for _, g in parts)
+    grams = np.full((len(words), most), -1, np.int16)
+    for k, (_, g) in enumerate(parts):
+        grams[k * at_once : k * at_once + len(g), : g.shape[1]] = g
+    return np.concatenate([w for w, _ in parts]), grams
+
+
 class Network:
     """Parameters and passes. Windows are (batch, time) indexes into a table of word inputs; 0 is no word."""
 
@@ -91,6 +101,19 @@ class Network:
         g = self.p["gram"][grams] * (grams >= 0)[:, :, None]
         return np.concatenate([self.p["word"][word], 0.5 * g.sum(axis=1)], axis=1)
 
+    def inputs_all(self, word: np.ndarray, grams: np.ndarray, at_once: int = 8192) -> np.ndarray:
+        return np.concatenate([np.zeros((1, 2 * DIM), np.float32), *(self.inputs(word[i : i + at_once], grams[i : i + at_once]) for i in range(0, len(word), at_once))])
+
+    def scores(self, x: np.ndarray, at: np.ndarray, at_once: int = 1024) -> np.ndarray:
+        """Logits of windows over a large table, of which each part takes its own rows."""
+        out = []
+        for i in range(0, len(at), at_once):
+            own, inner = np.unique(at[i : i + at_once], return_inverse=True)
+            if own[0] != 0:
+                own, inner = np.concatenate(([0], own)), inner + 1
+            out.append(self.forward(x[own], inner.reshape(-1, at.shape[1])))
+        return np.concatenate(out)
+
     def _gru(self, xp: np.ndarray, mask: np.ndarray, k: str, keep: bool):
         """States for each time; ``xp`` (batch, time, 3 h) are the projected inputs."""
         h, u = HIDDEN, self.p[f"u{k}"]
@@ -170,7 +193,7 @@ def windows(n: int, size: int = WINDOW) -> np.ndarray:
 def framed(ids: np.ndarray, size: int = WINDOW) -> np.ndarray:
     """All windows of a text's word indexes, padded with 0."""
     starts = windows(len(ids), size)
-    padded = np.zeros(starts[-1] + size, np.int64)
+    padded = np.zeros(starts[-1] + size, np.int32)
     padded[: len(ids)] = ids
     return padded[starts[:, None] + np.arange(size)[None, :]]
 
@@ -183,9 +206,9 @@ def trained(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, se
         return None
     rng, net = np.random.default_rng(seed), Network(seed)
     place: dict[bytes, int] = {}
-    ids = [np.fromiter((place.setdefault(w, len(place) + 1) for w in ws), np.int64, len(ws)) for ws, _ in docs]
+    ids = [np.fromiter((place.setdefault(w, len(place) + 1) for w in ws), np.int32, len(ws)) for ws, _ in docs]
     y = np.array([k for _, k in docs], np.float32)
-    word, grams = hashed(list(place))
+    word, grams = hashed_all(list(place))
     frames = [framed(i) for i in ids]
     # the first dimension of each embedding starts as the log odds of its bucket in toxic documents
     p, present = net.p, [np.unique(i) - 1 for i in ids]
@@ -201,11 +224,12 @@ def trained(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, se
     owner = np.repeat(np.arange(len(frames)), [len(f) for f in frames])
     first = np.concatenate(([0], np.cumsum([len(f) for f in frames])[:-1]))
     for epoch in range(epochs):
-        x = np.concatenate([np.zeros((1, 2 * DIM), np.float32), net.inputs(word, grams)])
+        x = net.inputs_all(word, grams)
         if epoch:
-            s = np.concatenate([net.forward(x, every[i : i + 2048]) for i in range(0, len(every), 2048)])
+            s = net.scores(x, every)
         else:  # as yet the window of the most telling word
-            s = np.concatenate([x[every[i : i + 2048]][:, :, [0, DIM]].sum(axis=2).max(axis=1) for i in range(0, len(every), 2048)])
+            telling = x[:, 0] + x[:, DIM]
+            s = np.concatenate([telling[every[i : i + 2048]].max(axis=1) for i in range(0, len(every), 2048)])
         order = np.lexsort((-s, owner))
         top = order[first]  # each document's highest
         spare = first + (rng.random(len(first)) * np.bincount(owner)).astype(np.int64)
@@ -217,7 +241,7 @@ def trained(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, se
             if own[0] != 0:
                 own, inner = np.concatenate(([0], own)), inner + 1
             inner = inner.reshape(at.shape)
-            w, gr = word[own[1:] - 1], grams[own[1:] - 1]
+            w, gr = word[own[1:] - 1], grams[own[1:] - 1].astype(np.int64)
             x = np.concatenate([np.zeros((1, 2 * DIM), np.float32), net.inputs(w, gr)])
             g, dx = net.backward(x, inner, y[owner[use[i : i + BATCH]]])
             g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
@@ -255,13 +279,13 @@ class Scorer:
         def flush():
             nonlocal group, owner, n
             if group:
-                s = np.concatenate([self.forward(np.concatenate(group)[i : i + 2048]) for i in range(0, n, 2048)])
+                s = self.net.scores(self.x, np.concatenate(group))
                 np.maximum.at(out, np.concatenate(owner), s)
             group, owner, n = [], [], 0
 
         out[:] = -np.inf
         for k, ws in enumerate(docs):
-            ids = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
+            ids = np.fromiter(map(place.__getitem__, ws), np.int32, len(ws))
             f = framed(ids)
             for i in range(0, len(f), 4096):
                 part = f[i : i + 4096]
@@ -273,13 +297,6 @@ class Scorer:
         flush()
         return sigmoid(out)
 
-    def forward(self, at: np.ndarray) -> np.ndarray:
-        own, inner = np.unique(at, return_inverse=True)
-        x = self.x[own]
-        if own[0] != 0:
-            x, inner = np.concatenate([self.x[:1], x]), inner + 1
-        return self.net.forward(x, inner.reshape(at.shape))
-
 
 def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
