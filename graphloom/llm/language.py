@@ -63,8 +63,13 @@ class Model:
 
 
 def fitted(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    some = docs.where(F.col(f"`{declared}`").isNotNull()).select(F.xxhash64(F.lit("language"), F.col(f"`{key}`")).alias("h"), F.col(f"`{text}`").alias("t"), F.col(f"`{declared}`").alias("l"))
-    return Model([(r["t"], r["l"]) for r in some.orderBy("h", "l", "t").limit(rows).collect()])  # a bounded sample
+    t, l = F.col(f"`{text}`"), F.col(f"`{declared}`")
+    h = F.xxhash64(F.lit("language"), F.col(f"`{key}`"), t)
+    known = docs.where(l.isNotNull())
+    # hashes alone first, as each task sends its least ``rows`` of them
+    most = known.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    some = known.where(h <= F.lit(most)).select(h.alias("h"), t.alias("t"), l.alias("l")).distinct() if most is not None else known.limit(0).select(h.alias("h"), t.alias("t"), l.alias("l"))
+    return Model([(r["t"], r["l"]) for r in sorted(some.limit(rows).collect(), key=lambda r: (r["h"], r["l"]))])  # a bounded sample
 
 
 def scored(docs: DataFrame, model: Model, name: str, keep: list[str], text: str = "text") -> DataFrame:
