@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, missing_names, saved, table
+from graphloom.llm.common import missing_names, saved, table
 
 SHINGLE = 5
 BUCKETS = 1 << 13
@@ -36,32 +36,26 @@ NUM, DEN = 4, 5
 def with_words(rows: DataFrame) -> DataFrame:
     """``line`` as the array ``words``; rows without words go.
 
+    Lines are cut at single spaces without a pattern; those that hold other ASCII white space are cut by one.
     Through explode, beneath which no filter is pushed: else an expression on words would cut the line anew each time.
     """
-    cut = F.split(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    return rows.where(F.col("line").rlike(WORD)).select("did", "dh", "line_no", F.explode(F.array(cut)).alias("words"))
+    other = F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        other = other | F.contains("line", F.lit(space))
+    cut = F.when(other, F.split("line", r"[\x20\x09-\x0D]+")).otherwise(F.split("line", " "))
+    return rows.select("did", "dh", "line_no", F.explode(F.array(F.array_remove(cut, ""))).alias("words")).where(F.size("words") > 0)
 
 
-def with_tokens(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``words`` as ``toks``, the distinct hashes of the shingles (a line of fewer words is one).
+def runs_of(words: str, shingle: int) -> Column:
+    """The runs of ``shingle`` words, an array of structs; empty for fewer words."""
+    n = F.greatest(F.size(words) - (shingle - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(shingle)])
 
-    Hashes of runs double in length: of 1 word, 2, 4 and so on, then of ``shingle`` words from the two runs
-    that cover it, each step one pass over the line.
-    """
-    def stepped(df, a, b, by, out):  # hash of a's i-th and b's (i + by)-th, where both are
-        later = F.slice(b, by + 1, F.greatest(F.size(b) - by, F.lit(0)))
-        return df.withColumn(out, F.zip_with(F.slice(a, 1, F.greatest(F.size(b) - by, F.lit(0))), later, lambda x, y: F.xxhash64(x, y)))
-
-    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
-    size = 1
-    while size * 2 <= shingle:
-        rows = stepped(rows, f"h{size}", f"h{size}", size, f"h{size * 2}")
-        size *= 2
-    if size < shingle:
-        rows = stepped(rows, f"h{size}", f"h{size}", shingle - size, f"h{shingle}")
-    many = F.when(F.size("words") < shingle, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(f"h{shingle}"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("words", "h1", "h2", "h4", "h8", f"h{size}", f"h{shingle}")], F.explode(F.array(many)).alias("toks"))
-    return rows
+
+def with_tokens(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``words`` as ``toks``, the distinct hashes of the shingles (a line of fewer words is one)."""
+    many = F.when(F.size("words") < shingle, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(F.transform(runs_of("words", shingle), lambda r: F.xxhash64(r))))
+    return rows.select(*[c for c in rows.columns if c != "words"], F.explode(F.array(many)).alias("toks"))
 
 
 def lines(docs: DataFrame, text: str, key: str, test: Column | None = None) -> DataFrame:
@@ -73,9 +67,12 @@ def lines(docs: DataFrame, text: str, key: str, test: Column | None = None) -> D
     return d.select("did", "dh", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
 
 
-def rarity_classes(rows: DataFrame) -> list[int]:
-    """A class of 0 to 127 for each bucket of tokens: how far its count is above or below the mean, by the logarithm of standard deviations. ``rows``: toks."""
-    counted = rows.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
+def rarity_classes(rows: DataFrame, shingle: int = SHINGLE) -> list[int]:
+    """A class of 0 to 127 for each bucket of tokens: how far its count is above or below the mean, by the logarithm of standard deviations.
+
+    ``rows``: words. Every shingle counts, repeats included, as a row of its own, so that hashing and counting are compiled code.
+    """
+    counted = rows.select(F.explode(runs_of("words", shingle)).alias("r")).select(F.xxhash64("r").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
     mean = sum(r["count"] for r in counted) / BUCKETS
     out = [0] * BUCKETS
     for r in counted:
@@ -118,14 +115,15 @@ def member_filter(rows: DataFrame, *names: str) -> Column:
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(did, dh, line_no) of every line to remove."""
     base = with_words(lines(docs, text, key))
-    classes = rarity_classes(with_tokens(base, shingle))
+    classes = rarity_classes(base, shingle)
     at = F.struct("did", "dh", "line_no")
     base = base.withColumn("lid", F.xxhash64("words"))
     occurrences = saved(base.select("did", "dh", "line_no", "lid"), "line_occurrences")
     nodes = saved(occurrences.groupBy("lid").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")), "line_nodes")
     n_lines = nodes.agg(F.sum("copies")).first()[0] or 0
     hot = nodes.where(F.col("copies") > max(1, n_lines // HOT_SHARE)).select(F.col("lid").alias("h_lid"), F.col("first").alias("h_first"))
-    dealt = base.join(F.broadcast(hot), F.col("lid") == F.col("h_lid"), "left").where("h_lid is null or struct(did, dh, line_no) = h_first")  # HOT_SHARE rows at most
+    # lines of fewer words match equal ones alone, which are one node: nothing to deal
+    dealt = base.where(F.size("words") >= shingle).join(F.broadcast(hot), F.col("lid") == F.col("h_lid"), "left").where("h_lid is null or struct(did, dh, line_no) = h_first")  # HOT_SHARE rows at most
 
     # a token under its class: the class above the hash's upper 56 bits, so that the order of rarity is the order of numbers
     table_of = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # folded to one literal
