@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +32,40 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("l_rank", F.row_number().over(w)).where("l_rank = 1").drop("l_rank")
 
 
+def typed_values(output: Column) -> Column:
+    """A struct (ok, items) of a model's JSON object of lists by type: items (type, value) in order.
+
+    Text that is no JSON object is not ok and has no items; values that are no text, and types without a list, are passed over. Of repeated keys the last holds.
+    """
+
+    @F.pandas_udf("ok boolean, items array<struct<type:string,value:string>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            try:
+                v = json.loads(x) if x else None
+            except ValueError:
+                v = None
+            ok = isinstance(v, dict)
+            out.append({"ok": ok, "items": [{"type": k, "value": y} for k, l in v.items() if isinstance(l, list) for y in l if isinstance(y, str)] if ok else []})
+        return pd.DataFrame(out, columns=["ok", "items"])
+
+    return run(output)
+
+
+def joined_chunks(rows: DataFrame, by: list[str], pos: str, items: str, label: str) -> DataFrame:
+    """The chunks of each instance as one: items in the order of ``pos``, the label of the first."""
+    s = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(items).alias("i"))))
+    return rows.groupBy(*by).agg(F.flatten(F.transform(s, lambda x: x["i"])).alias(items), F.min_by(label, pos).alias(label))
+
+
+def event_items(events: Column) -> tuple[Column, Column]:
+    """The items that events (event_type, event_trigger, arguments) are scored by: (type, trigger), and (type, argument, role)."""
+    whole = F.transform(events, lambda e: F.struct(e["event_type"].alias("type"), e["event_trigger"].alias("trigger")))
+    parts = F.flatten(F.transform(events, lambda e: F.transform(e["arguments"], lambda a: F.struct(e["event_type"].alias("type"), a["argument"].alias("argument"), a["role"].alias("role")))))
+    return whole, parts
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -41,8 +78,6 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 def rouge_l(reference, candidate):
     """F1 of the longest common subsequence of white-space tokens."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(r: pd.Series, c: pd.Series) -> pd.Series:
         out = []

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import html as H
 from graphloom.functions import text as X
 from graphloom.functions.sentences import split_sentences
 from graphloom.operators import evaluation as M
 from graphloom.operators import graph as G
 from graphloom.operators import instructions as I
+from graphloom.operators import legacy as L
+from graphloom.operators import mining as N
 from graphloom.operators import vectors as V
 
 QUERIES: dict = {}
@@ -252,3 +255,47 @@ def object_lookup(t):
 def train_test_split(t):
     _, test = I.split(t("documents").select("doc_id"), "doc_id")
     return test
+
+
+@query()
+def page_text_blocks(t):
+    p = t("pages").select("page_id", H.parsed(c("html")).alias("p"))
+    return p.select("page_id", F.posexplode("p.blocks").alias("pos", "block"))
+
+
+@query(r"SELECT text, list_sort(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS entities FROM (SELECT DISTINCT text FROM documents) WHERE regexp_matches(text, '[A-Z][a-z]{6,}')")
+def regex_entities(t):
+    s = N.matches(t("documents"), "text", r"[A-Z][a-z]{6,}", "word")
+    return s.select("text", F.array_sort("entity.entity").alias("entities"))
+
+
+@query(r"WITH s AS (SELECT text, 0 AS k, regexp_extract_all(text, '[A-Z][a-z]{6,}') AS e FROM (SELECT DISTINCT text FROM documents) UNION ALL SELECT text, 1, regexp_extract_all(text, '[A-Z][a-z]{2,3}') FROM (SELECT DISTINCT text FROM documents)), x AS (SELECT text, k, unnest(e) AS e FROM s WHERE len(e) > 0), o AS (SELECT e, count(*) AS often FROM x GROUP BY e) SELECT text, count(DISTINCT k) AS kinds, max(often) AS frequency, count(*) AS entities FROM x JOIN o USING (e) GROUP BY text ORDER BY kinds DESC, frequency, entities DESC, min(k), max(length(e)), text LIMIT 50")
+def rank_samples(t):
+    d = t("documents").where("text is not null")
+    s = N.matches(d, "text", r"[A-Z][a-z]{6,}", "long").unionByName(N.matches(d, "text", r"[A-Z][a-z]{2,3}", "short"))
+    return N.ranked(s, ["long", "short"], 50).select("text", c("entity_type_count").alias("kinds"), "frequency", "entities")
+
+
+@query("WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_name || 's', ' ') AS w FROM part) SELECT p_partkey, array_to_string(list_filter(w, lambda m: len(list_filter(w, lambda y: y <> m AND contains(y, m))) = 0), ' ') AS kept FROM w")
+def substring_elimination(t):
+    w = F.split(F.concat("p_name", F.lit(" "), "p_name", F.lit("s")), " ")
+    return t("part").select("p_partkey", F.array_join(X.substring_eliminated(w), " ").alias("kept"))
+
+
+@query("SELECT DISTINCT event_type AS type, string_agg(DISTINCT props, '|' ORDER BY props) AS roles FROM events GROUP BY 1")
+def roles_by_event_type(t):
+    arguments = F.array(F.struct(c("props").alias("role")))
+    e = t("events").select(F.array(F.struct("event_type", arguments.alias("arguments"))).alias("event"))
+    return L.roles_by_type(e, "event", "event_type", "arguments", "role").select("type", F.array_join("roles", "|").alias("roles"))
+
+
+@query("SELECT c_custkey, '(' || c_name || ',' || c_mktsegment || ')' AS output FROM customer")
+def tuple_format(t):
+    return t("customer").select("c_custkey", L.tuples(F.array(F.struct("c_name", "c_mktsegment")), "c_name", "c_mktsegment").alias("output"))
+
+
+@query("WITH g AS (SELECT doc_id, quality AS item FROM labels), p AS (SELECT doc_id, CAST(n_chars > 1500 AS INTEGER) AS item FROM documents SEMI JOIN labels USING (doc_id)) SELECT CAST(count(*) FILTER (g.item = p.item) AS BIGINT) AS tp, count(g.item) AS gold, count(p.item) AS pred FROM g FULL JOIN p USING (doc_id)")
+def multiset_f1(t):
+    g = t("labels").select("doc_id", c("quality").alias("item"))
+    p = t("documents").join(t("labels"), "doc_id", "left_semi").select("doc_id", (c("n_chars") > 1500).cast("int").alias("item"))
+    return M.counts(g, p, ["doc_id"], "item").agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred")])
