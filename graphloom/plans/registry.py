@@ -13,23 +13,8 @@ from graphloom.operators import instructions as I
 from graphloom.operators import legacy as L
 from graphloom.operators import mining as N
 from graphloom.operators import vectors as V
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        def run(spark, sf_dir):
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from graphloom.plans import hub_queries, text_queries  # noqa: F401
+from graphloom.plans.base import ORACLES, QUERIES, query  # noqa: F401
 
 def c(name):
     return F.col(name)
