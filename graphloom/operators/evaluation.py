@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,3 +89,42 @@ def rouge_l(reference, candidate):
         return pd.Series(out)
 
     return run(reference, candidate)
+
+
+def rouge_n(reference: Column, candidate: Column, n: int) -> Column:
+    """F1 of the n-grams of white-space tokens, each counted as often as both texts hold it; 0 where a text has none. Null counts as empty."""
+
+    @F.pandas_udf("double")
+    def run(r: pd.Series, c: pd.Series) -> pd.Series:
+        def grams(x: str) -> Counter:
+            t = x.split()
+            return Counter(zip(*(t[i:] for i in range(n))))
+
+        out = []
+        for x, y in zip(r.fillna(""), c.fillna("")):
+            a, b = grams(x), grams(y)
+            same = (a & b).total()
+            out.append(2 * same / (a.total() + b.total()) if same else 0.0)
+        return pd.Series(out)
+
+    return run(reference, candidate)
+
+
+def merged_counts(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Counts of several runs as one: tp, gold and pred add up."""
+    from functools import reduce
+
+    both = reduce(lambda a, b: a.unionByName(b), [p.select(*by, "tp", "gold", "pred") for p in parts])
+    return both.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred")])
+
+
+def attribute_triples(entities: Column) -> Column:
+    """(head, relation, tail) of a map by head of maps by relation of tails."""
+    pairs = lambda e: F.flatten(F.transform(F.map_entries(e["value"]), lambda r: F.transform(r["value"], lambda t: F.struct(e["key"].alias("head"), r["key"].alias("relation"), t.alias("tail")))))
+    return F.flatten(F.transform(F.map_entries(entities), pairs))
+
+
+def missed(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """One row: n, the gold instances, and missing, those without a prediction."""
+    p = predicted.select(F.col(key).alias("m_key")).distinct()
+    return gold.join(p, F.col(key) == F.col("m_key"), "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m_key").isNull()).alias("missing"))

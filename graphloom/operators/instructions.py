@@ -72,3 +72,112 @@ def typed_lines(labels: Column, kind: str, value: str) -> Column:
     """``type：value`` lines; empty values and lists read NAN."""
     line = F.transform(labels, lambda l: F.concat(l[kind], F.lit("："), F.when(l[value] == "", F.lit("NAN")).otherwise(l[value])))
     return F.when(F.size(labels) == 0, F.lit("NAN")).otherwise(F.array_join(line, "\n"))
+
+
+def sampled(items: Column, every: Column, taken: Column, rate: float, *key: Column, seed: int = 2024) -> Column:
+    """``negatives`` by a key of several columns: of ``every`` those not ``taken``, as many as coins say; then ``items``, in a hashed order."""
+    both = F.concat(negatives(every, taken, rate, F.xxhash64(*key), seed), items)
+    order = F.array_sort(F.transform(both, lambda x: F.struct(F.xxhash64(*key, x, F.lit(seed + 2)).alias("h"), x.alias("x"))))
+    return F.transform(order, lambda s: s["x"])
+
+
+def event_schemas(events: Column, type_roles: Column, rate: float, role_rate: float, key: Column, seed: int = 2024) -> Column:
+    """Schemas (event_type, trigger, arguments) of a record: its own types with their roles, and negatives on both levels.
+
+    ``type_roles`` maps each type to its roles. At rate 0 the own types alone, with all their roles; at rate 1 all types with all
+    roles; between them, types and the roles of each type are sampled. Types that the map lacks have no roles.
+    """
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.array_distinct(F.transform(events, lambda e: e["event_type"])), none)
+    types = F.concat(F.array_sort(own), negatives(F.map_keys(type_roles), own, rate, key, seed))
+
+    def schema(t: Column) -> Column:
+        roles = F.coalesce(F.try_element_at(type_roles, t), none)
+        has = F.coalesce(F.array_distinct(F.flatten(F.transform(F.filter(events, lambda e: e["event_type"] == t), lambda e: F.transform(e["arguments"], lambda a: a["role"])))), none)
+        chosen = roles if rate <= 0 or rate >= 1 else sampled(has, roles, has, role_rate, key, t, seed=seed)
+        return F.struct(t.alias("event_type"), F.lit(True).alias("trigger"), F.array_distinct(F.concat(chosen, has) if rate <= 0 or rate >= 1 else chosen).alias("arguments"))
+
+    return F.transform(types, schema)
+
+
+def with_hard_negatives(records: DataFrame, key: str, positives: str, confusable: DataFrame, kind: str, others: str, every: Column, n: int, seed: int = 2024, out: str = "schema") -> DataFrame:
+    """``records`` and ``out``: their positives, all that ``confusable`` (kind, array of others) names for these, and up to ``n`` of the rest by hash.
+
+    Types without an entry add none; records without positives get ``n`` types (all, if fewer).
+    """
+    near = records.select(F.col(key).alias("n_key"), F.explode(positives).alias("n_type")).join(confusable.select(F.col(kind).alias("n_kind"), F.col(others).alias("n_others")), F.col("n_type") == F.col("n_kind"))
+    near = near.groupBy("n_key").agg(F.array_distinct(F.flatten(F.collect_set("n_others"))).alias("n_near"))
+    j = records.join(near, F.col(key) == F.col("n_key"), "left")
+    cluster = F.array_sort(F.array_union(F.col(positives), F.coalesce("n_near", F.array().cast("array<string>"))))
+    rest = F.transform(F.array_sort(F.transform(F.array_except(every, cluster), lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"), t.alias("t")))), lambda s: s["t"])
+    return j.withColumn(out, F.concat(cluster, F.slice(rest, 1, n))).drop("n_key", "n_near")
+
+
+def json_text(c: Column) -> Column:
+    """A text as JSON, with its quotes."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")
+
+
+def value_json(values: Column) -> Column:
+    """``"NAN"`` without values, one value as it is, several as a list."""
+    return F.when(F.size(values) == 0, F.lit('"NAN"')).when(F.size(values) == 1, json_text(F.get(values, F.lit(0)))).otherwise(F.to_json(values))
+
+
+def object_json(keys: Column, value) -> Column:
+    """A JSON object of ``value(key)`` for each key; {} without keys."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(json_text(k), F.lit(":"), value(k))), ","), F.lit("}"))
+
+
+def relation_target(relations: Column, schema: Column) -> Column:
+    """JSON of (subject, object) pairs by relation, a key for each of the schema."""
+    pairs = lambda r: F.to_json(F.transform(F.filter(relations, lambda l: l["relation"] == r), lambda l: F.struct(l["head"].alias("subject"), l["tail"].alias("object"))))
+    return object_json(F.array_distinct(schema), pairs)
+
+
+def event_target(events: Column, schema: Column, text: Column, with_trigger: bool = True) -> Column:
+    """JSON of the events of each type of ``schema`` (event_type, arguments), in the order of where their trigger first stands in the text.
+
+    Arguments hold each role of the schema: NAN without a value; {} if the event has none of them.
+    """
+    place = lambda e: F.coalesce(F.instr(text, e["event_trigger"]), F.lit(0))
+
+    def told(e: Column, roles: Column) -> Column:
+        of = lambda r: F.array_distinct(F.transform(F.filter(e["arguments"], lambda a: a["role"] == r), lambda a: a["argument"]))
+        none = ~F.exists(e["arguments"], lambda a: F.array_contains(roles, a["role"]))
+        args = F.when(none, F.lit("{}")).otherwise(object_json(roles, lambda r: value_json(of(r))))
+        trigger = [F.lit('"trigger":'), json_text(F.coalesce(e["event_trigger"], F.lit("NAN"))), F.lit(",")] if with_trigger else []
+        return F.concat(F.lit("{"), *trigger, F.lit('"arguments":'), args, F.lit("}"))
+
+    def of_type(s: Column) -> Column:
+        own = F.filter(events, lambda e: e["event_type"] == s["event_type"])
+        order = F.array_sort(F.transform(own, lambda e, i: F.struct(place(e).alias("at"), i.alias("i"), told(e, s["arguments"]).alias("t"))))
+        return F.concat(json_text(s["event_type"]), F.lit(":["), F.array_join(F.transform(order, lambda x: x["t"]), ","), F.lit("]"))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(schema, of_type), ","), F.lit("}"))
+
+
+def attribute_target(relations: Column, schema: Column, text: Column) -> Column:
+    """JSON of the attributes of each head, by where heads and values first stand in the text: one value as it is, several as a list. Only relations of the schema."""
+    own = F.filter(relations, lambda l: F.array_contains(schema, l["relation"]))
+    placed = lambda items: F.transform(F.array_sort(F.transform(F.array_distinct(items), lambda v: F.struct(F.instr(text, v).alias("at"), v.alias("v")))), lambda s: s["v"])
+    heads = placed(F.transform(own, lambda l: l["head"]))
+
+    def of_head(h: Column) -> Column:
+        mine = F.filter(own, lambda l: l["head"] == h)
+        held = F.filter(schema, lambda r: F.exists(mine, lambda l: l["relation"] == r))
+        return object_json(held, lambda r: value_json(placed(F.transform(F.filter(mine, lambda l: l["relation"] == r), lambda l: l["tail"]))))
+
+    return object_json(heads, of_head)
+
+
+def template_ids(key: Column, templates: int = 20, formats: int = 4, seed: int = 2024) -> tuple[Column, Column]:
+    """A template's and a format's number for each record, drawn by hashes apart from each other."""
+    draw = lambda n, s: F.pmod(F.xxhash64(key, F.lit(s)), F.lit(n)).cast("int")
+    return draw(templates, seed), draw(formats, seed + 1)
+
+
+def test_rows(records: DataFrame, text: str, schema: Column, n: int, sentence: str) -> DataFrame:
+    """(id, split, instruction, input): a row for each record and slice of the schema, ``split`` its number."""
+    c = records.select(F.col(text).alias("input"), F.posexplode(chunks(schema, n)).alias("split", "chunk"))
+    told = F.replace(F.lit(sentence), F.lit("{schema}"), F.to_json("chunk"))
+    return c.select(F.sha2("input", 256).alias("id"), "split", told.alias("instruction"), "input")

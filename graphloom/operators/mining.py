@@ -1,7 +1,9 @@
-"""Weakly labelled entity samples: matches by pattern, merging, ranking, few-shot examples."""
+"""Weakly labelled entity samples: matches by pattern, merging, ranking, few-shot examples, names of places and forces."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,78 @@ def contained_or_related(rows: DataFrame, by: str, pos: str, marker: Column, pre
     r = rows.withColumn("after", F.max(F.coalesce(marker, F.lit(False))).over(w)).where(F.startswith(F.col(link), F.lit(prefix)))
     pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col(link))))
     return r.groupBy(by).agg(pick(F.col("after")).alias("contained"), pick(~F.col("after")).alias("related"))
+
+
+# Words that places and forces are named by, and the codes before a force's number.
+PLACE_PREFIX_EN = ["Armed", "Biological", "Containment", "Dimensional", "Humanoid", "Exclusionary", "Extrasolar", "Lunar", "Protected", "Provisional", "Reliquary", "Research", "Storage", "Surveillance", "Mobile", "Bio", "Sat", "remote", "resource", "Parazoology"]
+PLACE_PREFIX_CN = ["武装", "生物性", "生化", "收容", "维度性", "人形生物", "特外", "外太阳系", "月面", "受保护", "临时", "圣物", "圣遗物", "研究", "储藏", "监察", "移动", "测试", "历史", "生物", "观察", "前哨", "人形", "时间", "存储", "指挥", "附属", "概念", "安保", "模因", "异常动物学"]
+PLACE_EN = ["Site", "Area", "Outpost", r"Observation[-\s]Post"]
+PLACE_CN = ["站点", "区域", "前哨", "哨所", "区", "站", "哨"]
+GREEK = ["Alpha", "Beta", "Chi", "Delta", "ETA", "Epsilon", "Eta", "Gamma", "Iota", "Kappa", "Lambda", "Mu", "Nu", "Omicron", "Phi", "Pi", "Psi", "Rho", "Sigma", "Stigma", "Tau", "Theta", "Upsilon", "Xi", "Zeta"]
+STEMS, BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
+FORCE_KINDS_CN, FORCE_WORDS_CN = ["机动", "联合", "应用", "混合", "协作"], ["特遣", "机动", "部", "小"]
+FORCE_KINDS_EN = ["Mobile", "Applied", r"Armed\sMobile"]
+FORCE_INITIALS = "mrsacotjp"
+
+
+def any_of(patterns: list[str]) -> str:
+    return "(?:" + "|".join(sorted(patterns, key=lambda p: (-len(p), p))) + ")"
+
+
+def place_pattern() -> str:
+    """Numbered places, with all words of kind before them: an English word takes a code with optional letters, a Chinese one needs a separator before its number.
+
+    Words are tried longest first, so that a word of one character counts only where no longer one holds it; it needs a word of kind.
+    """
+    between, code = r"[-\s&]*(?:and[-\s]+)?", r"[0-9a-zα-ωΑ-Ω]+"
+    english = f"(?:{any_of(PLACE_PREFIX_EN)}{between})*{any_of(PLACE_EN)}(?:[-\\s][a-zα-ωΑ-Ω]+)?(?:[-\\s]{code})(?:-{code})?".replace("\\\\", "\\")
+    number = r"[-\s][0-9]+(?:[-\s][a-z]+)?(?:[-\s][0-9]+)?(?:[-\s][a-z]+)?"
+    kinds, long, short = any_of(PLACE_PREFIX_CN), any_of([w for w in PLACE_CN if len(w) > 1]), any_of([w for w in PLACE_CN if len(w) == 1])
+    chinese = f"(?:(?:{kinds}{between})*{long}|(?:{kinds}{between})+{short}){number}"
+    return f"(?i)(?:{english}|{chinese})"
+
+
+def force_patterns(names: list[str]) -> tuple[str, str]:
+    """(with an affix, bare): numbered forces behind words or initials of a force, and official names alone; both with a quoted or bracketed alias, if one follows.
+
+    Names are escaped; their dashes may be spaces or missing in a text.
+    """
+    official = [re.escape(n).replace(r"\-", r"[-\s]?") + "[0-9]*" for n in names if n]
+    letters = [chr(c) for c in [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA), *range(0x3B1, 0x3CA)]]
+    coded = any_of([*GREEK, *letters, *(s + b for s in STEMS for b in BRANCHES)]) + r"[-\s]?[0-9]+"
+    alias = r"(?:[-\s]?(?:[(（][^()（）]*[)）]|[“\"「][^”\"」]*[”\"」]))?"
+    code = any_of([*official, coded])
+    chinese = f"(?:{any_of(FORCE_KINDS_CN)})?{any_of(FORCE_WORDS_CN)}队[-\\s]?".replace("\\\\", "\\")
+    english = f"(?:[{FORCE_INITIALS}]tf|(?:{any_of(FORCE_KINDS_EN)}\\s)?Task[-\\s]?Force)[-\\s]?".replace("\\\\", "\\")
+    bare = f"(?i){any_of(official)}{alias}" if official else "(?!)"
+    return f"(?i)(?:{chinese}|{english}){code}{alias}", bare
+
+
+def trimmed(found: Column) -> Column:
+    """Matches stripped, without those that end in a dash and those that are part of another."""
+    from graphloom.functions.text import substring_eliminated
+
+    clean = F.transform(F.filter(found, lambda m: ~F.endswith(m, F.lit("-"))), lambda m: F.trim(m))
+    return substring_eliminated(F.filter(clean, lambda m: m != ""))
+
+
+def places(text: Column) -> Column:
+    """The distinct numbered places of a text, in order; null without a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(place_pattern()), F.lit(0)))
+
+
+def forces(text: Column, names: list[str]) -> Column:
+    """The forces of a text, repeats included: those with an affix; without any, the official names alone."""
+    affixed, bare = force_patterns(names)
+    found = F.regexp_extract_all(text, F.lit(affixed), F.lit(0))
+    return trimmed(F.when(F.size(found) > 0, found).otherwise(F.regexp_extract_all(text, F.lit(bare), F.lit(0))))
+
+
+def linked_sentences(records: DataFrame, links: list[str], pages: DataFrame, key: str, text: str, ends: str = "。！？") -> DataFrame:
+    """The distinct sentences of the pages that any link array of ``records`` names."""
+    from graphloom.functions.sentences import split_sentences
+
+    every = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in links])
+    wanted = records.select(F.explode(every).alias("s_link")).distinct()
+    hit = pages.join(wanted, F.col(key) == F.col("s_link"), "left_semi")
+    return hit.select(F.explode(split_sentences(F.col(text), ends)).alias("sentence")).distinct()

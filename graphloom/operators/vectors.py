@@ -34,3 +34,28 @@ def stuffed_prompt(contexts: DataFrame, by: str, rank: str, text: str, template:
     s = F.array_sort(F.collect_list(F.struct(rank, text)))
     g = contexts.groupBy(by).agg(F.array_join(F.transform(s, lambda x: x[text]), "\n\n").alias("context"))
     return g.select(by, F.replace(F.lit(template), F.lit("{context}"), F.col("context")).alias("prompt"))
+
+
+def expanded(hits: DataFrame, chunks: DataFrame, size: int = 250, key: str = "chunk_id", source: str = "source", length: str = "n_chars", score: str = "score") -> DataFrame:
+    """(source, run_start, run_end, n, score): hits (key, source, score) with their neighbours in the source, joined to runs of consecutive ids.
+
+    Neighbours are taken nearest first, the earlier of two first, until one would make the texts longer than ``size``; the hit itself always stays.
+    A run's score is the least of its hits'. Chunks have a character at least, so that ``size`` ids on either side are enough: both sides meet by blocks of that many ids.
+    """
+    h = hits.select(F.col(key).alias("h_id"), F.col(source).alias("h_source"), F.col(score).alias("score"))
+    h = h.withColumn("b", F.explode(F.sequence(F.floor((F.col("h_id") - size) / size), F.floor((F.col("h_id") + size) / size))))
+    c = chunks.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(length).alias("len")).withColumn("c_b", F.floor(F.col("id") / size))
+    near = h.join(c, (F.col("b") == F.col("c_b")) & (F.col("h_source") == F.col("source"))).where(F.abs(F.col("id") - F.col("h_id")) <= size)
+    w = Window.partitionBy("source", "h_id").orderBy(F.abs(F.col("id") - F.col("h_id")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = near.withColumn("sum", F.sum("len").over(w)).where((F.col("sum") <= size) | (F.col("id") == F.col("h_id")))
+    ids = taken.groupBy("source", "id").agg(F.min("score").alias("score"))
+    run = F.col("id") - F.row_number().over(Window.partitionBy("source").orderBy("id"))
+    return ids.withColumn("run", run).groupBy("source", "run").agg(F.min("id").alias("run_start"), F.max("id").alias("run_end"), F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).drop("run")
+
+
+def packed_sentences(sentences: Column, size: int, separator: str = " ") -> Column:
+    """Sentences joined in order to chunks of ``size`` characters at most; a longer one is a chunk of its own. Null: null."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    room = lambda s, x: F.length(s["open"]) + len(separator) + F.length(x) <= size
+    add = lambda s, x: F.when(s["open"] == "", F.struct(s["done"].alias("done"), x.alias("open"))).when(room(s, x), F.struct(s["done"].alias("done"), F.concat(s["open"], F.lit(separator), x).alias("open"))).otherwise(F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), x.alias("open")))
+    return F.aggregate(sentences, start, add, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))

@@ -1 +1,143 @@
-"""Queries of text formats, instruction targets and retrieval."""
+"""Queries of text formats, instruction targets, name mining, scores and retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions.sentences import split_sentences
+from graphloom.operators import evaluation as M
+from graphloom.operators import formats as L
+from graphloom.operators import instructions as I
+from graphloom.operators import mining as N
+from graphloom.operators import vectors as V
+from graphloom.plans.base import query
+
+
+def relations(t):
+    """(head, relation, tail) of suppliers and customers in their nation, by nation."""
+    s = t("supplier").select(F.col("s_nationkey").alias("k"), F.struct(F.col("s_name").alias("head"), F.lit("sells").alias("relation"), F.col("s_suppkey").cast("string").alias("tail")).alias("r"))
+    return s.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("relation"))
+
+
+def part_events():
+    """A part as an array of one event: its name as trigger, its brand as type, size and price as arguments; no trigger for every fifth size."""
+    a = F.array(F.struct(F.col("p_size").cast("string").alias("argument"), F.lit("size").alias("role")), F.struct(F.when(F.expr("p_size % 2 = 0"), F.lit("")).otherwise(F.col("p_type")).alias("argument"), F.lit("kind").alias("role")))
+    return F.array(F.struct(F.when(F.expr("p_size % 5 = 0"), F.lit("")).otherwise(F.col("p_name")).alias("event_trigger"), F.col("p_brand").alias("event_type"), a.alias("arguments")))
+
+
+def entity(t):
+    return F.array(F.struct(F.col("c_name").alias("entity"), F.col("c_mktsegment").alias("entity_type")))
+
+
+@query("SELECT c_custkey, '实体是' || c_name || ',实体类型是' || c_mktsegment AS sentence, c_mktsegment || '：' || c_name AS line, '{''entity'': ''' || c_name || ''', ''entity_type'': ''' || c_mktsegment || '''}' AS dictionary FROM customer")
+def entity_formats(t):
+    e = entity(t)
+    return t("customer").select("c_custkey", L.written(e, "entity", L.SENTENCE).alias("sentence"), L.written(e, "entity", L.LINE).alias("line"), L.written(e, "entity", L.DICT).alias("dictionary"))
+
+
+@query("SELECT s_nationkey AS k, string_agg('Subject is ' || s_name || ',Relation is sells,Object is ' || s_suppkey, chr(10) ORDER BY s_name) AS output FROM supplier GROUP BY 1")
+def relation_sentences(t):
+    return relations(t).select("k", L.written(F.col("relation"), "relation", L.SENTENCE, "en").alias("output"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'NAN' ELSE '(' || p_name || ',' || p_brand || ',size#' || p_size || ';' || CASE WHEN p_size % 2 = 0 THEN 'NAN' ELSE 'kind#' || p_type END || ')' END AS tuple, CASE WHEN p_size % 5 = 0 THEN 'NAN' ELSE p_brand || '：' || p_name || chr(10) || 'size：' || p_size || ';' || CASE WHEN p_size % 2 = 0 THEN 'NAN' ELSE 'kind：' || p_type END END AS line FROM part")
+def event_formats(t):
+    return t("part").select("p_partkey", L.written_events(part_events(), L.TUPLE).alias("tuple"), L.written_events(part_events(), L.LINE).alias("line"))
+
+
+@query("SELECT k, list_sort(list(style || '|' || s_name || '|sells|' || s_suppkey)) AS read FROM (SELECT s_nationkey AS k, s_name, s_suppkey, unnest(range(4)) AS style FROM supplier) GROUP BY 1")
+def formats_round_trip(t):
+    r = relations(t)
+    texts = F.array(*[F.struct(F.lit(i).alias("style"), L.written(F.col("relation"), "relation", i).alias("text")) for i in range(4)])
+    x = r.select("k", F.explode(texts).alias("x")).select("k", "x.*")
+    x = x.withColumn("l", F.explode(L.read_labels(F.col("text"), "relation")["labels"]))
+    return x.groupBy("k").agg(F.array_sort(F.collect_list(F.concat_ws("|", "style", F.array_join("l", "|")))).alias("read"))
+
+
+@query("SELECT p_partkey, p_brand || ', ' || p_name AS head, p_type AS relation, CAST(p_size AS VARCHAR) AS tail FROM part")
+def comma_repair(t):
+    head = F.concat("p_brand", F.lit(", "), "p_name")
+    text = F.concat(F.lit("("), F.concat_ws(",", head, "p_type", "p_size"), F.lit(")"))
+    l = L.read_labels(text, "relation", F.concat_ws(" has ", head, "p_size"))["labels"][0]
+    return t("part").select("p_partkey", l.alias("l")).select("p_partkey", F.col("l")[0].alias("head"), F.col("l")[1].alias("relation"), F.col("l")[2].alias("tail"))
+
+
+@query("""SELECT p_partkey, '{"' || p_brand || '":[{"trigger":"' || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END || '","arguments":{"size":"' || p_size || '","colour":"NAN"}}]}' AS output FROM part""")
+def event_targets(t):
+    schema = F.array(F.struct(F.col("p_brand").alias("event_type"), F.array(F.lit("size"), F.lit("colour")).alias("arguments")))
+    return t("part").select("p_partkey", I.event_target(part_events(), schema, F.col("p_name")).alias("output"))
+
+
+@query("""SELECT s_nationkey AS k, '{"sells":[' || string_agg('{"subject":"' || s_name || '","object":"' || s_suppkey || '"}', ',' ORDER BY s_name) || '],"buys":[]}' AS output FROM supplier GROUP BY 1""")
+def relation_targets(t):
+    return relations(t).select("k", I.relation_target(F.col("relation"), F.array(F.lit("sells"), F.lit("buys"))).alias("output"))
+
+
+@query("""SELECT p_partkey, '{"' || p_name || '":{"brand":"' || p_brand || '"' || CASE WHEN p_size % 2 = 0 THEN ',"size":["' || p_size || '","' || (p_size + 1000) || '"]' ELSE '' END || '}}' AS output FROM part""")
+def attribute_targets(t):
+    r = lambda relation, tail: F.struct(F.col("p_name").alias("head"), F.lit(relation).alias("relation"), tail.alias("tail"))
+    size = F.when(F.expr("p_size % 2 = 0"), F.array(r("size", (F.col("p_size") + 1000).cast("string")), r("size", F.col("p_size").cast("string")))).otherwise(F.array(r("else", F.lit("x"))))
+    text = F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("/"), "p_size", F.lit("/")), F.col("p_size") + 1000)
+    return t("part").select("p_partkey", I.attribute_target(F.concat(F.array(r("brand", F.col("p_brand"))), size), F.array(F.lit("brand"), F.lit("size")), text).alias("output"))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(list_concat([p_brand], ['a' || p_brand, 'z']))) AS schema FROM part WHERE p_brand <= 'Brand#2' UNION ALL SELECT p_partkey, [p_brand] FROM part WHERE p_brand > 'Brand#2'")
+def hard_negative_schema(t):
+    p = t("part")
+    hard = p.where("p_brand <= 'Brand#2'").select(F.col("p_brand").alias("kind")).distinct().withColumn("others", F.array(F.concat(F.lit("a"), "kind"), F.lit("z")))
+    s = I.with_hard_negatives(p.withColumn("own", F.array("p_brand")), "p_partkey", "own", hard, "kind", "others", F.array().cast("array<string>"), 2)
+    return s.select("p_partkey", "schema")
+
+
+@query("SELECT p_partkey, t AS event_type, CASE WHEN t = 'a' THEN 'x,y' WHEN t = 'b' THEN 'z' ELSE 'kind,size' END AS roles FROM (SELECT p_partkey, p_brand, unnest(['a', 'b', p_brand]) AS t FROM part)")
+def two_level_negatives(t):
+    roles = F.create_map(F.lit("a"), F.array(F.lit("x"), F.lit("y")), F.lit("b"), F.array(F.lit("z")), F.lit("c"), F.array().cast("array<string>"))
+    s = t("part").select("p_partkey", F.explode(I.event_schemas(part_events(), roles, 1.0, 1.0, F.col("p_partkey"))).alias("s"))
+    return s.select("p_partkey", "s.event_type", F.array_join(F.array_sort("s.arguments"), ",").alias("roles")).where("event_type <> 'c'")
+
+
+@query("SELECT s_suppkey, 'Armed Bio Site-' || s_suppkey AS place FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, '收容站点-' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 1")
+def numbered_places(t):
+    text = F.when(F.expr("s_suppkey % 2 = 0"), F.concat(F.lit("at the Armed Bio Site-"), "s_suppkey", F.lit("。"))).otherwise(F.concat(F.lit("在区域500米内的收容站点-"), "s_suppkey", F.lit("。")))
+    return t("supplier").select("s_suppkey", F.explode(N.places(text)).alias("place"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '机动特遣队Beta-' || s_suppkey || '（鹰）' WHEN 1 THEN 'MTF Rho-' || s_suppkey ELSE 'Alpha-1' END AS force FROM supplier")
+def numbered_forces(t):
+    text = F.expr("case s_suppkey % 3 when 0 then concat('由机动特遣队Beta-', s_suppkey, '（鹰）执行') when 1 then concat('by MTF Rho-', s_suppkey, ' and Alpha-1') else 'only Alpha-1 and Beta-7' end")
+    return t("supplier").select("s_suppkey", F.explode(N.forces(text, ["Alpha-1"])).alias("force"))
+
+
+@query("SELECT DISTINCT p_partkey AS page FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def linked_page_sentences(t):
+    pages = t("part").select("p_partkey", F.concat(F.lit("page。"), F.col("p_partkey").cast("string"), F.lit("。")).alias("text"))
+    links = t("lineitem").where("l_returnflag = 'R'").select(F.array("l_partkey").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
+    s = N.linked_sentences(links.select("a", "b"), ["a"], pages, "p_partkey", "text")
+    return s.where("sentence <> 'page。'").select(F.regexp_replace("sentence", "。", "").cast("long").alias("page"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS rouge_1, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS rouge_2 FROM part WHERE string_split(p_name, ' ')[1] <> string_split(p_name, ' ')[2]")
+def rouge_scores(t):
+    other = F.when(F.expr("p_size % 2 = 0"), F.col("p_name")).otherwise(F.concat(F.split("p_name", " ")[1], F.lit(" #")))
+    p = t("part").where(F.split("p_name", " ")[0] != F.split("p_name", " ")[1])
+    return p.select("p_partkey", M.rouge_n(F.col("p_name"), other, 1).alias("rouge_1"), M.rouge_n(F.col("p_name"), other, 2).alias("rouge_2"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
+def missing_predictions(t):
+    return M.missed(t("documents"), t("labels"), "doc_id")
+
+
+@query("""WITH c AS (SELECT c_nationkey AS source, c_custkey AS id, 40 + c_custkey % 50 AS len FROM customer), h AS (SELECT source, id, CAST(id AS DOUBLE) AS score FROM c WHERE id % 50 = 0),
+x AS (SELECT h.source, c.id, h.id AS hid, score, sum(len) OVER (PARTITION BY h.id ORDER BY abs(c.id - h.id), c.id ROWS UNBOUNDED PRECEDING) AS s FROM h JOIN c ON h.source = c.source AND abs(c.id - h.id) <= 250),
+i AS (SELECT source, id, min(score) AS score FROM x WHERE s <= 250 OR id = hid GROUP BY ALL), r AS (SELECT *, id - row_number() OVER (PARTITION BY source ORDER BY id) AS run FROM i)
+SELECT source, min(id) AS run_start, max(id) AS run_end, count(*) AS n, min(score) AS score FROM r GROUP BY source, run""")
+def neighbour_expansion(t):
+    c = t("customer").select(F.col("c_nationkey").alias("source"), F.col("c_custkey").alias("chunk_id"), F.expr("40 + c_custkey % 50").alias("n_chars"))
+    h = c.where("chunk_id % 50 = 0").select("source", "chunk_id", F.col("chunk_id").cast("double").alias("score"))
+    return V.expanded(h, c)
+
+
+@query()
+def sentence_chunks(t):
+    return t("documents").select("doc_id", F.posexplode(V.packed_sentences(split_sentences(F.col("text"), ".!?"), 1024)).alias("pos", "chunk"))
