@@ -9,6 +9,7 @@ from graphloom.operators import evaluation as M
 from graphloom.operators import formats as L
 from graphloom.operators import instructions as I
 from graphloom.operators import mining as N
+from graphloom.operators import templates as T
 from graphloom.operators import vectors as V
 from graphloom.plans.base import query
 
@@ -141,3 +142,14 @@ def neighbour_expansion(t):
 @query()
 def sentence_chunks(t):
     return t("documents").select("doc_id", F.posexplode(V.packed_sentences(split_sentences(F.col("text"), ".!?"), 1024)).alias("pos", "chunk"))
+
+
+@query("SELECT conv_id, turn, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations WHERE role = 'user'")
+def templated_prompts(t):
+    turn = F.array(F.struct(F.col("text").alias("query"), F.lit(None).cast("string").alias("answer")))
+    return t("conversations").where("role = 'user'").select("conv_id", "turn", T.chat(turn, "qwen").alias("prompt"))
+
+
+@query("SELECT p_partkey, 'Write a query.' || chr(10) || chr(10) || 'Question: a?' || chr(10) || 'Query: b' || chr(10) || chr(10) || 'Question: ' || p_name || chr(10) || 'Query: ' AS prompt FROM part")
+def few_shot_prompts(t):
+    return t("part").select("p_partkey", T.few_shot_prompt("Write a query.", [("a?", "b")], F.col("p_name")).alias("prompt"))
