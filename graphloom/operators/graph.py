@@ -88,8 +88,21 @@ class Pattern:
         return self.rows.select(*columns)
 
 
-def runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Runs of consecutive integers of each group: start, end, n."""
-    w = Window.partitionBy(*by).orderBy(value)
-    g = df.select(*by, value).distinct().withColumn("run", F.col(value) - F.row_number().over(w))
-    return g.groupBy(*by, "run").agg(F.min(value).alias("run_start"), F.max(value).alias("run_end"), F.count(F.lit(1)).alias("n")).drop("run")
+def runs(df: DataFrame, by: list[str], value: str, least: str | None = None, block: int = 4096) -> DataFrame:
+    """Runs of consecutive integers of each group: run_start, run_end, n, and the least of the column ``least``, if one is given. Null values go.
+
+    Runs are found within blocks of ids, so that a group of any size is split; only runs that touch a block's edge, two a
+    block at most, meet those of their whole group.
+    """
+    low = [F.min(least).alias(least)] if least else []
+    ids = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("r_id")).agg(*(low or [F.count(F.lit(1)).alias("r_n")]))
+    ids = ids.withColumn("r_block", F.floor(F.col("r_id") / block))
+    w = Window.partitionBy(*by, "r_block").orderBy("r_id")
+    parts = ids.withColumn("r_run", F.col("r_id") - F.row_number().over(w)).groupBy(*by, "r_block", "r_run")
+    parts = parts.agg(F.min("r_id").alias("run_start"), F.max("r_id").alias("run_end"), F.count(F.lit(1)).alias("n"), *low).drop("r_block", "r_run")
+    at_edge = (F.pmod("run_start", F.lit(block)) == 0) | (F.pmod("run_end", F.lit(block)) == block - 1)
+    along = Window.partitionBy(*by).orderBy("run_start")
+    apart = F.coalesce(F.col("run_start") - F.lag("run_end").over(along) != 1, F.lit(True))
+    edge = parts.where(at_edge).withColumn("r_new", apart.cast("int")).withColumn("r_run", F.sum("r_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.groupBy(*by, "r_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n"), *low).drop("r_run")
+    return parts.where(~at_edge).unionByName(edge)

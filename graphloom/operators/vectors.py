@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import runs
+
 
 def l2(a: Column, b: Column) -> Column:
     d = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y))
@@ -48,9 +50,7 @@ def expanded(hits: DataFrame, chunks: DataFrame, size: int = 250, key: str = "ch
     near = h.join(c, (F.col("b") == F.col("c_b")) & (F.col("h_source") == F.col("source"))).where(F.abs(F.col("id") - F.col("h_id")) <= size)
     w = Window.partitionBy("source", "h_id").orderBy(F.abs(F.col("id") - F.col("h_id")), "id").rowsBetween(Window.unboundedPreceding, 0)
     taken = near.withColumn("sum", F.sum("len").over(w)).where((F.col("sum") <= size) | (F.col("id") == F.col("h_id")))
-    ids = taken.groupBy("source", "id").agg(F.min("score").alias("score"))
-    run = F.col("id") - F.row_number().over(Window.partitionBy("source").orderBy("id"))
-    return ids.withColumn("run", run).groupBy("source", "run").agg(F.min("id").alias("run_start"), F.max("id").alias("run_end"), F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).drop("run")
+    return runs(taken, ["source"], "id", "score")
 
 
 def packed_sentences(sentences: Column, size: int, separator: str = " ") -> Column:

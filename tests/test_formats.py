@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, formats, instructions, mining, vectors
+from graphloom.operators import evaluation, formats, graph, instructions, mining, vectors
 
 RELATIONS = [("a'b", "r_1", 'say "x"'), ("back\\slash", "r", "t")]
 
@@ -103,3 +103,21 @@ def test_expansion_and_chunks(spark):
     assert got == [("s", 1, 3, 3, 0.2), ("s", 8, 9, 2, 0.9)]
     d = spark.createDataFrame([(["aa", "bb", "c" * 9, "d"],), ([],), (None,)], "s array<string>")
     assert [r[0] for r in d.select(vectors.packed_sentences(F.col("s"), 5)).collect()] == [["aa bb", "c" * 9, "d"], [], None]
+
+
+def test_runs_over_block_edges(spark):
+    import random
+
+    draw = random.Random(3)
+    ids = sorted({draw.randrange(-40, 60) for _ in range(80)})
+    d = spark.createDataFrame([("g", i, float(abs(i))) for i in ids + ids[:5]] + [("h", 7, 1.0), ("g", None, 0.0)], "k string, v long, s double")
+    want = []
+    for i in ids:
+        if want and want[-1][2] == i - 1:
+            want[-1] = ("g", want[-1][1], i, want[-1][3] + 1, min(want[-1][4], abs(i)))
+        else:
+            want.append(("g", i, i, 1, float(abs(i))))
+    for block in (1, 2, 7, 4096):
+        got = graph.runs(d, ["k"], "v", "s", block).select("k", "run_start", "run_end", "n", "s").collect()
+        assert sorted(map(tuple, got)) == sorted([*want, ("h", 7, 7, 1, 1.0)]), block
+    assert graph.runs(d.limit(0), ["k"], "v").count() == 0
