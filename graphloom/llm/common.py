@@ -43,6 +43,15 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for ``tables``, once nothing reads them any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

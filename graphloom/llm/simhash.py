@@ -27,11 +27,11 @@ LARGE = 20_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if it is set in over half the XXH64 of the text's shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the text's shingles, repeats included; a text of fewer words is one shingle, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -39,8 +39,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    h = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], "<u8", n)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], "<u8", len(starts))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes; 0 without any."""
+    n = len(h)
+    if not n:
+        return 0
     count = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):
         part = h[i : i + (1 << 14)]
@@ -48,6 +55,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if it is set in over half the XXH64 of the text's shingles, repeats included; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and the fingerprint as a (signed) long."""
     small_batches(docs.sparkSession)

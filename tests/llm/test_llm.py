@@ -279,3 +279,53 @@ def test_pipeline(spark, docs):
         at = spark.createDataFrame(stage(spark, at, "").collect(), DOCS)
         assert at.columns == docs.columns, name
     assert c.STAGES[-1][1](spark, at, "").count() >= at.count() > 0
+
+
+def near_kept(rows, shingle=5):
+    """Brute force over (doc_id, text): the smallest doc_id of each component of a Jaccard similarity of 0.8 on shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            same = len(sets[i] & sets[j])
+            if i < j and (sets[i] == sets[j] or same and same * 5 >= (len(sets[i]) + len(sets[j]) - same) * 4):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return sorted({top(i) for i in sets})
+
+
+def edited_copies(seed=11):
+    """Texts with copies in which 1 to 8 words of 150 are others: similarities of about 0.55 to 0.95, and chains of them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    out = []
+    for _ in range(25):
+        w = [word() for _ in range(150)]
+        out.append(" ".join(w))
+        for changes in (1, 2, 3, 4, 8):
+            x = list(w)
+            for k in r.sample(range(150), changes):
+                x[k] = word()
+            out.append(" ".join(x))
+            w = x if r.random() < 0.3 else w
+    r.shuffle(out)
+    return out + ["", "   ", "solo", "Solo", "a b c d e f g h", "a b c d e f g h i"]
+
+
+def test_simhash_stage_reaches_jaccard_08(spark):
+    import corpus_pipeline as c
+
+    rows = list(enumerate(edited_copies()))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = c.simhash_dedup(spark, d, "")
+    assert kept.columns == d.columns
+    assert sorted(x.doc_id for x in kept.collect()) == near_kept(rows)
