@@ -20,9 +20,19 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, key: str = "vec_id
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """The k nearest rows of each of a stated, bounded set of queries, ranked in each task first."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("more queries than most_queries: search them in blocks")
+    """The k nearest rows of each query, ranked in each task first. More than ``most_queries`` are searched in blocks by the hash of their key, of half that many on average."""
+    n = queries.count()
+    blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
+    of = F.pmod(F.xxhash64(key), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        near = near_block(vectors, queries if blocks == 1 else queries.where(of == b), k, key, vector)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def near_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """The k nearest rows of each of a bounded set of queries, which every task holds."""
     q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")))
     d = vectors.join(q, F.lit(True)).select("query_id", F.col(key), l2(F.col(vector), F.col("q")).alias("distance"))
     near = d.groupBy("query_id", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", key))), 1, k).alias("s"))

@@ -217,6 +217,12 @@ def vector_topk_batch(t):
     return V.top_k_batch(e, e.where("vec_id < 20")).select("query_id", "vec_id", "rank")
 
 
+@query("WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 3")
+def vector_topk_batch_hundredths(t):
+    e = t("embeddings")
+    return V.top_k_batch(e, e.where("vec_id % 100 = 0")).select("query_id", "vec_id", "rank")
+
+
 @query("WITH o AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)) SELECT min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM o GROUP BY r")
 def consecutive_runs(t):
     o = t("orders").where("o_orderkey % 7 <> 0").select(F.lit(1).alias("one"), "o_orderkey")

@@ -88,3 +88,16 @@ def test_model_output(spark):
     whole, parts = evaluation.event_items(F.col("e"))
     r = e.select(whole.alias("w"), parts.alias("p")).first()
     assert [tuple(x) for x in r.w] == [("t", "g")] and [tuple(x) for x in r.p] == [("t", "a", "r")]
+
+
+def test_top_k_batch_in_blocks(spark):
+    from graphloom.operators import vectors
+
+    rows = [(i, [float(i * 37 % 101), float(i * 53 % 97)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.top_k_batch(df, df.where("vec_id % 2 = 0"), 3, most_queries=15).collect()
+    want = set()
+    for q, a in rows[::2]:
+        near = sorted((((a[0] - x[0]) ** 2 + (a[1] - x[1]) ** 2) ** 0.5, v) for v, x in rows)[:3]
+        want |= {(q, v, r + 1) for r, (_, v) in enumerate(near)}
+    assert len(got) == len(want) and {(x.query_id, x.vec_id, x["rank"]) for x in got} == want
