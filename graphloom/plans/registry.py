@@ -52,6 +52,15 @@ def graph_two_hop_collect(t):
     return p.rows.groupBy(c("na.n_name").alias("n_name")).agg(ids.alias("ids"))
 
 
+@query("SELECT n_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def graph_two_hop_collect_all(t):
+    e1 = t("orders").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"))
+    e2 = t("customer").select(c("c_custkey").alias("src"), c("c_nationkey").alias("dst"))
+    p = G.Pattern(t("orders"), "o").out(e1, "o_orderkey", t("customer"), "cu", "c_custkey").out(e2, "c_custkey", t("nation"), "na", "n_nationkey")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o.o_orderkey")), lambda x: x.cast("string")), ",")
+    return p.rows.groupBy(c("na.n_name").alias("n_name")).agg(ids.alias("ids"))
+
+
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part WHERE contains(p_name, 'a')) GROUP BY word")
 def graph_contains_unwind_count(t):
     return t("part").where(F.contains("p_name", F.lit("a"))).select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(n_rows().alias("n"))
