@@ -1,88 +1,58 @@
-"""Line dedup by an exact set-similarity join (DataFrame functions only).
+"""Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five words (a line of fewer words is one token), compared as 64-bit
 hashes. A line is removed if an earlier line of the corpus, by (doc_id, line number), has a
 Jaccard similarity of at least 0.8 to it, whether that one stays or goes.
 
-1. Rarity: tokens are counted over the whole corpus in a fixed number of hashed
-   buckets, so that the order (class of the bucket's count, hash) is total and its table has a fixed size.
-2. Lines of equal words are one node, whose first line may stay.
-3. Prefix filter: only the first n - ceil(0.8 n) + 1 tokens of a node are dealt by
-   token. Lines that hold a share of all lines are cut to their first before that.
-4. Each node meets the earliest node that shares a token first; only those that don't
-   match it meet the others. Length and positional filters come before any pair is made, so a family
-   of copies costs a pair a node, not all pairs.
-5. Pairs are verified on whole token sets, fetched for these lines alone.
+1. Rarity: tokens are counted over the whole corpus by bucket of their hash, and the hot ones each by itself; the order is by
+   the class of the count, then by hash. Both tables have a fixed size.
+2. Lines of equal words (by 128 bits) are one node, whose first line may stay.
+3. Prefix filter: only the first n - ceil(0.8 n) + 1 tokens of a node are dealt by token, and the rows of very hot ones to as many
+   groups as their counts ask for, up to 64.
+   Lines that hold a share of all lines are cut to their first before that.
+4. Each node meets the earliest one of its group first; these of a hot token meet the earliest of all. Only nodes that match
+   neither meet the others, so that a family of copies costs a pair a node, not all pairs. Length and positional filters come before any pair is made.
+5. Pairs are verified on whole token sets, made again for these lines alone.
+
+Tokens are hashed, sorted and cut in Arrow batches (``shingles``), joins are Spark's: with array functions, which are
+interpreted, hashing and ordering alone took most of the time that the whole operator has.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import missing_names, saved, table
+from graphloom.llm.common import dropped, missing_names, saved, small_batches, table
+from graphloom.llm.shingles import HotTokens, Rarity, Words, groups, places, sorted_sets
 
 SHINGLE = 5
-BUCKETS = 1 << 13
 #: A node with over 1 / HOT_SHARE of all lines (so HOT_SHARE nodes at most) is cut to its first line before the deal.
 HOT_SHARE = 10_000
-FILTER_WORDS = 1 << 16
+#: A token's rows are dealt to 2^(c - SALT_FROM) groups, 64 at most, where its count is 2^c times the least hot one: to groups of about 8,192 rows.
+SALT_FROM, SALT_BITS = 8, 6
+#: Longs of a membership bitmap, of 63 bits each: about 16 bits a member, within these bounds.
+FILTER_WORDS = (1 << 8, 1 << 18)
 #: Jaccard similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
+NO_ID = (1 << 63) - 1
 
 
-def with_words(rows: DataFrame) -> DataFrame:
-    """``line`` as the array ``words``; rows without words go.
-
-    Lines are cut at single spaces without a pattern; those that hold other ASCII white space are cut by one.
-    Through explode, beneath which no filter is pushed: else an expression on words would cut the line anew each time.
-    """
-    other = F.lit(False)
-    for space in "\t\x0b\x0c\r":
-        other = other | F.contains("line", F.lit(space))
-    cut = F.when(other, F.split("line", r"[\x20\x09-\x0D]+")).otherwise(F.split("line", " "))
-    return rows.select("did", "dh", "line_no", F.explode(F.array(F.array_remove(cut, ""))).alias("words")).where(F.size("words") > 0)
-
-
-def runs_of(words: str, shingle: int) -> Column:
-    """The runs of ``shingle`` words, an array of structs; empty for fewer words."""
-    n = F.greatest(F.size(words) - (shingle - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(shingle)])
-
-
-def with_tokens(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``words`` as ``toks``, the distinct hashes of the shingles (a line of fewer words is one)."""
-    many = F.when(F.size("words") < shingle, F.array(F.xxhash64("words"))).otherwise(F.array_distinct(F.transform(runs_of("words", shingle), lambda r: F.xxhash64(r))))
-    return rows.select(*[c for c in rows.columns if c != "words"], F.explode(F.array(many)).alias("toks"))
-
-
-def lines(docs: DataFrame, text: str, key: str, test: Column | None = None) -> DataFrame:
-    """(did, dh, line_no, line) of the documents that pass ``test``: ``dh`` tells documents of one doc_id apart; null doc_ids come last."""
+def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(did, dh, t): ``dh`` tells documents of one doc_id apart; null doc_ids come last, null texts are empty."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    d = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.xxhash64(t).alias("dh"), t.alias("t"))
-    if test is not None:
-        d = d.where(test)
-    return d.select("did", "dh", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-
+    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(t).alias("dh"), t.alias("t"))
 
-def rarity_classes(rows: DataFrame, shingle: int = SHINGLE) -> list[int]:
-    """A class of 0 to 127 for each bucket of tokens: how far its count is above or below the mean, by the logarithm of standard deviations.
 
-    ``rows``: words. Every shingle counts, repeats included, as a row of its own, so that hashing and counting are compiled code.
-    """
-    counted = rows.select(F.explode(runs_of("words", shingle)).alias("r")).select(F.xxhash64("r").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()  # BUCKETS rows at most
-    mean = sum(r["count"] for r in counted) / BUCKETS
-    out = [0] * BUCKETS
-    for r in counted:
-        z = (r["count"] - mean) / math.sqrt(mean)
-        out[r["b"]] = max(0, min(127, 64 + int(math.copysign(6 * math.log2(1 + abs(z)), z))))
-    return out
+def need(n):
+    """ceil(NUM n / DEN): the least tokens that a match of a node of n tokens shares with it."""
+    return (n * NUM + (DEN - 1)) // DEN
 
 
-def need(n: Column) -> Column:
-    """ceil(NUM n / DEN): the least tokens that a match of a node of n tokens shares with it."""
+def need_column(n: Column) -> Column:
     return F.floor((n * NUM + (DEN - 1)) / DEN).cast("int")
 
 
@@ -98,75 +68,216 @@ def fits(x: str, y: str, first_shared: bool) -> Column:
     """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
     upto = F.lit(1) if first_shared else F.least(i, j)
-    return (m >= need(n)) & (n >= need(m)) & (upto + F.least(n - i, m - j) >= overlap(n, m))
+    return (m >= need_column(n)) & (n >= need_column(m)) & (upto + F.least(n - i, m - j) >= overlap(n, m))
 
 
 def member_filter(rows: DataFrame, *names: str) -> Column:
-    """A test of columns ``names`` that passes all of ``rows`` and few others: a bitmap of FILTER_WORDS longs, whatever the input."""
-    h = F.pmod(F.xxhash64(*names), F.lit(FILTER_WORDS * 63))
+    """A test of columns ``names`` that passes all of ``rows`` and few others, while these are few: a bitmap of at most FILTER_WORDS longs."""
+    least, most = FILTER_WORDS
+    size = max(least, min(most, rows.count() * 16 // 63))
+    h = F.pmod(F.xxhash64(*names), F.lit(size * 63))
     words = rows.select(h.alias("h")).groupBy(F.floor(F.col("h") / 63).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 63 as int))")).alias("v"))
-    bits = [0] * FILTER_WORDS
-    for r in words.collect():  # FILTER_WORDS rows at most
+    bits = [0] * size
+    for r in words.toLocalIterator():  # ``size`` rows at most
         bits[r["w"]] = r["v"]
     held = rows.sparkSession.createDataFrame([(bits,)], "bits array<long>").scalar()
     return F.call_function("shiftright", F.get(held, F.floor(h / 63).cast("int")), (h % 63).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+LINES = "did long, dh long, line_no int, times int, lid long, lid2 long, n int, s0 long, s1 long, s2 long, s3 long, tok long, seen long, buckets array<int>"
+#: A node's signature: a bitmap of its tokens in four longs. A bit that one node alone has is a token that the other lacks.
+SIGNATURE = ("s0", "s1", "s2", "s3")
+
+
+def bitmaps(h: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of tokens (repeats included, so at least that of distinct ones) and the signature of each unit."""
+    bits = np.zeros((units, 64 * len(SIGNATURE)), np.uint8)
+    bits[unit, (h >> np.uint64(40)).astype(np.int64) % bits.shape[1]] = 1
+    return np.bincount(unit, minlength=units).astype(np.int32), np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+def first_of(*keys: np.ndarray) -> np.ndarray:
+    """For each row how many have its keys if it is the first of them, else 0."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    out = np.zeros(len(order), np.int32)
+    out[order[at]] = np.diff(np.append(at, len(order)))
+    return out
+
+
+def may_match(a: str, b: str) -> Column:
+    """Whether nodes ``a`` and ``b`` can have the similarity, by their signatures: what one alone has lies outside both's overlap.
+
+    |a & b| <= |a| - |a alone|, so that similar sets have |a alone| + |b alone| <= (1 - s) / (1 + s) (|a| + |b|); ``n`` is at least |a|.
+    """
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{s}")))) for s in SIGNATURE)
+    return (alone(a, b) + alone(b, a)) * (NUM + DEN) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM)
+
+
+def scanned(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row for each line with words: its place, ``lid``, ``lid2``, the 128 bits of its words, its number of tokens and signature; ``times`` is how often the document has the line at its first place in it, else 0. Rows with ``tok`` alone are a task's hot tokens and how often it has ``seen`` them, one with ``buckets`` its counts by bucket."""
+    small_batches(docs.sparkSession)
+    names = [x.split()[0] for x in LINES.split(", ")]
+
+    def run(batches):
+        hot = HotTokens()
+        for b in batches:
+            did, dh = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for at, part in groups(b.column(2)):
+                w = Words(part, lines=True)
+                h, unit = w.shingles(shingle)
+                hot.add(h)
+                n, sig = bitmaps(h, unit, len(w.count))
+                some = np.flatnonzero(w.count)
+                lid = w.digests()[some]
+                doc = w.text[some] + at
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(did[doc]), pa.array(dh[doc]), pa.array(w.line_no[some].astype(np.int32)), pa.array(first_of(doc, *lid.T)), pa.array(lid[:, 0].copy()), pa.array(lid[:, 1].copy()), pa.array(n[some]), *[pa.array(x) for x in sig[some].T.copy()], none, none, pa.nulls(len(some), pa.list_(pa.int32()))], names=names)
+        tok, seen = hot.told()
+        more = {"tok": [*tok.tolist(), None], "seen": [*seen.tolist(), None], "buckets": [None] * len(tok) + [hot.buckets.tolist()]}
+        kinds = {"line_no": pa.int32(), "times": pa.int32(), "n": pa.int32(), "buckets": pa.list_(pa.int32())}
+        yield pa.RecordBatch.from_arrays([pa.array(more.get(x, [None] * (len(tok) + 1)), kinds.get(x, pa.int64())) for x in names], names=names)
+
+    return docs.mapInArrow(run, LINES)
+
+
+def rarity(found: DataFrame) -> Rarity:
+    """The order of the tokens, by ``found`` of all tasks."""
+    buckets = np.zeros(HotTokens.BUCKETS, np.int64)
+    for r in found.where("buckets is not null").select(F.posexplode("buckets").alias("b", "c")).groupBy("b").agg(F.sum("c").alias("c")).collect():  # a row a bucket
+        buckets[r["b"]] = r["c"]
+    least = max(Rarity.LEAST, int(buckets.sum()) // Rarity.SHARE)
+    hot = found.where("tok is not null").groupBy("tok").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).orderBy(F.desc("seen"), "tok").limit(Rarity.MOST)  # one left out stays in its bucket's class
+    return Rarity([(r["tok"], r["seen"]) for r in hot.collect()], buckets)
+
+
+def salt_bits(classes: np.ndarray) -> np.ndarray:
+    """The bits of the salt of tokens of ``classes``; see ``Rarity``."""
+    return np.clip((classes - Rarity.COMMON - 1) // 4 - SALT_FROM, 0, SALT_BITS).astype(np.uint64)
+
+
+def prefixes(docs: DataFrame, order: Rarity, cut: dict, shingle: int) -> DataFrame:
+    """(g, lid, did, np) of the prefix tokens of each line: ``g`` is the token, with a salt in the low bits if it is very hot, ``np`` the number of tokens and the place. ``cut``: the first places of nodes of which only these are dealt."""
+    small_batches(docs.sparkSession)
+    held = np.array(sorted({lid for lid, _ in cut}), np.int64)
+
+    def run(batches):
+        for b in batches:
+            did, dh = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for at, part in groups(b.column(2)):
+                w = Words(part, lines=True)
+                lid, lid2 = w.digests().T.copy()
+                doc = w.text + at
+                for i in np.flatnonzero(np.isin(lid, held)).tolist():
+                    here = int(did[doc[i]]), int(dh[doc[i]]), int(w.line_no[i])
+                    if cut.get((int(lid[i]), int(lid2[i])), here) != here:
+                        w.count[i] = 0
+                t, unit = sorted_sets(*(lambda h, u: (order(h), u))(*w.shingles(shingle)))
+                n, place = places(unit, len(w.count))
+                keep = place < (n - need(n) + 1)[unit]
+                t, unit, place = t[keep], unit[keep], place[keep]
+                low = (np.uint64(1) << salt_bits((t >> np.uint64(56)).astype(np.int64))) - np.uint64(1)
+                g = t & ~low | lid.view(np.uint64)[unit] & low
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(lid[unit]), pa.array(did[doc[unit]]), pa.array(n[unit] << 32 | place + 1)], names=["g", "lid", "did", "np"])
+
+    return docs.mapInArrow(run, "g long, lid long, did long, np long")
+
+
+def removed_nodes(docs: DataFrame, nodes: DataFrame, order: Rarity, cut: dict, shingle: int) -> DataFrame:
+    """(g_first): the first places of the nodes that an earlier one matches."""
+    p = prefixes(docs, order, cut, shingle)
+    by = Window.partitionBy("g")
+    bits = F.greatest(F.lit(0), F.least(F.lit(SALT_BITS), F.floor((F.shiftright("g", 56) - (Rarity.COMMON + 1)) / 4).cast("int") - SALT_FROM))
+    # a salted token's groups meet one another, so that one of a single node counts too
+    p = p.withColumn("least", F.min("lid").over(by)).withColumn("last", F.max("lid").over(by)).where((F.col("last") != F.col("least")) | (bits > 0)).drop("least", "last")
+    p = p.withColumn("lead", F.min(F.struct("did", "lid", "np")).over(by)).groupBy("g", "lid", "np").agg(F.first("lead").alias("lead"), F.min("did").alias("did"))
+    split = lambda lid, c: F.struct(F.col(lid).alias("lid"), F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    tok = F.call_function("shiftleft", F.call_function("shiftright", F.col("g"), bits), bits)
+    shared = saved(p.select(tok.alias("tok"), split("lid", "np").alias("x"), split("lead.lid", "lead.np").alias("y"), "did", F.col("lead.did").alias("lead_did"), (bits > 0).alias("hot")), "line_shared")
+
+    # the earliest of each group of a salted token meet the earliest of all
+    leads = shared.where("hot").select("tok", "y", "lead_did").distinct()
+    top = leads.groupBy("tok").agg(F.min(F.struct("lead_did", "y"))["y"].alias("top")).withColumnRenamed("tok", "t_tok")
+    meet = shared.select("x", "y").unionByName(leads.join(top, F.col("tok") == F.col("t_tok")).select(F.col("y").alias("x"), F.col("top").alias("y")))
+    meet = meet.where("x.lid <> y.lid").where(fits("x", "y", False)).select(F.col("x.lid").alias("u"), F.col("y.lid").alias("v")).distinct()
+    met = matches(docs, nodes, meet, shingle)
+
+    place = nodes.select(F.col("lid").alias("n_lid"), F.col("first"))
+    left = shared.join(place, F.col("x.lid") == F.col("n_lid")).drop("n_lid")
+    left = left.join(met.withColumnRenamed("g_first", "m"), F.col("first") == F.col("m"), "left_anti")
+    others = shared.select("tok", F.col("x").alias("z"), F.col("did").alias("z_did"))
+    more = left.join(others, "tok").where("z_did <= did and x.lid <> z.lid and z.lid <> y.lid").where(fits("x", "z", True))
+    more = more.select(F.greatest("x.lid", "z.lid").alias("u"), F.least("x.lid", "z.lid").alias("v")).distinct()
+    return met.unionByName(matches(docs, nodes, more, shingle)).distinct()
+
+
+def matches(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(g_first): the first place of the later node of each of ``pairs`` (u, v: lids) whose token sets have the similarity. Only lines of pairs are cut into tokens."""
+    place = lambda name: nodes.select(F.col("lid").alias(f"{name}_lid"), F.struct("first", "n", *SIGNATURE).alias(name))
+    two = pairs.join(place("a"), F.col("u") == F.col("a_lid")).join(place("b"), F.col("v") == F.col("b_lid")).where("a.first <> b.first").where(may_match("a", "b"))
+    two = saved(two.select(F.greatest("a.first", "b.first").alias("a"), F.least("a.first", "b.first").alias("b")).distinct(), "line_pairs")
+    wanted = two.select(F.explode(F.array("a", "b")).alias("at")).groupBy(F.col("at.did").alias("did"), F.col("at.dh").alias("dh")).agg(F.collect_set("at.line_no").alias("nos"))  # lines of one document
+    wanted = saved(wanted, "line_wanted")
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        done = set()
+        for b in batches:
+            did, dh = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for at, part in groups(b.column(2)):
+                w = Words(part, lines=True)
+                nos = b.column(3).slice(at, len(part))
+                kept = np.zeros(len(w.count), bool)
+                start = np.flatnonzero(w.line_no == 0)
+                text = np.repeat(np.arange(len(part)), np.asarray(nos.value_lengths()))
+                kept[start[text] + np.asarray(nos.flatten())] = True
+                # a document that is repeated in a task counts once
+                again = np.zeros(len(part), bool)
+                for i, k in enumerate(zip(did[at : at + len(part)].tolist(), dh[at : at + len(part)].tolist())):
+                    again[i] = k in done
+                    done.add(k)
+                kept &= ~again[w.text]
+                w.count[~kept] = 0
+                t, unit = w.shingles(shingle)
+                t, unit = sorted_sets(t >> np.uint64(1), unit)
+                some = np.flatnonzero(kept)
+                sizes = np.bincount(unit, minlength=len(w.count))[some]
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(t.view(np.int64)))
+                doc = w.text[some] + at
+                yield pa.RecordBatch.from_arrays([pa.array(did[doc]), pa.array(dh[doc]), pa.array(w.line_no[some].astype(np.int32)), sets], names=["did", "dh", "line_no", "toks"])
+
+    some = docs.where(member_filter(wanted, "did", "dh")).join(wanted, ["did", "dh"]).select("did", "dh", "t", "nos")
+    sets = saved(some.mapInArrow(run, "did long, dh long, line_no int, toks array<long>").select(F.struct("did", "dh", "line_no").alias("at"), "toks"), "line_sets")
+    both = two.join(sets.select(F.col("at").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("at").alias("b"), F.col("toks").alias("tb")), "b")
+    same = F.size(F.array_intersect("ta", "tb"))
+    good = same * DEN >= (F.size("ta") + F.size("tb") - same) * NUM
+    out = saved(both.where(good).select(F.col("a").alias("g_first")).distinct(), "line_matches")
+    dropped(two, wanted, sets)
+    return out
+
+
 def removed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(did, dh, line_no) of every line to remove."""
-    base = with_words(lines(docs, text, key))
-    classes = rarity_classes(base, shingle)
-    at = F.struct("did", "dh", "line_no")
-    base = base.withColumn("lid", F.xxhash64("words"))
-    occurrences = saved(base.select("did", "dh", "line_no", "lid"), "line_occurrences")
-    nodes = saved(occurrences.groupBy("lid").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")), "line_nodes")
+    rows = keyed(docs, text, key)
+    found = saved(scanned(rows, shingle), "line_places")
+    lines = found.where("lid is not null")
+    # the first document as one number, (did, 60 bits of dh), and longs throughout: aggregated by hash, not by sorting
+    document = F.col("did").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.shiftrightunsigned("dh", 4).cast("decimal(19,0)")
+    first = F.struct(F.min("did").alias("did"), F.min_by("dh", document).alias("dh"), F.min_by("line_no", document).alias("line_no"))
+    nodes = lines.where("times > 0").groupBy("lid", "lid2").agg(first.alias("first"), F.sum("times").alias("copies"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in SIGNATURE])
+    nodes = saved(nodes, "line_nodes")
     n_lines = nodes.agg(F.sum("copies")).first()[0] or 0
-    hot = nodes.where(F.col("copies") > max(1, n_lines // HOT_SHARE)).select(F.col("lid").alias("h_lid"), F.col("first").alias("h_first"))
-    # lines of fewer words match equal ones alone, which are one node: nothing to deal
-    dealt = base.where(F.size("words") >= shingle).join(F.broadcast(hot), F.col("lid") == F.col("h_lid"), "left").where("h_lid is null or struct(did, dh, line_no) = h_first")  # HOT_SHARE rows at most
-
-    # a token under its class: the class above the hash's upper 56 bits, so that the order of rarity is the order of numbers
-    table_of = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # folded to one literal
-    rarest = F.sort_array(F.transform("toks", lambda t: F.shiftleft(F.get(table_of, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
-    n = F.size("toks")
-    prefix = F.posexplode(F.slice(rarest, 1, n - need(n) + 1))
-    p = with_tokens(dealt.select("did", "line_no", "lid", "words"), shingle).select("did", "line_no", "lid", n.alias("n"), prefix.alias("i", "tok"))
-    p = p.select("tok", "lid", "did", "line_no", (F.col("n") * F.lit(1 << 32) + F.col("i") + 1).alias("np"))
-    p = p.repartition("tok").groupBy("tok", "lid").agg(F.min(F.struct("did", "line_no")).alias("early"), F.first("np").alias("np"))
-    by_token = Window.partitionBy("tok")
-    p = p.withColumn("lead", F.min(F.struct("early", "lid", "np")).over(by_token)).withColumn("last", F.max("lid").over(by_token)).withColumn("least", F.min("lid").over(by_token))
-    split = lambda c: (F.shiftright(c, 32).cast("int").alias("n"), F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
-    shared = p.where("last <> least").select("tok", F.struct("lid", *split("np")).alias("x"), F.struct("lead.lid", *split("lead.np")).alias("y"))
-    place = nodes.select(F.col("lid").alias("n_lid"), "first")
-    shared = saved(shared.join(place, F.col("x.lid") == F.col("n_lid")).drop("n_lid"), "line_shared")
-
-    pairs = shared.where("x.lid <> y.lid").where(fits("x", "y", False)).select(F.col("first").alias("u"), F.col("y.lid").alias("l")).distinct()
-    pairs = pairs.join(place.withColumnRenamed("first", "v"), F.col("l") == F.col("n_lid")).select(F.when(F.col("u") < F.col("v"), F.col("v")).otherwise(F.col("u")).alias("a"), F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v")).alias("b"))
-    met = matches(docs, pairs, text, key, shingle)
-    rest = shared.join(met.withColumnRenamed("a", "m"), F.col("first") == F.col("m"), "left_anti")
-    others = shared.select("tok", F.col("x").alias("z"), F.col("first").alias("z_first"))
-    more = rest.join(others, "tok").where("z_first < first").where("x.lid = y.lid or z.lid <> y.lid").where(fits("x", "z", True))
-    met2 = matches(docs, more.select(F.col("first").alias("a"), F.col("z_first").alias("b")).distinct(), text, key, shingle)
-    gone = met.unionByName(met2).distinct().select(F.col("a").alias("g_first"))
-
+    often = nodes.where(F.col("copies") > max(1, n_lines // HOT_SHARE)).select("lid", "lid2", "first").collect()  # HOT_SHARE rows at most
+    cut = {(r["lid"], r["lid2"]): tuple(r["first"]) for r in often}
+    order = rarity(found)
+    gone = removed_nodes(rows, nodes, order, cut, shingle)
     judged = nodes.join(gone, F.col("first") == F.col("g_first"), "left").where("copies > 1 or g_first is not null")
-    judged = judged.select(F.col("lid").alias("j_lid"), "first", F.col("g_first").isNotNull().alias("gone"))
-    found = occurrences.join(judged, F.col("lid") == F.col("j_lid")).where("gone or struct(did, dh, line_no) <> first")
-    return found.select("did", "dh", "line_no").distinct()
-
-
-def matches(docs: DataFrame, pairs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
-    """(a): first members of ``pairs`` (a, b: places of lines) whose token sets have the similarity. Only lines of pairs are cut into tokens."""
-    pairs = saved(pairs, "line_pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*")
-    some = lines(docs, text, key, member_filter(wanted, "did", "dh")).where(member_filter(wanted, "did", "dh", "line_no"))
-    some = some.join(wanted, ["did", "dh", "line_no"], "left_semi")
-    sets = with_tokens(with_words(some), shingle).groupBy(F.struct("did", "dh", "line_no").alias("at")).agg(F.first("toks").alias("toks"))
-    sets = saved(sets, "line_sets")
-    both = pairs.join(sets.select(F.col("at").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("at").alias("b"), F.col("toks").alias("tb")), "b")
-    same = F.size(F.array_intersect("ta", "tb"))
-    good = same * DEN >= (F.size("ta") + F.size("tb") - same) * NUM
-    return saved(both.where(good).select("a").distinct(), "line_matches")
+    judged = judged.select(F.col("lid").alias("j_lid"), F.col("lid2").alias("j_lid2"), "first", F.col("g_first").isNotNull().alias("gone"))
+    out = lines.join(judged, (F.col("lid") == F.col("j_lid")) & (F.col("lid2") == F.col("j_lid2"))).where("gone or struct(did, dh, line_no) <> first")
+    return out.select("did", "dh", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -177,17 +288,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     bear the added names, the added ones stay. Empty input, empty result.
     """
     docs = docs.drop("n_lines", "n_removed")
-    a, b, no, did, dh = missing_names(docs, "r_did", "r_dh", "r_no", "r_key", "r_hash")
-    gone = removed_lines(docs, text, key, shingle).groupBy(F.col("did").alias(a), F.col("dh").alias(b)).agg(F.collect_set("line_no").alias(no))
+    a, b, no, did, dh, cut = missing_names(docs, "r_did", "r_dh", "r_no", "r_key", "r_hash", "r_cut")
+    gone = removed_lines(docs, text, key, shingle).groupBy(F.col("did").alias(a), F.col("dh").alias(b)).agg(F.sort_array(F.collect_list("line_no")).alias(no))  # lines of one document
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumn(did, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1))).withColumn(dh, F.xxhash64(t))
-    j = keyed.join(gone, (F.col(did) == F.col(a)) & (F.col(dh) == F.col(b)), "left")
-    parts = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(no), i)), "\n")
-    out = j.withColumn("n_lines", F.size(F.split(t, "\n"))).withColumn("n_removed", F.coalesce(F.when(F.col(no).isNotNull(), F.size(no)), F.lit(0)))
-    return out.withColumn(text, F.when(F.col(no).isNull(), F.col(f"`{text}`")).otherwise(kept)).drop(a, b, no, did, dh)
+    rows = docs.withColumn(did, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID))).withColumn(dh, F.xxhash64(t))
+    j = rows.join(gone, (F.col(did) == F.col(a)) & (F.col(dh) == F.col(b)), "left")
+    # whether each line up to the last removed one goes: a false for each line between two of the sorted numbers; made once, through explode
+    gaps = F.transform(F.col(no), lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get(F.col(no), i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    j = j.withColumn(cut, F.explode(F.array(F.struct(F.split(t, "\n").alias("lines"), F.flatten(gaps).alias("goes")))))
+    kept = F.array_join(F.filter(F.col(cut)["lines"], lambda x, i: ~F.coalesce(F.get(F.col(cut)["goes"], i), F.lit(False))), "\n")
+    out = j.withColumn("n_lines", F.size(F.col(cut)["lines"])).withColumn("n_removed", F.coalesce(F.when(F.col(no).isNotNull(), F.size(no)), F.lit(0)))
+    return out.withColumn(text, F.when(F.col(no).isNull(), F.col(f"`{text}`")).otherwise(kept)).drop(a, b, no, did, dh, cut)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "n_lines", F.col("n_removed").alias("n_links"), (F.col("n_lines") - F.col("n_removed")).alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return docs.select("doc_id", "n_lines", "n_removed", (F.col("n_lines") - F.col("n_removed")).alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
