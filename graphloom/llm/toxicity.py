@@ -303,7 +303,10 @@ def held_out(key) -> F.Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Network | None:
-    """Trains on labelled rows that are not held out; a doc_id that has several rows or labels may train with each."""
+    """Trains on labelled rows that are not held out: at most ``most_toxic`` and ``most_clean`` doc_ids, those of the least hashes.
+
+    A doc_id of several texts trains with that of the least hash; one of both labels with each.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("k"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").alias("k")).distinct(), "k", "left_semi").where(~held_out("k")).distinct()
     some = None
@@ -314,9 +317,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
     if not ids:
         return None
     chosen = docs.sparkSession.createDataFrame(ids, "k long, toxic int")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("k", "toxic", "text").limit(2 * (most_toxic + most_clean)).collect()
-    rows.sort(key=lambda r: (r["k"], r["toxic"], r["text"] or ""))
-    return trained([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).groupBy("k", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).collect()  # a row for each of ``ids``
+    rows.sort(key=lambda r: (r["k"], r["toxic"]))
+    return trained([r["t"]["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def scored(docs: DataFrame, net: Network | None) -> DataFrame:
