@@ -151,7 +151,7 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES, range_rows: int =
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("place", F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)))
+    d = d.withColumn("place", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))
     ids = d.select("place")
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, n // range_rows))
@@ -186,7 +186,7 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES, range_rows: int =
     dealt = d.select("doc_id", "text", "place", F.explode(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead")), F.struct(extra.alias("range"), F.lit(True).alias("ahead")))).alias("to"))
     dealt = dealt.where("to.range is not null").select(F.col("to.range").alias("range"), F.col("to.ahead").alias("ahead"), "doc_id", "place", "text")
     parts = max(1, min(len(order), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "place", F.col("text").desc())
+    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "ahead", "place", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
     def run(batches):
         draw = Sampler(samples)
