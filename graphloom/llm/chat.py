@@ -8,21 +8,30 @@ in the rendered text, so that no conversation is gathered in one row or task; ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
 SYSTEM = "system"
+#: Characters that a name holds as %xx in a segment's head, so that it ends no mark.
+IN_NAMES = {"%": "%25", "|": "%7C", "<": "%3C", ">": "%3E", "\n": "%0A", "\r": "%0D"}
 #: Turns of one block of a conversation's prefix sum, about.
 BLOCK = 4096
 
 
+def escaped_name(name: Column) -> Column:
+    for c, code in IN_NAMES.items():
+        name = F.replace(name, F.lit(c), F.lit(code))
+    return name
+
+
 def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
-    """(conv_id, speaker, turn, name, segment, start, end, in_loss) of ``turns`` (conv_id, turn, role, text).
+    """(conv_id, speaker, turn, name, segment, start, end, in_loss, loss_start) of ``turns`` (conv_id, turn, role, text).
 
     A segment is ``<|assistant|>``, ``<|user:NAME|>`` or ``<|system|>``, a line end, the text,
-    ``<|end|>`` and a line end; start and end are code points in the dialogue; in_loss marks the
+    ``<|end|>`` and a line end. What a participant writes can't pass for a mark: in texts ``<|`` is written ``<||``
+    (undone by the inverse), in names the characters of ``IN_NAMES`` as %xx. start and end are code points in the dialogue; in_loss marks the
     assistant's segments, whose loss counts from after the head (``loss_start``) to ``end``. Null texts are empty;
     a null role is the participant ``unknown``; null conv_ids are one conversation; null turns come first, ties go by
     role and text, and equal rows are each a turn. A conversation of system turns alone has
@@ -32,8 +41,8 @@ def rotate(turns: DataFrame, system: str = SYSTEM) -> DataFrame:
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long"))
     who = t.where(F.col("name") != system).select(F.col("conv_id").alias("w_conv"), F.col("name").alias("speaker")).distinct()
     r = t.join(who, F.col("conv_id").eqNullSafe(F.col("w_conv"))).drop("w_conv")
-    head = F.when(F.col("name") == system, F.lit("<|system|>\n")).when(F.col("name") == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), F.col("name"), F.lit("|>\n")))
-    r = r.withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit("<|end|>\n"))).withColumn("n", F.length("segment"))
+    head = F.when(F.col("name") == system, F.lit("<|system|>\n")).when(F.col("name") == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), escaped_name(F.col("name")), F.lit("|>\n")))
+    r = r.withColumn("head", head).withColumn("segment", F.concat("head", F.replace("text", F.lit("<|"), F.lit("<||")), F.lit("<|end|>\n"))).withColumn("n", F.length("segment"))
     blocks = r.groupBy("conv_id", "speaker", "block").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv_id").alias("b_conv"), F.col("speaker").alias("b_speaker"), F.col("block").alias("b_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -66,10 +75,11 @@ WITH t AS (
 ), r AS (
   SELECT t.conv_id, w.speaker, t.turn, t.name, t.body,
     CASE WHEN name = 'system' THEN '<|system|>' || chr(10) WHEN name = speaker THEN '<|assistant|>' || chr(10)
-         ELSE '<|user:' || name || '|>' || chr(10) END AS head
+         ELSE '<|user:' || replace(replace(replace(replace(replace(replace(name, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A'), chr(13), '%0D')
+           || '|>' || chr(10) END AS head
   FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id
 ), s AS (
-  SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM r
+  SELECT *, head || replace(body, '<|', '<||') || '<|end|>' || chr(10) AS segment FROM r
 ), u AS (
   SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, name, body
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM s
