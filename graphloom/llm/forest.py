@@ -5,9 +5,10 @@ is the sorted array of these strings. A query descends by binary search to the r
 its longest prefix, then ascends in all trees at once, one bit at a time, until enough
 candidates have been seen; these are scored by exact inner products.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` (by hash of the id), each with a whole forest, and the queries
-to every shard in blocks; a query's answers of all shards are merged. A level's whole prefix
-range is taken, so that candidates have no cap.
+Rows are dealt to shards of about ``SHARD_ROWS`` (by hash of their number), each with a whole forest. The queries are dealt to
+blocks of about ``QUERY_BLOCK``, and each block meets each shard in a group of its own, so that a group holds a shard and a block,
+whatever the input; a query's answers of all shards are merged. A level's whole prefix range is taken, so that candidates have no
+cap. Work is queries times rows by ``SHARE``.
 
 Largest inner product is turned into largest cosine by one more component,
 sqrt(M^2 - |x|^2) with M the greatest norm, 0 for queries; only hashing uses it.
@@ -27,7 +28,8 @@ BITS = 32
 #: The share of a shard's rows at which a query's ascent ends.
 SHARE = 0.45
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 1_024
+#: Queries of a block, about, and of one step within it.
+QUERY_BLOCK, QUERY_STEP = 8_192, 1_024
 TOP = 20
 
 
@@ -74,64 +76,65 @@ class Forest:
 
 
 def searched(shards: DataFrame, queries: DataFrame, most_norm: float, top: int, trees: int, bits: int, share: float) -> DataFrame:
-    """The best ``top`` of each shard: (query_id, vec_id, score). ``shards`` (shard, vec_id, v), ``queries`` (shard, block, vec_id, v)."""
+    """The best ``top`` of each shard: (query_row, query_id, vec_id, score). ``shards`` and ``queries``: (shard, block, row, vec_id, v)."""
 
     def run(key, left, right):
-        ids, x = left.column("vec_id").to_numpy(), stacked(left.column("v"))
-        if not len(ids) or not right.num_rows:
+        if not left.num_rows or not right.num_rows:
             return empty()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
+        ids, rows, x = left.column("vec_id").to_numpy(), left.column("row").to_numpy(), stacked(left.column("v"))
+        order = np.lexsort((rows, ids))
+        ids, rows, x = ids[order], rows[order], x[order]
         forest = Forest(x, most_norm, trees, bits)
-        qi, qv = right.column("vec_id").to_numpy(), stacked(right.column("v"))
+        qi, qr, qv = right.column("vec_id").to_numpy(), right.column("row").to_numpy(), stacked(right.column("v"))
         enough = max(2 * (top + 1), int(np.ceil(share * len(ids))))
         out: list = []
-        for at in range(0, len(qi), QUERY_BLOCK):
-            own, v = qi[at : at + QUERY_BLOCK], qv[at : at + QUERY_BLOCK]
+        for at in range(0, len(qi), QUERY_STEP):
+            own, name, v = qr[at : at + QUERY_STEP], qi[at : at + QUERY_STEP], qv[at : at + QUERY_STEP]
             for k, found in enumerate(forest.candidates(v, enough)):
-                found = found[ids[found] != own[k]]
+                found = found[rows[found] != own[k]]
                 score = x[found] @ v[k]
                 if len(found) > top:
                     least = np.partition(score, len(score) - top)[len(score) - top]
                     found, score = found[score >= least], score[score >= least]
                 best = np.lexsort((ids[found], -score))[:top]
-                out.append((np.full(len(best), own[k]), ids[found[best]], score[best]))
-        if not out:
-            return empty()
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "vec_id", "score"])
+                out.append((np.full(len(best), own[k]), np.full(len(best), name[k]), ids[found[best]], score[best]))
+        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], names=names)
+
+    names = ["query_row", "query_id", "vec_id", "score"]
 
     def empty():
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
+        return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.float64())], names=names)
 
     def stacked(column) -> np.ndarray:
         flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1).astype(np.float64)
 
-    return shards.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, score double")
+    by = ["shard", "block"]
+    return shards.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TREES, bits: int = BITS, share: float = SHARE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The ``top`` nearest found of each row whose vec_id is divisible by ``every``: (query_id, rank, vec_id, score).
 
     ``vectors``: vec_id, embedding (array of numbers). Vectors that are null, zero, hold null or non-finite components, or
-    have not the most common length take no part, nor do rows with null vec_ids. Ties go to the smaller vec_id. A
-    vec_id that occurs twice stands for its first vector (as arrays compare). Empty input, empty result.
+    have not the most common length take no part, nor do rows with null vec_ids. Ties go to the smaller vec_id. Rows
+    that share a vec_id are rows of their own, each a candidate and, if divisible, a query with answers of its own. Empty input, empty result.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda c: c != 0))
-    v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
-    v = saved(v, "forest_vectors")
+    v = saved(v.withColumn("row", F.monotonically_increasing_id()), "forest_vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     sizes = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), "d").first()
     dim, n, most = (sizes["d"], sizes["n"], sizes["m"]) if sizes else (0, 0, 0.0)
     v = v.where(F.size("v") == dim)
-    shards = max(1, -(-n // shard_rows))
-    dealt = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = v.where(F.col("vec_id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(n // every) // QUERY_BLOCK))
+    every_one = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = v.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", every_one(blocks))
+    asked = v.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)).cast("int")).withColumn("shard", every_one(shards))
     found = searched(dealt, asked, float(most), top, trees, bits, share)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
