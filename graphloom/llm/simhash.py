@@ -6,8 +6,8 @@ least two of four 16-bit quarters, so that each node is dealt to six tables by
 nodes is dealt again by thirds of its other 32 bits, one of which must agree
 too; such a bucket holds at most 2^22 nodes, whatever the data. Within a bucket the bit planes
 lie vertically (64 nodes a word), distances are counted for many nodes at once by
-carry-save adders, and a block is abandoned once every node in it is
-beyond the radius. A bucket gives a spanning star of each linked group, never its pairs.
+carry-save adders, and a block of 64 nodes is abandoned once every node in it that isn't yet linked is
+beyond the radius of every query. A bucket gives a spanning star of each linked group, never its pairs.
 """
 
 from __future__ import annotations
@@ -76,12 +76,13 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp",
     return docs.select(*columns, F.col(f"`{text}`").alias(held)).mapInArrow(run, schema)
 
 
-def within(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of ``fps`` (uint64, distinct) the index of the first of its linked group, found by breadth-first search."""
+def within(fps: np.ndarray, radius: int = RADIUS, told: list | None = None) -> np.ndarray:
+    """For each of ``fps`` (uint64, distinct) the index of the first of its linked group, found by breadth-first search. ``told``: see ``near``."""
     n = len(fps)
     words = (n + 63) // 64
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.zeros((64, words * 8), np.uint8)
+    bits = bits[:, (bits != bits[0]).any(axis=0)]  # planes on which all agree tell nothing, as those of a bucket's key
+    planes = np.zeros((bits.shape[1], words * 8), np.uint8)
     packed = np.packbits(bits, axis=0, bitorder="little")
     planes[:, : packed.shape[0]] = packed.T
     planes = planes.view("<u8")
@@ -99,7 +100,7 @@ def within(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         todo = [first]
         while todo:
             now, todo = todo[:block], todo[block:]
-            linked = near(planes, flip[now], radius) & unseen
+            linked = near(planes, flip[now], radius, unseen, told)
             if linked.any():
                 unseen &= ~linked
                 new = np.flatnonzero(np.unpackbits(linked.view(np.uint8), bitorder="little"))
@@ -108,24 +109,36 @@ def within(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return group
 
 
-def near(planes: np.ndarray, flip: np.ndarray, radius: int) -> np.ndarray:
-    """The nodes (a bit each) within ``radius`` of any of the queries, whose bits ``flip`` holds as masks.
+def near(planes: np.ndarray, flip: np.ndarray, radius: int, wanted: np.ndarray, told: list | None = None) -> np.ndarray:
+    """Of the nodes ``wanted`` (a bit each) those within ``radius`` of any of the queries, whose bits ``flip`` holds as masks.
 
     The distances of all nodes to all queries are counted plane by plane: ``sums[k]``
-    holds bit k of each count, a carry out of the last makes a node ``over`` for good.
+    holds bit k of each count, a carry out of the last makes a node ``over`` for good. Blocks are the words of 64 nodes;
+    one in which every wanted node is beyond the radius of every query is abandoned. ``told``
+    gets how many blocks were abandoned and how many were begun.
     """
+    out = np.zeros(planes.shape[1], np.uint64)
+    at = np.flatnonzero(wanted)
+    told = [0, 0] if told is None else told
+    told[1] += len(at)
+    planes, live = planes[:, at], wanted[at]
     levels = radius.bit_length()
-    shape = (len(flip), planes.shape[1])
-    sums, over = [np.zeros(shape, np.uint64) for _ in range(levels)], np.zeros(shape, np.uint64)
-    for b in range(64):
+    sums, over = [np.zeros((len(flip), len(at)), np.uint64) for _ in range(levels)], np.zeros((len(flip), len(at)), np.uint64)
+    for b in range(len(planes)):
         carry = planes[b][None, :] ^ flip[:, b][:, None]
         for k in range(levels):
             sums[k], carry = sums[k] ^ carry, sums[k] & carry
         over |= carry
-        if b % 8 == 7 and b > 8:
-            if (beyond(sums, over, radius) == ONES).all():
-                return np.zeros(shape[1], np.uint64)
-    return np.bitwise_or.reduce(~beyond(sums, over, radius), axis=0)
+        if b % 4 == 3:
+            stay = (~beyond(sums, over, radius) & live).any(axis=0)
+            if not stay.all():
+                told[0] += int((~stay).sum())
+                at, planes, live, over = at[stay], planes[:, stay], live[stay], over[:, stay]
+                sums = [s[:, stay] for s in sums]
+                if not len(at):
+                    return out
+    out[at] = np.bitwise_or.reduce(~beyond(sums, over, radius), axis=0) & live
+    return out
 
 
 def beyond(sums: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
@@ -141,51 +154,46 @@ def beyond(sums: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
 
 
 def linked(rows: DataFrame, radius: int, large: int | None) -> DataFrame:
-    """``rows`` (bucket, fp) dealt by bucket: (u, v, bucket) links of stars, or (fp, null, bucket) for the nodes of buckets above ``large``."""
+    """``rows`` (bucket, fp) dealt by bucket: (u, v, bucket) links of stars, or (fp, null, bucket) for the nodes of buckets above ``large``, of which no more than that and a batch are held."""
+
+    def batch(u, v, key):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, pa.array(key, pa.int64())], names=["u", "v", "bucket"])
+
+    def stars(f, key):
+        f = np.unique(f)
+        g = within(f, radius)
+        own = np.flatnonzero(g != np.arange(len(f)))
+        s = f.view(np.int64)
+        return s[own], s[g[own]], np.full(len(own), key)
 
     def run(batches):
-        rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def emit(keys, fps, out):
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-            many = np.flatnonzero(ends - starts > 1)
-            for i in many.tolist():
-                f = np.unique(fps[starts[i] : ends[i]])
-                key = int(keys[starts[i]])
-                if large is not None and len(f) > large:
-                    out.extend((x, None, key) for x in f.view(np.int64).tolist())
-                elif len(f) > 1:
-                    g = within(f, radius)
-                    own = np.flatnonzero(g != np.arange(len(f)))
-                    s = f.view(np.int64)
-                    out.extend(zip(s[own].tolist(), s[g[own]].tolist(), [key] * len(own)))
-
-        def made(out):
-            cols = list(zip(*out)) if out else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v", "bucket"])
-
-        held = []
+        key, held, size, passed = None, [], 0, False  # the bucket at hand; ``passed``: it is large, its nodes go on as they come
+
+        def closed():
+            found = stars(np.concatenate(held), key) if size > 1 and not passed else None
+            return [found] if found is not None and len(found[0]) else []
+
         for b in batches:
             k, f = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(k):
                 continue
-            held.append((k, f))
-            if k[0] == k[-1] and held[0][0][0] == k[0]:
-                continue  # still the same bucket
-            k, f = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            last = np.searchsorted(k, k[-1])
-            out: list = []
-            if last:
-                emit(k[:last], f[:last], out)
-            held = [(k[last:], f[last:])]
-            if out:
-                yield made(out)
-        if held:
-            out = []
-            emit(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), out)
-            if out:
-                yield made(out)
+            found, rest = [], []
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(k)) + 1, [len(k)]))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if key is None or k[i] != key:
+                    found += closed()
+                    key, held, size, passed = int(k[i]), [], 0, False
+                held.append(f[i:j])
+                size += j - i
+                if passed or large is not None and size > large:
+                    rest.append((np.concatenate(held), key))
+                    held, passed = [], True
+            if found:
+                yield batch(np.concatenate([x[0] for x in found]), pa.array(np.concatenate([x[1] for x in found])), np.concatenate([x[2] for x in found]))
+            for x, name in rest:
+                yield batch(x.view(np.int64), pa.nulls(len(x), pa.int64()), np.full(len(x), name))
+        for u, v, name in closed():
+            yield batch(u, pa.array(v), name)
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInArrow(run, "u long, v long, bucket long")
 
