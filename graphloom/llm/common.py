@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = OWN_CHECKPOINT_DIR
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Paths that ``scratch`` has given while ``owned`` was open, by owner.
+_owned: dict[str, list[str]] = {}
+_owner: list[str] = []
+
+
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Notes the scratch paths that are given within, for ``forget``."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}_{uuid.uuid4().hex}"
+    if _owner:
+        _owned.setdefault(_owner[-1], []).append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(name: str, docs: DataFrame) -> None:
+    """Deletes the scratch of owner ``name``, unless ``docs`` itself still reads any of it."""
+    paths = _owned.get(name, [])
+    read = docs.inputFiles() if paths else []
+    if not any(p.rsplit("/", 1)[-1] in f for p in paths for f in read):
+        _owned[name] = []
+        for p in paths:
+            deleted(docs.sparkSession, p)
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -48,8 +86,7 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         files = df.inputFiles()
         if files:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
