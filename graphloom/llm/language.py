@@ -4,7 +4,10 @@ Of each document: log P(text | language) from a byte-trigram model, P(declared |
 language that its markup declares, P(suffix | language) for its address, and
 P(language | host), smoothed from host to domain to the whole corpus. The three tables
 are grouped aggregates over all documents of what the text alone says; only the trigram
-model is fitted on a bounded sample (``SAMPLE_ROWS`` rows with a declared language).
+model is fitted on a bounded sample, drawn within each declared language (``SAMPLE_ROWS`` rows in all).
+
+``identified`` takes the declared language from a column; ``identified_pages`` reads it from the markup of pages
+(``<html lang>``), whose addresses have hosts, domains and suffixes. Rows without an address have a source in place of a host.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import missing_names, saved, small_batches, table
 
-SAMPLE_ROWS = 2_000
+#: Rows that the trigram model is fitted on, and languages that it tells apart: the most declared ones.
+SAMPLE_ROWS, MOST_LANGUAGES = 2_000, 200
 BUCKETS = 1 << 16
 #: Trigrams follow from one another: a text counts as so many independent ones at most.
 MOST_TRIGRAMS = 200.0
@@ -62,14 +66,28 @@ class Model:
         return total * (min(MOST_TRIGRAMS, len(t)) / len(t))
 
 
+def plain(declared: Column) -> Column:
+    """The language of a tag such as ``en-GB``, in lower case; null if there is none."""
+    l = F.lower(F.trim(F.substring_index(declared, "-", 1)))
+    return F.when(l != "", l)
+
+
 def fitted(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    t, l = F.col(f"`{text}`"), F.col(f"`{declared}`")
-    h = F.xxhash64(F.lit("language"), F.col(f"`{key}`"), t)
-    known = docs.where(l.isNotNull())
-    # hashes alone first, as each task sends its least ``rows`` of them
-    most = known.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    some = known.where(h <= F.lit(most)).select(h.alias("h"), t.alias("t"), l.alias("l")).distinct() if most is not None else known.limit(0).select(h.alias("h"), t.alias("t"), l.alias("l"))
-    return Model([(r["t"], r["l"]) for r in sorted(some.limit(rows).collect(), key=lambda r: (r["h"], r["l"]))])  # a bounded sample
+    """A model of the ``MOST_LANGUAGES`` most declared languages, by at most rows / languages (10 at least) rows of each, those of the least hashes."""
+    t, l = F.col(f"`{text}`"), plain(F.col(f"`{declared}`"))
+    known = docs.select(F.xxhash64(F.lit("language"), F.col(f"`{key}`"), t).alias("h"), l.alias("l"), t.alias("t")).where("l is not null")
+    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return Model([])
+    each = max(10, rows // len(counts))
+    # a hash is at most this for about three times the rows wanted (all, if there are few)
+    upto = {r["l"]: min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, (3 * each + 30) / r["count"]))) for r in counts}
+    near = lambda bounds: F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("l")]
+    # hashes alone first, then the texts of those that count
+    drawn = known.where(F.col("h") <= near(upto)).groupBy("l").agg(F.sort_array(F.collect_set("h")).alias("h"))  # some 3 ``each`` a language
+    last = {r["l"]: r["h"] for r in drawn.select("l", F.slice("h", 1, each)[F.least(F.size("h"), F.lit(each)) - 1].alias("h")).collect()}
+    some = known.where(F.col("h") <= near(last)).distinct()
+    return Model([(r["t"], r["l"]) for r in sorted(some.collect(), key=lambda r: (r["l"], r["h"], r["t"] or ""))])  # a bounded sample: a row a hash
 
 
 def scored(docs: DataFrame, model: Model, name: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -157,13 +175,13 @@ def fused(rows: DataFrame, ev: Evidence, ll: str, declared: str, host: str) -> D
     return r.withColumn("text_language", F.coalesce(best(F.col(ll)), F.lit("und"))).withColumn("kept", F.col("language") != "und").drop(post)
 
 
-def identified(docs: DataFrame, keep: list[str], text: str = "text", declared: str = "lang", host: str = "source", key: str = "doc_id", address: str | None = None, narrow: bool = False) -> DataFrame:
+def identified(docs: DataFrame, keep: list[str], text: str = "text", declared: str = "lang", host: str = "source", key: str = "doc_id", address: str | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` with language ("und" if none reaches ``LEAST``), probability, text_language and kept.
 
     ``address`` names a column of URLs, whose hosts then stand for ``host``; hosts have a domain and a suffix where they
     have dots. Nulls in declared or host are no evidence; null or letterless texts are "und", probability 0, and not kept; equal probabilities
     go to the first language by name; without any declared language everything is "und". Rows stay as they are, repeated
-    ones too. Of columns that bear the added names, the added ones stay. Empty input, empty result. ``narrow`` keeps the likelihoods instead of computing them twice, for few columns.
+    ones too. Of columns that bear the added names, the added ones stay. Empty input, empty result. Columns ``keep`` are written once with the likelihoods.
     """
     keep = [c for c in keep if c.lower() not in ("language", "probability", "text_language", "kept")]
     model = fitted(docs, text, declared, key)
@@ -171,18 +189,30 @@ def identified(docs: DataFrame, keep: list[str], text: str = "text", declared: s
     if not model.languages:
         return docs.select(*[F.col(f"`{x}`") for x in keep], F.lit(0.0).alias("probability"), F.lit("und").alias("language"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
     where = host_of(F.col(f"`{address}`")) if address else F.lower(F.col(f"`{host}`"))
-    docs = docs.withColumn(d, F.lower(F.substring_index(F.col(f"`{declared}`"), "-", 1))).withColumn(h, where)
-    own = lambda cols: scored(docs, model, ll, cols, text)
-    if narrow:
-        rows = saved(own([*keep, d, h]), "language_scores")
-        seen = rows
-    else:
-        rows = own([*keep, d, h])
-        seen = saved(own([d, h]), "language_scores")
-    ev = Evidence(seen.select(F.col(ll).alias("ll"), F.col(d).alias("declared"), F.col(h).alias("host")), model.languages)
+    docs = docs.withColumn(d, plain(F.col(f"`{declared}`"))).withColumn(h, where)
+    rows = saved(scored(docs, model, ll, [*keep, d, h], text), "language_scores")  # each text is scored once
+    ev = Evidence(rows.select(F.col(ll).alias("ll"), F.col(d).alias("declared"), F.col(h).alias("host")), model.languages)
     return fused(rows, ev, ll, d, h).drop(ll, d, h)
 
 
+def identified_pages(pages: DataFrame) -> DataFrame:
+    """page_id, declared, host, language, probability, text_language and kept of ``pages`` (page_id, url, html).
+
+    The declared language is that of the first ``<html ... lang=...>``, quoted or bare; the text is the html without scripts, styles, comments and tags.
+    Null html is an empty text, a null url no evidence. Other columns are ignored; empty input, empty result.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    lang = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{1,8})", 1)
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    rows = pages.select("page_id", "url", plain(lang).alias("declared"), host_of(F.col("url")).alias("host"), body.alias("body"))
+    out = identified(rows, ["page_id", "declared", "host"], text="body", declared="declared", key="page_id", address="url")
+    return out.select("page_id", "declared", "host", "language", "probability", "text_language", "kept")
+
+
 def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identified(docs, ["doc_id"], narrow=True).select("doc_id", "language", "probability", "text_language", "kept")
+    return identified(docs, ["doc_id"]).select("doc_id", "language", "probability", "text_language", "kept")
+
+
+def op9_language_fusion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified_pages(table(spark, sf_dir, "pages"))

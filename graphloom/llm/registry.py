@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm.chat import OP7_SQL, op7_perspective_rotation
 from graphloom.llm.forest import op8_prefix_forest
-from graphloom.llm.language import op9_language_fusion
+from graphloom.llm.language import op9_language_fusion, op9_language_fusion_pages
 from graphloom.llm.line_dedup import op6_line_dedup
 from graphloom.llm.mixing import op2_source_mixing
 from graphloom.llm.packing import op5_best_fit_packing
@@ -23,6 +23,7 @@ QUERIES = {
     "op7_perspective_rotation": op7_perspective_rotation,
     "op8_prefix_forest": op8_prefix_forest,
     "op9_language_fusion": op9_language_fusion,
+    "op9_language_fusion_pages": op9_language_fusion_pages,
     "op10_simhash_components": op10_simhash_components,
 }
 
