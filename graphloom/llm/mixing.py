@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 UNIT = 1 << 24
 #: Rows that one block of a source holds, about.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -58,10 +58,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42, text: str = "text", source: str = "source", key: str = "doc_id", words: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 42, text: str = "text", source: str = "source", key: str = "doc_id", words: Column | None = None, text_hash: Column | None = None) -> DataFrame:
     """Adds size, source_size, target, copies, taken (long but target: double) to each row of ``docs``.
 
-    ``words`` gives the sizes where they are at hand; else the words of ``text`` are counted.
+    ``words`` and ``text_hash`` (xxhash64 of the text) are given where they are at hand; else they are taken from ``text``.
     Null texts have size 0; sources that are null are one source, by weight the last; empty
     sources have target 0 and no copies. Ties and repeated rows are ordered by key and text hash; equal
     rows may swap their copies. Of columns that bear the added names, the added ones stay.
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     src, band, salt, tie, mass, step, rank, blk = missing_names(docs, "m_source", "m_band", "m_salt", "m_tie", "m_mass", "m_step", "m_rank", "m_block")
     sized = docs.withColumn("size", word_count(F.col(f"`{text}`")) if words is None else words).withColumn(src, F.col(f"`{source}`"))
-    sized = sized.withColumn(tie, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col("size")))
+    sized = sized.withColumn(tie, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")) if text_hash is None else text_hash))
     # eighth-octave bands of the size: 0 and below as sizes fall, 1 and above as they rise
     octave = F.floor(F.log2(F.col("size") + F.lit(1.0)) * -8).cast("int")
     sized = sized.withColumn(band, F.when(F.col(tie) < 0, octave).otherwise(1 - octave))
@@ -96,14 +96,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", F.col("t_size").alias("source_size"), F.col("t_target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0 to ``max_repeat`` times), columns unchanged."""
-    m = mix(docs, **kw).where("copies > 0")
-    (i,) = missing_names(m, "m_copy")
-    return m.withColumn(i, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def sizes_of(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs``, n_words and t_hash, counted once and written."""
+    return saved(docs.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(f"`{text}`")).alias("n_words"), F.xxhash64(F.col(f"`{text}`")).alias("t_hash")), "mixing_sizes")
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **kw) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (0 to ``max_repeat`` times), columns unchanged.
+
+    The mix is made of narrow rows; those of one source, key and text are added up, and their copies shared out evenly
+    among the rows of ``docs`` that are alike, so that whole texts are dealt once.
+    """
+    like, body, copies, rows, nth, at = missing_names(docs, "m_like", "m_body", "m_copies", "m_rows", "m_nth", "m_at")
+    sizes = sizes_of(docs, source, key, text=text)
+    m = mix(sizes, text=text, source=source, key=key, words=F.col("n_words"), text_hash=F.col("t_hash"), **kw)
+    same = F.xxhash64(F.lit("alike"), F.col(f"`{source}`"), F.col(f"`{key}`"))  # with the text's hash, 128 bits
+    counts = m.groupBy(same.alias(like), F.col("t_hash").alias(body)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    j = docs.withColumn(like, same).withColumn(body, F.xxhash64(F.col(f"`{text}`"))).join(counts.where(F.col(copies) > 0), [like, body])
+    # of r rows that are alike, c copies in all: c // r each, and one more for c % r of them
+    j = j.withColumn(nth, F.row_number().over(Window.partitionBy(like, body).orderBy(F.monotonically_increasing_id())))
+    each = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("long")
+    j = j.withColumn(at, F.explode(F.when(each > 0, F.sequence(F.lit(1).cast("long"), each)).otherwise(F.array().cast("array<long>"))))
+    return j.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sizes = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "mixing_sizes")
-    return mix(sizes, words=F.col("n_words")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    sizes = sizes_of(table(spark, sf_dir, "documents"), "doc_id", "source")
+    return mix(sizes, words=F.col("n_words"), text_hash=F.col("t_hash")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
