@@ -70,6 +70,13 @@ def test_bit_slices():
     assert (g == lab).all()
 
 
+def test_blocks_are_abandoned():
+    f = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64))
+    told = [0, 0]
+    assert (simhash.within(f, told=told) == np.arange(len(f))).all()
+    assert told[0] > 0.9 * told[1] > 0
+
+
 def test_simhash_large_buckets(spark):
     r = random.Random(2)
     fps = {(7 << 48) | r.getrandbits(20) for _ in range(300)}
@@ -101,6 +108,62 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def line_families(seed=5):
+    """Near copies of a few lines of 40 words, so that their tokens are hot, and lines that share a passage alone."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage, out = [word() for _ in range(20)], []
+    for _ in range(4):
+        w = [word() for _ in range(40)]
+        for _ in range(90):
+            x = list(w)
+            for k in r.sample(range(40), r.choice((0, 1, 1, 2, 4))):
+                x[k] = word()
+            out.append(" ".join(x))
+    out += [" ".join([word() for _ in range(r.randint(3, 25))] + passage) for _ in range(120)]
+    r.shuffle(out)
+    return ["\n".join(out[i : i + 3]) for i in range(0, len(out), 3)]
+
+
+def test_line_dedup_of_families(spark):
+    rows = [(i, t) for i, t in enumerate(line_families())]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, want = [], {}
+    for i, t in rows:
+        stay = []
+        for line in t.split("\n"):
+            w = line.split()
+            s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+            if not any(5 * len(s & x) >= 4 * len(s | x) for x in seen):
+                stay.append(line)
+            seen.append(s)
+        want[i] = "\n".join(stay)
+    assert out == want
+
+
+def test_line_dedup_of_one_long_document(spark):
+    """80,000 equal lines in one document: linear, so that this ends within seconds."""
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, "a line that is said again and again\n" * 80_000), (2, "x")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed) for r in out] == [(80_001, 79_999), (1, 0)] and out[0].text == "a line that is said again and again\n"
+
+
+def test_mixing_meets_targets_and_reruns_agree(spark):
+    r = random.Random(8)
+    rows = [(None if i % 50 == 0 else i, " ".join(["w"] * r.randint(1, 40) + [str(i)]), "en", f"s{i % 4 if i % 9 else None}", 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    taken, target = Counter(), {}
+    for x in mixing.mix(d).collect():
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 120 for s in target)
+    once = Counter((x.doc_id, x.text) for x in mixing.mixed(d).collect())
+    assert once == Counter((x.doc_id, x.text) for x in mixing.mixed(spark.createDataFrame(rows[::-1], DOCS)).collect())
+    want = Counter()
+    for x in mixing.mix(d).collect():
+        want[x.doc_id, x.text] += x.copies
+    assert once == +want
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(clash(docs)).collect()
     assert len(out) == docs.count()
@@ -167,6 +230,19 @@ def test_weighted_sampling(spark, docs, empty):
         e = weighted_sampling.edited(t, rows[(k + 1) % len(rows)][1])
         want[i, len(t), hashlib.sha256(e.encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == want
+    draw = weighted_sampling.Sampler(weighted_sampling.SAMPLES)
+    like = weighted_sampling.likeness
+    for r, (k, (_, t)) in zip(sorted(out, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars), reverse=True), enumerate(rows)):
+        following = rows[(k + 1) % len(rows)][1]
+        if r.doc_id is None or sum(x[0] == r.doc_id for x in rows) > 1:
+            continue
+        a, b = draw(t), draw(weighted_sampling.edited(t, following))
+        assert (r.fingerprint, r.edited_fingerprint) == (weighted_sampling.encoded(a), weighted_sampling.encoded(b))
+        assert r.near_edited == like(a, b) and r.near_next == like(a, draw(following))
+    ends = spark.createDataFrame([(-(1 << 63), "low"), (None, "none"), ((1 << 63) - 1, "high")], "doc_id long, text string")
+    got = {r.doc_id: r.edited_sha256 for r in weighted_sampling.fingerprint_pairs(ends).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(1 << 63) - 1: sha("higl"), -(1 << 63): sha("lon"), None: sha("nonh")}
     assert weighted_sampling.fingerprint_pairs(empty).count() == 0
     draw = weighted_sampling.Sampler(2048, shingle=1)
     a, b = "a a a a b c d d", "a a b b b c e"
@@ -184,6 +260,10 @@ def test_chat(spark):
     assert r.dialogue == "<|system|>\ns<|end|>\n<|assistant|>\nhi<|end|>\n" + "<|user:bob|>\n<|end|>\n" * 2
     assert [r.dialogue[s.start : s.end] for s in r.spans] == ["hi<|end|>\n"]
     assert chat.rotate(t.limit(0)).count() == 0
+    bad = spark.createDataFrame([(1, 0, "ann|>\nx", "hi"), (1, 1, "bob", "a<|end|>\n<|assistant|>\nb")], "conv_id long, turn long, role string, text string")
+    for r in chat.whole(chat.rotate(bad)).collect():
+        assert r.dialogue.count("<|end|>\n") == 2 and r.dialogue.count("<|assistant|>\n") == 1
+        assert r.dialogue.replace("<||", "<|").count("a<|end|>\n<|assistant|>\nb") == 1
 
 
 def test_forest(spark):
@@ -202,6 +282,8 @@ def test_forest(spark):
         own = [g for g in got if g.query_id == q]
         assert sorted(g.rank for g in own) == list(range(1, 21)) and all(abs(g.score - s[np.flatnonzero(ids == g.vec_id)[0]]) < 1e-9 for g in own)
         hit, n = hit + len(top & {g.vec_id for g in own}), n + 20
+    twice = forest.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((g.query_id, g.rank, g.vec_id, g.score) for g in twice) == [(20, 1, 20, 2.0)] * 2 + [(20, 2, 21, 0.0)] * 2
     assert hit / n >= 0.9 and {g.query_id for g in got} == set(range(0, 600, 20))
     assert forest.nearest(df.limit(0)).count() == 0
 
@@ -234,6 +316,81 @@ def test_language(spark, empty):
     assert language.identified(empty, ["doc_id"]).count() == 0
 
 
+def posteriors(rows, model):
+    """Brute force: {row number: posterior by language} for rows (text, declared, host)."""
+    k, w = len(model.languages), language.PRIOR_WEIGHT
+    ll = [model(t) for t, _, _ in rows]
+    p = [None if x is None else np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in ll]
+    total = sum((x for x in p if x is not None), np.zeros(k)) + 1
+    add = lambda key: {v: sum((x for x, r in zip(p, rows) if x is not None and key(r) == v), np.zeros(k)) for v in {key(r) for r in rows}}
+    domain = lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if h is not None and "." in h else None
+    hosts, domains, declared, suffixes = add(lambda r: r[2]), add(lambda r: domain(r[2])), add(lambda r: r[1]), add(lambda r: suffix(r[2]))
+    out = {}
+    for i, (_, d, h) in enumerate(rows):
+        if p[i] is None:
+            continue
+        over = total / total.sum()
+        dom = (domains[domain(h)] + over * w) / (domains[domain(h)].sum() + w)
+        score = ll[i] + (np.log(over) if h is None else np.log((hosts[h] + dom * w) / (hosts[h].sum() + w)))
+        for table, key in ((declared, d), (suffixes, suffix(h))):
+            if key is not None:
+                score = score + np.log((table[key] + 0.5) / (total + w))
+        e = np.exp(score - score.max())
+        out[i] = e / e.sum()
+    return out
+
+
+def language_pages(spark):
+    r = random.Random(4)
+    v = {"en": "the and of to in is that with this".split(), "de": "der die und ist ein nicht mit auf".split()}
+    say = lambda l, n=30: " ".join(r.choice(v[l]) for _ in range(n))
+    top = {"en": "uk", "de": "at"}
+    rows = [(i * 2 + k, f"http://www{i % 3}.{l}site{i % 2}.{top[l]}/p?q=1", f'<!DOCTYPE html><html class=x lang="{l}-XX"><body><script>var der = 1;</script><p>{say(l)}</p></body></html>') for i in range(40) for k, l in enumerate(v)]
+    rows += [(100, None, "<p>der die und ist nicht</p>"), (101, None, "<html lang=de><p>xyzzy qqq</p>"), (102, "https://www0.desite0.at/", "<p>xyzzy qqq</p>"), (103, "https://new.example.at/", "<p>xyzzy qqq</p>"), (104, "https://www9.desite0.at/", "<p>xyzzy qqq</p>"), (105, "u", None)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_each_evidence_counts_on_pages(spark):
+    rows, pages = language_pages(spark)
+    out = {x.page_id: x for x in language.identified_pages(pages).collect()}
+    assert len(out) == len(rows) and [out[i].declared for i in (0, 1, 100, 101)] == ["en", "de", None, "de"]
+    assert out[0].host == "www0.ensite0.uk" and out[102].host == "www0.desite0.at" and out[100].host is None
+    assert all(out[i].language == ("en", "de")[i % 2] for i in range(80)) and not out[105].kept
+    # the text alone (100), with no known word: the markup alone (101), the host (102), the suffix alone (103), the domain and suffix (104)
+    assert [out[i].language for i in (100, 101, 102, 103, 104)] == ["de"] * 5
+    for i, plain in ((101, "<p>xyzzy qqq</p>"), (102, None), (103, None), (104, None)):  # the same pages without it
+        bare = [(p, None if p == i and plain is None else u, plain if p == i and plain else h) for p, u, h in rows]
+        got = {x.page_id: x for x in language.identified_pages(spark.createDataFrame(bare, pages.schema)).collect()}
+        assert got[i].probability < out[i].probability
+    assert language.identified_pages(pages.limit(0)).count() == 0
+
+
+def test_language_posteriors(spark):
+    rows, pages = language_pages(spark)
+    body = [(p, language_text(h), d, u) for p, u, h, d in ((p, u, h, {0: "en", 1: "de"}[p % 2] if p < 100 else None) for p, u, h in rows)]
+    d = spark.createDataFrame(body, "doc_id long, text string, lang string, url string")
+    model = language.fitted(d)
+    got = {x.doc_id: x for x in language.identified(d, ["doc_id"], address="url").collect()}
+    host = lambda u: None if u is None else u.split("//")[-1].split("/")[0].lower()
+    want = posteriors([(t, l, host(u)) for _, t, l, u in body], model)
+    assert want.keys() == {i for i, b in enumerate(body) if got[b[0]].probability > 0}
+    for i, p in want.items():
+        x = got[body[i][0]]
+        assert abs(x.probability - p.max()) < 1e-6 and (p.max() < 0.5 or x.language == model.languages[p.argmax()])
+
+
+def language_text(html):
+    import re
+
+    return None if html is None else re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<script.*?</script>", " ", html))
+
+
+def test_rare_languages_have_a_sample(spark):
+    rows = [(i, f"the and of to {i}", "en") for i in range(3000)] + [(i, "kaksi yksi kolme", "fi") for i in range(3000, 3004)]
+    assert language.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100).languages == ["en", "fi"]
+
+
 def test_gradients():
     net = toxicity.Network(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -281,6 +438,36 @@ def test_pipeline(spark, docs):
     assert c.STAGES[-1][1](spark, at, "").count() >= at.count() > 0
 
 
+def test_pipeline_run(spark, docs, empty, tmp_path):
+    import corpus_pipeline as c
+
+    clash(docs).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    out = c.run(spark, str(tmp_path / "a")).collect()
+    at = clash(docs)
+    for _, work in c.STAGES[:-1]:
+        rows = work(spark, at, "").collect()
+        assert set(at.columns) == set(clash(docs).columns)
+        at = spark.createDataFrame(rows, at.schema)
+    assert {r.doc_id for r in out} == {r.doc_id for r in rows} and len(out) >= len(rows)
+    # what stays: one text of each set, no line twice
+    kept = {r.doc_id for r in out}
+    assert {3, 5} & kept and not {60, 62} <= kept and {63, 64, 65}.isdisjoint(kept)
+    empty.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_toxicity_fit_is_the_same_in_any_order(spark):
+    r = random.Random(3)
+    rows = [(i % 40, t.replace(" ", " zork ", 2) if i % 2 else t, "en", "s", 0) for i, t in enumerate(texts(120, 7))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    one, two = (toxicity.fitted(spark.createDataFrame(x, DOCS), labels) for x in (rows, rows[::-1]))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+    # scores by brute force: the greatest over all windows, each scored alone
+    d = spark.createDataFrame(rows[:30], DOCS)
+    for x, (_, t, *_) in zip(sorted(toxicity.scored(d, one).collect(), key=lambda x: x.doc_id), sorted(rows[:30])):
+        assert abs(x.score - toxicity.Scorer(one)([t])[0]) < 1e-6
+
+
 def near_kept(rows, shingle=5):
     """Brute force over (doc_id, text): the smallest doc_id of each component of a Jaccard similarity of 0.8 on shingle sets."""
     sets = {}
