@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 ENDS = "。！？"
-#: Opening and closing quotes by pair.
-QUOTES = {"“": "”", "‘": "’", "「": "」", "『": "』", "（": "）", "《": "》", "【": "】", "(": ")", "[": "]", "〈": "〉"}
+# Opening and closing quotes by pair. The ASCII quote opens.
+QUOTES = {"“": "”", "「": "」", "[": "]", "【": "】", "{": "}", "‘": "’", "<": ">", "《": "》", "(": ")", "（": "）", '"': '"'}
 
 
 def sentences(paragraph: str | None, ends: str = ENDS) -> list[str]:
-    """Each line cut after a terminator where no quote is open and no terminator follows; a lone closing quote joins the sentence before."""
+    """Each line cut after a terminator where no quote is open and no terminator follows; a lone closing quote joins the sentence before.
+
+    A closing quote ends the first open one of its kind. An ASCII quote closes one that is open, else it opens.
+    """
     out: list[str] = []
     closing = set(QUOTES.values())
     for line in (paragraph or "").split("\n"):
@@ -21,8 +24,8 @@ def sentences(paragraph: str | None, ends: str = ENDS) -> list[str]:
         start, open_ = 0, []
         mine: list[str] = []
         for i, ch in enumerate(line):
-            if open_ and ch == open_[-1]:
-                open_.pop()
+            if ch in open_:
+                open_.remove(ch)
             elif ch in QUOTES:
                 open_.append(QUOTES[ch])
             if ch in ends and not open_ and (i + 1 == len(line) or line[i + 1] not in ends):

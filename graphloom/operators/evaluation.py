@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counts(gold: DataFrame, predicted: DataFrame, by: list[str], item: str) -> DataFrame:
-    """tp, gold, pred of each instance; items count as often as they occur."""
+def counts(gold: DataFrame, predicted: DataFrame, by: list[str], item: str, as_set: bool = False) -> DataFrame:
+    """tp, gold, pred of each instance; items count as often as they occur, or once with ``as_set``."""
+    if as_set:
+        gold, predicted = gold.select(*by, item).distinct(), predicted.select(*by, item).distinct()
     g = gold.groupBy(*by, item).agg(F.count(F.lit(1)).alias("g"))
     p = predicted.groupBy(*by, item).agg(F.count(F.lit(1)).alias("p"))
     j = g.join(p, [*by, item], "full_outer").fillna(0, ["g", "p"])
@@ -29,8 +31,10 @@ def totals(c: DataFrame, by: list[str]) -> DataFrame:
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("l_rank", F.row_number().over(w)).where("l_rank = 1").drop("l_rank")
+    """Of each key the row that is last by ``order`` (aggregated before the shuffle); null orders come first."""
+    rest = [c for c in df.columns if c != key]
+    last = F.max(F.struct(F.col(order).isNotNull().alias("l_has"), F.col(order).alias("l_order"), *[F.col(c).alias(f"l_{i}") for i, c in enumerate(rest)])).alias("l")
+    return df.groupBy(key).agg(last).select(*[F.col(key) if c == key else F.col(f"l.l_{rest.index(c)}").alias(c) for c in df.columns])
 
 
 def typed_values(output: Column) -> Column:
@@ -54,6 +58,95 @@ def typed_values(output: Column) -> Column:
     return run(output)
 
 
+def json_object(x: str | None) -> dict | None:
+    try:
+        v = json.loads(x) if x else None
+    except ValueError:
+        return None
+    return v if isinstance(v, dict) else None
+
+
+def relations(output: Column) -> Column:
+    """A struct (ok, items) of a model's JSON object of lists of pairs by relation: items (head, relation, tail).
+
+    A pair's members are head and tail, or subject and object; a missing one is empty. What is no list, no pair or no text is passed over.
+    """
+
+    @F.pandas_udf("ok boolean, items array<struct<head:string,relation:string,tail:string>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in map(json_object, s):
+            items = []
+            for r, pairs in (v or {}).items():
+                for p in pairs if isinstance(pairs, list) else ():
+                    if isinstance(p, dict):
+                        head, tail = p.get("head", p.get("subject", "")), p.get("tail", p.get("object", ""))
+                        if isinstance(head, str) and isinstance(tail, str):
+                            items.append({"head": head, "relation": r, "tail": tail})
+            out.append({"ok": v is not None, "items": items})
+        return pd.DataFrame(out, columns=["ok", "items"])
+
+    return run(output)
+
+
+def events(output: Column, missing: str = "NAN") -> Column:
+    """A struct (ok, items) of a model's JSON object of lists of events by type: items (event_type, event_trigger, arguments of (argument, role)).
+
+    An argument is a text or a list of them; those that read ``missing`` go. What has another shape is passed over; an event without a trigger has an empty one.
+    """
+
+    @F.pandas_udf("ok boolean, items array<struct<event_type:string,event_trigger:string,arguments:array<struct<argument:string,role:string>>>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in map(json_object, s):
+            items = []
+            for kind, found in (v or {}).items():
+                for e in found if isinstance(found, list) else ():
+                    trigger = e.get("trigger", "") if isinstance(e, dict) else None
+                    if not isinstance(trigger, str):
+                        continue
+                    roles = e.get("arguments", {})
+                    told = [(r, x) for r, a in roles.items() for x in (a if isinstance(a, list) else [a])] if isinstance(roles, dict) else []
+                    items.append({"event_type": kind, "event_trigger": trigger, "arguments": [{"argument": x, "role": r} for r, x in told if isinstance(x, str) and x != missing]})
+            out.append({"ok": v is not None, "items": items})
+        return pd.DataFrame(out, columns=["ok", "items"])
+
+    return run(output)
+
+
+def attribute_relations(output: Column) -> Column:
+    """A struct (ok, items) of a model's JSON {type: {head: {relation: tail or list}}}: items (head, relation, tail), as gold records have them."""
+
+    @F.pandas_udf("ok boolean, items array<struct<head:string,relation:string,tail:string>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in map(json_object, s):
+            heads = [(h, a) for t in (v or {}).values() if isinstance(t, dict) for h, a in t.items() if isinstance(a, dict)]
+            items = [{"head": h, "relation": r, "tail": x} for h, a in heads for r, y in a.items() for x in (y if isinstance(y, list) else [y]) if isinstance(x, str)]
+            out.append({"ok": v is not None, "items": items})
+        return pd.DataFrame(out, columns=["ok", "items"])
+
+    return run(output)
+
+
+def reader(task: str):
+    """The function that reads a task's output; tasks that have none raise an error."""
+    readers = {"NER": typed_values, "EET": typed_values, "RE": relations, "SPO": relations, "EE": events, "EEA": events, "KG": attribute_relations}
+    if task not in readers:
+        raise ValueError(f"no reader of {task}; there are {', '.join(sorted(readers))}")
+    return readers[task]
+
+
+def event_scores(gold: DataFrame, predicted: DataFrame, by: list[str], events_column: str, as_set: bool = False) -> DataFrame:
+    """(level, tp, gold, pred) of each instance: of events by (type, trigger), and of arguments by (type, argument, role)."""
+    out = None
+    for level, k in (("event", 0), ("argument", 1)):
+        items = lambda d: d.select(*by, F.explode(event_items(F.col(events_column))[k]).alias("item"))  # noqa: B023, E731
+        c = counts(items(gold), items(predicted), by, "item", as_set).withColumn("level", F.lit(level))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def joined_chunks(rows: DataFrame, by: list[str], pos: str, items: str, label: str) -> DataFrame:
     """The chunks of each instance as one: items in the order of ``pos``, the label of the first."""
     s = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(items).alias("i"))))

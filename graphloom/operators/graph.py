@@ -22,6 +22,29 @@ def edges(heads: DataFrame, head_key: str, values: Column, tails: DataFrame, tai
     return h.join(t, F.col("v") == F.col("dst")).select("src", F.lit(rel).alias("rel"), "dst")
 
 
+def edges_to(heads: DataFrame, head_key: str, tails: DataFrame, tail_key: str, values: Column, rel: str) -> DataFrame:
+    """The mirror of ``edges``: an edge for each tail, value of its list and head with that key."""
+    back = edges(tails, tail_key, values, heads, head_key, rel)
+    return back.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+
+
+def property_values(nodes: DataFrame, prop: str) -> DataFrame:
+    """The values of a property that nodes have, one a node."""
+    return nodes.where(F.col(prop).isNotNull()).select(prop)
+
+
+def count_nodes(nodes: dict[str, DataFrame], label: str | None = None) -> DataFrame:
+    """(label, n) of one label or of all."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [n.agg(F.count(F.lit(1)).alias("n")).select(F.lit(l).alias("label"), "n") for l, n in nodes.items() if label in (None, l)])
+
+
+def indexed(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes dealt and sorted by ``key``, so that files written of them are told apart by its least and greatest values."""
+    return nodes.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+
+
 def key_edges(heads: DataFrame, head_key: str, head_on: str, tails: DataFrame, tail_key: str, tail_on: str, rel: str) -> DataFrame:
     """An edge for each pair of nodes that agree on a property."""
     h = heads.select(F.col(head_key).alias("src"), F.col(head_on).alias("a"))

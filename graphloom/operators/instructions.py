@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,14 +58,28 @@ def rows(records: DataFrame, text: str, schema: Column, n: int, sentence: str, t
 
 
 def split(records: DataFrame, key: str, share: float = 0.05, seed: int = 2024) -> tuple[DataFrame, DataFrame]:
-    """(train, test) of exact sizes: the last floor(n share) rows in the order of a hash go to the test set. No global sort: the cut is a quantile of the hash's buckets."""
+    """(train, test) of exact sizes: the last floor(n share) rows in the order of a hash go to the test set.
+
+    The hash's upper 16 bits, then the next 16, are counted to find the bucket that the cut falls in; only its rows, one in 2^32 of all,
+    are put in order. Rows of one key may fall on both sides of the cut.
+    """
     r = records.withColumn("s_hash", F.xxhash64(F.lit(seed), F.col(key)))
-    n = r.count()
-    k = int(n * share)
-    if not k:
-        return r.drop("s_hash"), r.drop("s_hash").limit(0)
-    top = r.select("s_hash").orderBy(F.desc("s_hash")).limit(k).agg(F.min("s_hash")).first()[0]
-    return r.where(F.col("s_hash") < top).drop("s_hash"), r.where(F.col("s_hash") >= top).drop("s_hash")
+    bucket = lambda shift: F.shiftright("s_hash", shift)
+    left, cut, part = None, None, r
+    for shift in (48, 32):
+        counts = sorted(((x["b"], x["n"]) for x in part.groupBy(bucket(shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 2^16 rows at most
+        left = int(sum(n for _, n in counts) * share) if left is None else left
+        for cut, n in counts:
+            if n >= left:
+                break
+            left -= n
+        part = r.where(bucket(shift) == cut) if cut is not None else r
+    if cut is None:
+        return r.drop("s_hash"), r.drop("s_hash")
+    rank = F.row_number().over(Window.partitionBy("s_cut").orderBy(F.desc("s_hash"), F.monotonically_increasing_id()))
+    edge = r.where(bucket(32) == cut).withColumn("s_cut", bucket(32)).withColumn("s_rank", rank)
+    out = [r.where(bucket(32) < cut).unionByName(edge.where(F.col("s_rank") > left).drop("s_cut", "s_rank")), r.where(bucket(32) > cut).unionByName(edge.where(F.col("s_rank") <= left).drop("s_cut", "s_rank"))]
+    return out[0].drop("s_hash"), out[1].drop("s_hash")
 
 
 def typed_lines(labels: Column, kind: str, value: str) -> Column:

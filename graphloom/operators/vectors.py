@@ -20,7 +20,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, key: str = "vec_id
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """The k nearest rows of each query, ranked in each task first. More than ``most_queries`` are searched in blocks by the hash of their key, of half that many on average."""
+    """The k nearest rows of each query. More than ``most_queries`` are searched in blocks by the hash of their key, of half that many on average."""
     n = queries.count()
     blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
     of = F.pmod(F.xxhash64(key), F.lit(blocks))
@@ -32,13 +32,11 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "
 
 
 def near_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """The k nearest rows of each of a bounded set of queries, which every task holds."""
+    """The k nearest rows of each of a bounded set of queries, which every task holds; Spark cuts each task's rows to its k nearest before it deals them (WindowGroupLimit)."""
     q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")))
     d = vectors.join(q, F.lit(True)).select("query_id", F.col(key), l2(F.col(vector), F.col("q")).alias("distance"))
-    near = d.groupBy("query_id", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", key))), 1, k).alias("s"))
-    near = near.select("query_id", F.inline("s"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return d.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def stuffed_prompt(contexts: DataFrame, by: str, rank: str, text: str, template: str) -> DataFrame:
@@ -48,12 +46,13 @@ def stuffed_prompt(contexts: DataFrame, by: str, rank: str, text: str, template:
     return g.select(by, F.replace(F.lit(template), F.lit("{context}"), F.col("context")).alias("prompt"))
 
 
-def expanded(hits: DataFrame, chunks: DataFrame, size: int = 250, key: str = "chunk_id", source: str = "source", length: str = "n_chars", score: str = "score") -> DataFrame:
+def expanded(hits: DataFrame, chunks: DataFrame, size: int = 250, key: str = "chunk_id", source: str = "source", length: str = "n_chars", score: str = "score", most_score: float | None = None) -> DataFrame:
     """(source, run_start, run_end, n, score): hits (key, source, score) with their neighbours in the source, joined to runs of consecutive ids.
 
     Neighbours are taken nearest first, the earlier of two first, until one would make the texts longer than ``size``; the hit itself always stays.
-    A run's score is the least of its hits'. Chunks have a character at least, so that ``size`` ids on either side are enough: both sides meet by blocks of that many ids.
+    A run's score is the least of its hits'; hits beyond ``most_score`` are left out. Chunks have a character at least, so that ``size`` ids on either side are enough: both sides meet by blocks of that many ids.
     """
+    hits = hits if most_score is None else hits.where(F.col(score) <= most_score)
     h = hits.select(F.col(key).alias("h_id"), F.col(source).alias("h_source"), F.col(score).alias("score"))
     h = h.withColumn("b", F.explode(F.sequence(F.floor((F.col("h_id") - size) / size), F.floor((F.col("h_id") + size) / size))))
     c = chunks.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(length).alias("len")).withColumn("c_b", F.floor(F.col("id") / size))
@@ -63,6 +62,11 @@ def expanded(hits: DataFrame, chunks: DataFrame, size: int = 250, key: str = "ch
     return runs(taken, ["source"], "id", "score")
 
 
+def record_chunks(records: DataFrame, key: str) -> DataFrame:
+    """(key, text): each record as one chunk, its JSON, nulls included."""
+    return records.select(key, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("text"))
+
+
 def packed_sentences(sentences: Column, size: int, separator: str = " ") -> Column:
     """Sentences joined in order to chunks of ``size`` characters at most; a longer one is a chunk of its own. Null: null."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))

@@ -31,9 +31,9 @@ def tag_descriptions(t):
     return t("part").select("p_partkey", E.tag_description(F.concat("p_name", english, text)).alias("d")).select("p_partkey", "d.*")
 
 
-@query("SELECT c_custkey, coalesce((SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey > 20), CASE c_nationkey WHEN 1 THEN -1 WHEN 2 THEN -2 END) AS tag FROM customer")
+@query("SELECT c_custkey, coalesce((SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < 0), CASE c_nationkey WHEN 1 THEN -1 WHEN 2 THEN -2 END) AS tag FROM customer")
 def address_lookup_with_overrides(t):
-    s = t("supplier").where("s_suppkey > 20")
+    s = t("supplier").where("s_acctbal < 0")
     return E.looked_up(t("customer"), "c_nationkey", s, "s_nationkey", "s_suppkey", "s_suppkey", {1: -1, 2: -2}).select("c_custkey", "tag")
 
 

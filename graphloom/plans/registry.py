@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import html as H
 from graphloom.functions import text as X
 from graphloom.functions.sentences import split_sentences
+from graphloom.operators import build as B
+from graphloom.operators import conversion as C
 from graphloom.operators import evaluation as M
 from graphloom.operators import graph as G
+from graphloom.operators import hubs as E
 from graphloom.operators import instructions as I
 from graphloom.operators import legacy as L
 from graphloom.operators import mining as N
@@ -43,17 +46,11 @@ def graph_tag_objects(t):
     return G.key_edges(p, "p_partkey", "p_brand", tag, "tag", "tag", "HAS_TAG").join(p, c("src") == c("p_partkey")).select("p_partkey", "p_name")
 
 
-@query("SELECT n_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey <= 2000 GROUP BY n_name")
+@query("""
+SELECT n_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+""")
 def graph_two_hop_collect(t):
-    e1 = t("orders").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"))
-    e2 = t("customer").select(c("c_custkey").alias("src"), c("c_nationkey").alias("dst"))
-    p = G.Pattern(t("orders"), "o", c("o_orderkey") <= 2000).out(e1, "o_orderkey", t("customer"), "cu", "c_custkey").out(e2, "c_custkey", t("nation"), "na", "n_nationkey")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o.o_orderkey")), lambda x: x.cast("string")), ",")
-    return p.rows.groupBy(c("na.n_name").alias("n_name")).agg(ids.alias("ids"))
-
-
-@query("SELECT n_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def graph_two_hop_collect_all(t):
     e1 = t("orders").select(c("o_orderkey").alias("src"), c("o_custkey").alias("dst"))
     e2 = t("customer").select(c("c_custkey").alias("src"), c("c_nationkey").alias("dst"))
     p = G.Pattern(t("orders"), "o").out(e1, "o_orderkey", t("customer"), "cu", "c_custkey").out(e2, "c_custkey", t("nation"), "na", "n_nationkey")
@@ -98,10 +95,10 @@ def containment_first_wins(t):
     return G.first_wins(supplied(t).select(c("src").alias("part"), c("dst").alias("supplier")), "part", "supplier")
 
 
-@query("SELECT DISTINCT p_type AS tag FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 10")
+@query("SELECT DISTINCT c_name AS tag FROM customer EXCEPT SELECT c_name FROM customer WHERE c_acctbal < 0")
 def tag_nodes_missing(t):
-    p = t("part")
-    return G.missing(p, "p_type", p.where("p_size < 10").select(c("p_type").alias("tag")), "tag")
+    cu = t("customer")
+    return G.missing(cu, "c_name", cu.where("c_acctbal < 0").select(c("c_name").alias("tag")), "tag")
 
 
 @query("SELECT 'SUPPLIED_BY' AS rel, count(*) AS n FROM lineitem UNION ALL SELECT 'IN', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -121,14 +118,14 @@ def node_as_tail_distinct(t):
     return G.as_tail(p, "p_partkey", "p_brand", p.select("p_brand").distinct(), "p_brand", "IS_TAG_OF").groupBy("src").agg(n_rows().alias("n"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def from_tag_anti_join(t):
-    return t("nation").join(t("supplier").where("s_suppkey <= 20"), c("n_nationkey") == c("s_nationkey"), "left_anti").select("n_nationkey", "n_name")
+    return t("nation").join(t("supplier").where("s_acctbal < 0"), c("n_nationkey") == c("s_nationkey"), "left_anti").select("n_nationkey", "n_name")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (length(text) > 100) AS with_text, count(*) FILTER (length(source) > 4) AS with_source FROM documents")
+@query("SELECT count(*) AS n, count(*) FILTER (length(text) > 100) AS with_text, count(*) FILTER (length(source) > 100) AS with_source FROM documents")
 def completeness_report(t):
-    return t("documents").agg(n_rows().alias("n"), F.count_if(F.length("text") > 100).alias("with_text"), F.count_if(F.length("source") > 4).alias("with_source"))
+    return E.completeness(t("documents"), ["text", "source"], 100)
 
 
 @query(r"SELECT page_id, regexp_replace(lower(url), '\.html.*$', '') AS address FROM pages")
@@ -178,9 +175,10 @@ def schema_chunks(t):
     return s.select(F.posexplode(I.chunks(c("s"), 4)).alias("chunk", "c")).select(c("chunk").cast("long").alias("chunk"), F.size("c").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT) AS labels FROM documents")
+@query("SELECT p_partkey, CAST(len(list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '))) AS BIGINT) AS labels FROM part")
 def label_dedupe(t):
-    return t("documents").select("doc_id", F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("labels"))
+    words = t("part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ").alias("w"))
+    return words.select("p_partkey", F.size(I.first_of_each(c("w"), lambda x: x)).cast("long").alias("labels"))
 
 
 @query("SELECT event_type, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS ks FROM (SELECT DISTINCT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
@@ -201,11 +199,21 @@ def negative_set(t):
     return cu.join(every, F.lit(True)).select("c_custkey", F.explode(I.negatives(c("every"), F.array("c_mktsegment"), 1, c("c_custkey"))).alias("negative"))
 
 
-@query("WITH g AS (SELECT source, quality AS item, count(*) AS g FROM labels JOIN documents USING (doc_id) GROUP BY ALL), p AS (SELECT source, CAST(n_chars > 1500 AS INTEGER) AS item, count(*) AS p FROM labels JOIN documents USING (doc_id) GROUP BY ALL), j AS (SELECT source, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p USING (source, item)) SELECT source, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS pred FROM j GROUP BY ROLLUP (source)")
+@query("""
+WITH g AS (SELECT source, quality AS item, count(*) AS g FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+p AS (SELECT source, CAST(n_chars > 1500 AS INTEGER) AS item, count(*) AS p FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+j AS (SELECT source, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p USING (source, item)),
+t AS (SELECT source, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS pred FROM j GROUP BY ROLLUP (source)),
+r AS (
+  SELECT *, CASE WHEN pred = 0 THEN 0.0::DOUBLE ELSE round(tp::DOUBLE / pred * 100, 2) END AS "precision",
+    CASE WHEN gold = 0 THEN 0.0::DOUBLE ELSE round(tp::DOUBLE / gold * 100, 2) END AS recall FROM t
+)
+SELECT *, CASE WHEN "precision" + recall = 0 THEN 0.0::DOUBLE ELSE round(2 * "precision" * recall / ("precision" + recall), 2) END AS f1 FROM r
+""")
 def f1_by_source(t):
     d = t("labels").join(t("documents"), "doc_id")
     k = M.counts(d.select("source", c("quality").alias("item")), d.select("source", (c("n_chars") > 1500).cast("int").alias("item")), ["source"], "item")
-    return M.totals(k, ["source"]).select("source", "tp", "gold", "pred")
+    return M.totals(k, ["source"])
 
 
 @query("SELECT text, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1")
@@ -220,21 +228,21 @@ def vector_topk(t):
     return V.top_k(e, q).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-@query("WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings v, embeddings q WHERE q.vec_id < 20) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 3")
+@query("""
+WITH d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+  FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 3
+""")
 def vector_topk_batch(t):
-    e = t("embeddings")
-    return V.top_k_batch(e, e.where("vec_id < 20")).select("query_id", "vec_id", "rank")
-
-
-@query("WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 3")
-def vector_topk_batch_hundredths(t):
     e = t("embeddings")
     return V.top_k_batch(e, e.where("vec_id % 100 = 0")).select("query_id", "vec_id", "rank")
 
 
-@query("WITH o AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)) SELECT min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM o GROUP BY r")
+@query("WITH o AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) SELECT min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM o GROUP BY r")
 def consecutive_runs(t):
-    o = t("orders").where("o_orderkey % 7 <> 0").select(F.lit(1).alias("one"), "o_orderkey")
+    o = t("orders").where("o_orderstatus <> 'F'").select(F.lit(1).alias("one"), "o_orderkey")
     return G.runs(o, ["one"], "o_orderkey").drop("one")
 
 
@@ -299,3 +307,125 @@ def multiset_f1(t):
     g = t("labels").select("doc_id", c("quality").alias("item"))
     p = t("documents").join(t("labels"), "doc_id", "left_semi").select("doc_id", (c("n_chars") > 1500).cast("int").alias("item"))
     return M.counts(g, p, ["doc_id"], "item").agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred")])
+
+
+FAN_OUT_SQL = " UNION ALL ".join(
+    f"SELECT src, '{rel}' AS rel, '{label}' AS dst_label, dst FROM e WHERE {where}"
+    for label, rel, where in (
+        ("Tag", "HAS_TAG", "dst IN (SELECT w FROM words)"),
+        ("Attribute", "HAS_ATTRIBUTE", "dst IN (SELECT w FROM words WHERE length(w) <= 5)"),
+        ("Character", "RELATE_TO_CHARACTER", "dst IN (SELECT p_brand FROM part)"),
+        ("GroupOfInterest", "RELATE_TO_GROUP", "dst IN (SELECT p_type FROM part)"),
+        ("Series", "BELONG_T0_SERIES", "dst IN (SELECT p_type FROM part WHERE p_size < 5)"),
+        ("Canon", "BELONG_T0_CANON", "dst IN (SELECT min(p_brand) FROM part)"),
+    )
+)
+
+
+@query(f"""
+WITH words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
+e AS (SELECT DISTINCT p_partkey AS src, unnest(list_concat(string_split(p_name, ' '), [p_brand, p_type, p_type])) AS dst FROM part)
+{FAN_OUT_SQL}
+""")
+def graph_build(t):
+    """Six labels of tags, and the edges of all objects to them."""
+    p = t("part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("tag")).distinct()
+    of = lambda rows, name: rows.select(c(name).alias("tag")).distinct()
+    sources = {
+        "Tag": words, "Attribute": words.where("length(tag) <= 5"), "Character": of(p, "p_brand"), "GroupOfInterest": of(p, "p_type"),
+        "Series": of(p.where("p_size < 5"), "p_type"), "Canon": p.agg(F.min("p_brand").alias("tag")),
+        "SCP": p.select(c("p_partkey").alias("item"), F.concat(F.split("p_name", " "), F.array("p_brand", "p_type", "p_type")).alias("tag_list")),
+    }
+    return B.built(sources)[1]
+
+
+@query("SELECT 'nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part")
+def node_counts(t):
+    return G.count_nodes({l: t(l) for l in ("nation", "customer", "part")})
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1")
+def property_collect(t):
+    return G.property_values(t("part"), "p_brand").groupBy(c("p_brand").alias("value")).agg(n_rows().alias("n"))
+
+
+@query("SELECT c_custkey AS src, 'IN' AS rel, s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey OR c_nationkey = (s_nationkey + 1) % 25")
+def edges_of_many_heads(t):
+    """Many heads to a tail: each supplier names two nations, whose customers are the heads."""
+    s = t("supplier").withColumn("nations", F.array(c("s_nationkey"), (c("s_nationkey") + 1) % 25))
+    e = G.edges_to(t("customer").select("c_nationkey").distinct(), "c_nationkey", s, "s_suppkey", c("nations"), "IN")
+    return e.join(t("customer"), c("src") == c("c_nationkey")).select(c("c_custkey").alias("src"), "rel", "dst")
+
+
+@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS text FROM events")
+def record_chunks(t):
+    return V.record_chunks(t("events").select("event_id", "event_type"), "event_id")
+
+
+SEGMENTS_SQL = "(SELECT list_sort(list(DISTINCT c_mktsegment)) FROM customer)"
+SENTENCE = C.INSTRUCTIONS["NER", "en"].replace("'", "''")
+
+
+def segment_records(t):
+    cu = t("customer")
+    types = tuple(r[0] for r in cu.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect())  # the schema: a few types
+    entity = F.array(F.struct(c("c_name").alias("entity"), c("c_mktsegment").alias("entity_type")))
+    return cu.select(c("c_name").alias("text"), entity.alias("entity")), C.Schema(types)
+
+
+def chunk_sql(every: str) -> str:
+    """Chunks of three of a list of five types: three and two."""
+    return f"SELECT c_name, c_mktsegment, {every}[1:3] AS s FROM customer UNION ALL SELECT c_name, c_mktsegment, {every}[4:5] FROM customer"
+
+
+def instruction_sql() -> str:
+    return f"""'{{"instruction":"{SENTENCE}","schema":["' || array_to_string(s, '","') || '"],"input":"' || c_name || '"}}'"""
+
+
+@query(f"""
+WITH k AS ({chunk_sql(f"list_concat([c_mktsegment], list_filter({SEGMENTS_SQL}, lambda x: x <> c_mktsegment))")})
+SELECT 'NER' AS task, 'segments' AS source, {instruction_sql()} AS instruction,
+  '{{' || array_to_string(list_transform(s, lambda x: '"' || x || '":' || CASE WHEN x = c_mktsegment THEN '["' || c_name || '"]' ELSE '[]' END), ',') || '}}' AS output FROM k
+""")
+def convert_train(t):
+    records, schema = segment_records(t)
+    return C.converted(records, "NER", schema, C.source_of("/data/segments/train.json"), 3, "train", language="en", shuffled=False)
+
+
+@query(f"""
+WITH k AS ({chunk_sql(SEGMENTS_SQL)})
+SELECT sha256(c_name) AS id, 'NER' AS task, 'segments' AS source, {instruction_sql()} AS instruction,
+  '[{{"entity":"' || c_name || '","entity_type":"' || c_mktsegment || '"}}]' AS label FROM k
+""")
+def convert_test(t):
+    records, schema = segment_records(t)
+    return C.converted(records, "NER", schema, C.source_of("/data/segments/test.json"), 3, "test", language="en")
+
+
+@query("""
+WITH e AS (
+  SELECT user_id, event_type AS type, CAST(json_extract(props, '$.k') AS VARCHAR) AS trigger, event_type AS role, value > 40 AS g, value < 90 AS p FROM events
+), i AS (
+  SELECT user_id, 'event' AS level, type || '|' || trigger AS item, g, p FROM e
+  UNION ALL SELECT user_id, 'argument', type || '|' || trigger || '|' || role, g, p FROM e
+), k AS (SELECT user_id, level, item, count(*) FILTER (g) AS g, count(*) FILTER (p) AS p FROM i GROUP BY ALL)
+SELECT level, CAST(sum(least(g, p)) AS BIGINT) AS tp, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS pred FROM k GROUP BY 1
+""")
+def event_scores(t):
+    k = F.get_json_object("props", "$.k")
+    one = F.array(F.struct("event_type", k.alias("event_trigger"), F.array(F.struct(k.alias("argument"), c("event_type").alias("role"))).alias("arguments")))
+    e = t("events").select("user_id", "value", one.alias("event"))
+    s = M.event_scores(e.where("value > 40"), e.where("value < 90"), ["user_id"], "event")
+    return s.groupBy("level").agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred")])
+
+
+@query("""
+WITH g AS (SELECT DISTINCT source, quality AS item, 1 AS g FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT DISTINCT source, CAST(n_chars > 1500 AS INTEGER) AS item, 1 AS p FROM labels JOIN documents USING (doc_id))
+SELECT source, CAST(sum(coalesce(g, 0) * coalesce(p, 0)) AS BIGINT) AS tp, CAST(sum(coalesce(g, 0)) AS BIGINT) AS gold, CAST(sum(coalesce(p, 0)) AS BIGINT) AS pred
+FROM g FULL JOIN p USING (source, item) GROUP BY 1
+""")
+def set_mode_counts(t):
+    d = t("labels").join(t("documents"), "doc_id")
+    return M.counts(d.select("source", c("quality").alias("item")), d.select("source", (c("n_chars") > 1500).cast("int").alias("item")), ["source"], "item", as_set=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import indexed
+
 
 def html_tree(spark: SparkSession, path: str) -> DataFrame:
     """(group, path, html) of every .html file; the group is the top-level file or directory of that name."""
@@ -32,11 +34,30 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One file that holds a JSON array of the rows: an export, for results that fit in one task. Rows are written as they come; nulls are kept."""
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    one = df.select(row.alias("r")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_text(df: DataFrame, column: str, path: str) -> None:
+    """Adds the texts to those at ``path``, line by line."""
+    df.select(F.col(column).alias("value")).write.mode("append").text(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def schema_file(spark: SparkSession, path: str) -> DataFrame:
-    """One row (types, roles, type_roles) of a file of three JSON lines; empty parts are dropped."""
-    t = spark.read.option("wholetext", True).text(path)
+    """One row (types, roles, type_roles) of a file of three JSON lines; empty parts are dropped. Without a file the schema is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([([], [], {})], "types array<string>, roles array<string>, type_roles map<string,array<string>>")
+    t = spark.read.text(path, wholetext=True)
     p = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    return t.select(F.from_json(p[0], "array<string>").alias("types"), F.from_json(p[1], "array<string>").alias("roles"), F.from_json(p[2], "map<string,array<string>>").alias("type_roles"))
+    return t.select(F.from_json(F.get(p, F.lit(0)), "array<string>").alias("types"), F.from_json(F.get(p, F.lit(1)), "array<string>").alias("roles"), F.from_json(F.get(p, F.lit(2)), "map<string,array<string>>").alias("type_roles"))
 
 
 def vocabulary(spark: SparkSession, entries: dict[str, dict[str, str]]) -> DataFrame:
@@ -44,16 +65,22 @@ def vocabulary(spark: SparkSession, entries: dict[str, dict[str, str]]) -> DataF
     return spark.createDataFrame([(c, k, d) for c, v in entries.items() for k, d in v.items()], "category string, key string, display string")
 
 
-def write_graph(nodes: dict[str, DataFrame], edges: DataFrame, path: str) -> None:
+def write_graph(nodes: dict[str, DataFrame], edges: DataFrame, path: str, keys: dict[str, str] | None = None) -> None:
+    """A folder a label and one of the edges by relation, in place of what was there. Labels with a key in ``keys`` are dealt and sorted by it."""
     for label, df in nodes.items():
-        df.write.mode("overwrite").parquet(f"{path}/nodes_{label}")
+        key = (keys or {}).get(label)
+        (indexed(df, key) if key else df).write.mode("overwrite").parquet(f"{path}/nodes_{label}")
     edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
 
 
+def read_graph(spark: SparkSession, path: str, labels: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(nodes by label, edges) that ``write_graph`` has written."""
+    return {l: spark.read.parquet(f"{path}/nodes_{l}") for l in labels}, spark.read.parquet(f"{path}/edges")
+
+
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """The table at ``path``, built and written first where there is none (in any file system of Spark's)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    """The table at ``path``, built and written first where there is none or an empty one (in any file system of Spark's)."""
+    if not exists(spark, path + "/_SUCCESS") or spark.read.parquet(path).isEmpty():
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
