@@ -25,12 +25,12 @@ def written(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: s
     """Writes ``pages`` (page_id, url, html) as gzipped archives: three records a row.
 
     Of equal payloads of at least ``least_bytes`` the one with the smallest page_id is a response (all rows
-    that share it), others are revisits. Null html is an empty payload, a null page_id is never the smallest;
+    that share it), others are revisits, which name its URI, date and digest (its record's id isn't known where they are written). Null html is an empty payload, a null page_id is never the smallest;
     line ends in urls become spaces. Other columns are ignored; an empty table gives no records.
     """
     p = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    again = p.where(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("g_digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    again = p.where(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("g_digest")).agg(F.min("page_id").alias("first"), F.min_by("url", F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     p = p.join(again, F.col("digest") == F.col("g_digest"), "left").withColumn("serial", F.monotonically_increasing_id())
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
 
@@ -48,7 +48,7 @@ def written(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: s
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     response = record(
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), main,
-        [F.concat(F.lit("WARC-Payload-Digest: sha256:"), "digest"), F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}"))],
+        [F.concat(F.lit("WARC-Payload-Digest: sha256:"), "digest"), F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To-Target-URI: "), "first_url", F.lit(f"\r\nWARC-Refers-To-Date: {date}")))],
         "application/http; msgtype=response", F.when(revisit, http).otherwise(F.concat(http, "payload")),
     )
     request = record(F.lit("request"), urn("request"), with_it, "application/http; msgtype=request", F.concat(F.lit("GET "), F.regexp_replace("url", " ", "%20"), F.lit(" HTTP/1.1\r\n\r\n")))
@@ -57,19 +57,27 @@ def written(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: s
     rows.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def parsed(raw: bytes) -> tuple | None:
-    """A record from behind its ``MARK``; None if ``raw`` ends before the record does."""
+def length_of(raw: bytes) -> int | None:
+    """The bytes of the record that ``raw`` begins (behind its ``MARK``), its block's included; None if its header hasn't ended."""
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         return None
+    for line in raw[:end].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            return end + 4 + int(value)
+    return end + 4
+
+
+def parsed(raw: bytes) -> tuple:
+    """A whole record from behind its ``MARK``."""
+    end = raw.find(b"\r\n\r\n")
     fields, of = [], {}
     for line in raw[:end].split(b"\r\n")[1:]:
         name, _, value = line.decode("utf-8", "replace").partition(":")
         fields.append((name.strip(), value.strip()))
         of.setdefault(name.strip().lower(), value.strip())
     n = int(of.get("content-length", "0"))
-    if len(raw) < end + 4 + n:
-        return None
     block = raw[end + 4 : end + 4 + n]
     content = of.get("content-type", "")
     if content.startswith("application/http"):
@@ -95,28 +103,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     names = [x.strip().split(" ")[0] for x in RECORD.replace("<string,string>", "").split(",")]
 
     def run(batches):
-        whole, held, file = b"", False, None
+        held, have, need, file = [], 0, None, None  # the pieces of the record at hand, their bytes, those of the whole if its header is there
         out, size = [], 0
         for b in batches:
             for v, f in zip(b.column(0), b.column(1).to_pylist()):
                 v = v.as_py() or b""
                 if f != file:
-                    if held and whole.strip():
+                    if b"".join(held).strip():
                         raise ValueError(f"a record is cut off in {file}")
-                    file, whole, held = f, b"", False
-                whole = whole + MARK.encode() + v if held else v
-                if not whole.strip():
-                    continue  # before the file's first record
-                r = parsed(whole)
-                held = r is None
-                if r is not None:
-                    whole = b""
+                    file, held, have, need = f, [], 0, None
+                if held:
+                    held.append(MARK.encode())
+                    have += len(MARK)
+                held.append(v)
+                have += len(v)
+                if need is None:
+                    whole = b"".join(held)
+                    if not whole.strip():
+                        held, have = [], 0
+                        continue  # before the file's first record
+                    held, need = [whole], length_of(whole)
+                if need is not None and have >= need:
+                    r = parsed(b"".join(held))
+                    held, have, need = [], 0, None
                     out.append(r)
                     size += len(r[-1])
                 if size > 4 << 20 or len(out) >= 1024:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
                     out, size = [], 0
-        if held and whole.strip():
+        if b"".join(held).strip():
             raise ValueError(f"a record is cut off in {file}")
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)

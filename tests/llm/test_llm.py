@@ -294,6 +294,12 @@ def test_warc(spark, tmp_path):
     warc.written(p, str(tmp_path / "a"))
     recs = warc.read(spark, str(tmp_path / "a")).cache()
     assert Counter(r.record_type for r in recs.collect()) == {"response": 4, "revisit": 2, "request": 6, "metadata": 6}
+    assert {(r.fields["WARC-Refers-To-Target-URI"], r.payload_digest) for r in recs.where("record_type = 'revisit'").collect()} == {("u", "sha256:" + hashlib.sha256(long.encode()).hexdigest())}
+    marks = "WARC/1." * 200_000  # a payload of marks alone is read in linear time
+    warc.written(spark.createDataFrame([(1, "u", marks)], "page_id long, url string, html string"), str(tmp_path / "b"))
+    assert warc.read(spark, str(tmp_path / "b")).where("record_type = 'response'").first().payload == marks.encode()
+    warc.written(p.limit(0), str(tmp_path / "c"))
+    assert warc.read(spark, str(tmp_path / "c")).count() == 0
     recs = recs.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha256", F.sha2("payload", 256))
     caps = warc.assembled(recs)
     assert all(len(c.requests) == len(c.metadata) == 1 for c in caps.collect())
