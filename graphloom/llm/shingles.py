@@ -22,7 +22,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 #: Texts are taken in groups of about so many bytes.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
