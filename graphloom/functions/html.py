@@ -162,6 +162,17 @@ def node_text(n) -> str:
     return "\n".join(map(row_text, rows)) if rows else n.text()
 
 
+def wrapped(content: Node) -> Node:
+    """Bare texts of the content that stand in it once as paragraphs of their own (in place); texts that recur stay bare."""
+    whole = content.text()
+    for i, c in enumerate(content.children):
+        if isinstance(c, str) and c.strip() and whole.count(c.strip()) == 1:
+            p = Node("p", {})
+            p.children = [c]
+            content.children[i] = p
+    return content
+
+
 def blocks(content: Node, stop: set[str]) -> list[str]:
     """Texts of the blocks: a heading opens one, tables and framed divs are one each, others join the last.
 
@@ -203,7 +214,7 @@ def page(html: str | None, content_id: str = "page-content", suffix: str = ".htm
     without(content, [selector(s) for s in REMOVED])
     direct = {id(c) for c in content.children}
     links = [{"link": a.attrs["href"].removesuffix(suffix), "text": a.text()} for a in content.walk() if a.tag == "a" and id(a) not in direct and a.attrs.get("href", "").endswith(suffix) and a.attrs["href"] not in excluded]
-    return {"tags": tags, "links": links[::-1], "blocks": blocks(content, stop), "text": content.text().strip()}
+    return {"tags": tags, "links": links[::-1], "blocks": blocks(wrapped(content), stop), "text": content.text().strip()}
 
 
 def parsed(column: Column, content_id: str = "page-content", suffix: str = ".html", excluded: frozenset[str] = frozenset()) -> Column:

@@ -107,3 +107,8 @@ def text_pieces(c: Column, ends: str = "。！？", closers: str = "”’」』
     """Pieces cut after a terminator and up to two closing quotes; the signs stay."""
     marked = F.regexp_replace(c, f"([{ends}][{closers}]{{0,2}})", "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
+
+
+def lowered(c: Column) -> Column:
+    """A text without case and outer space; other values as they are written."""
+    return F.lower(F.trim(c.cast("string")))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as X
+
 
 def upto(by: list[str], pos: str):
     return Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
@@ -145,6 +147,14 @@ def quoted_alias(c: Column) -> Column:
     return F.struct(F.trim(F.regexp_replace(F.element_at(parts, 1), "[“\"]", "")).alias("name"), F.when(F.size(parts) > 1, F.trim(parts[1])).alias("alias"))
 
 
+def task_forces(rows: DataFrame, key: str, headings: dict[str, str]) -> DataFrame:
+    """(key, name, alias, an array for each attribute) of each page: name and alias of its first h1, the texts under its headings. A page without an h1 has neither."""
+    title = rows.where("tag = 'h1'").groupBy(F.col(key).alias("f_key")).agg(F.min_by("text", "pos").alias("title"))
+    lists = by_heading(rows, key, headings)
+    j = lists.join(title, F.col(key) == F.col("f_key"), "left").withColumn("q", quoted_alias(F.col("title")))
+    return j.select(key, "q.name", "q.alias", *[a for a in lists.columns if a != key])
+
+
 def characters(rows: DataFrame, key: str) -> DataFrame:
     """(key, tab, block, name, alias array, address, description): a block between rules a character, the last one too.
 
@@ -209,6 +219,27 @@ def table_records(rows: DataFrame, key: str) -> DataFrame:
     return r.select(key, "tab_no", "pos", F.map_from_entries(unique).alias("record"), "links")
 
 
+def table_facilities(records: DataFrame, columns: dict[str, str], number: str, kinds: dict[str, str], apart: str = "scp-") -> DataFrame:
+    """The rows of ``table_records`` as facilities: an attribute for each header that begins with a prefix in ``columns``, type, name, contained and related links.
+
+    The type is that of the first prefix in ``kinds`` that the number's cell begins with, without case (null without one), the name that prefix and the cell's
+    number, unified; links whose address begins with ``apart`` are contained, others related. Of headers that name one attribute the first by name holds.
+    """
+    entry = lambda p: F.array_sort(F.filter(F.map_entries("record"), lambda e: F.startswith(e["key"], F.lit(p))))
+    cells = {a: F.coalesce(*[F.get(entry(p), F.lit(0))["value"] for p, b in columns.items() if b == a]) for a in dict.fromkeys(columns.values())}
+    r = records.select("*", *[v.alias(a) for a, v in cells.items()])
+    kind, prefix = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for p, k in reversed(list(kinds.items())):
+        begins = F.startswith(F.lower(F.trim(number)), F.lit(p.lower()))
+        kind, prefix = F.when(begins, F.lit(k)).otherwise(kind), F.when(begins, F.lit(p)).otherwise(prefix)
+    digits = F.regexp_extract(number, r"([0-9]+(?:-[0-9]+)*)", 1)
+    name = F.when(prefix.isNotNull() & (digits != ""), X.unify_name(F.concat(prefix, F.lit("-"), digits)))
+    links = F.transform(F.coalesce("links", F.array()), lambda l: l["href"])
+    inside = lambda want: F.filter(links, lambda h: F.startswith(F.lower(h), F.lit(apart)) == F.lit(want))
+    keep = [c for c in records.columns if c not in ("record", "links")]
+    return r.select(*keep, *cells, kind.alias("type"), name.alias("name"), inside(True).alias("contained"), inside(False).alias("related"))
+
+
 def icon_facilities(rows: DataFrame, key: str, icons: list[str]) -> DataFrame:
     """(key, section, icon, name, dossier, description, links): a marked element opens a facility; its first paragraph is the name, with the dossier as its link."""
     r = sections(rows, [key], "pos", F.col("cls").isin(*icons)).where("section > 0")

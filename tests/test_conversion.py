@@ -158,3 +158,34 @@ def test_quotes_and_chunks(spark):
     hits = spark.createDataFrame([(1, "s", 0.1), (9, "s", 0.9)], "chunk_id long, source string, score double")
     chunks = spark.createDataFrame([(i, "s", 100) for i in range(12)], "chunk_id long, source string, n_chars int")
     assert V.expanded(hits, chunks).count() == 2 and V.expanded(hits, chunks, most_score=0.5).count() == 1
+
+
+def test_pages_end_to_end(spark, tmp_path):
+    from graphloom.functions import html as H
+    from graphloom.operators import pages as P
+
+    page = '<div id="page-content">bare once<p>one</p>twice<p>twice</p><div><a href="x.html">X</a></div></div><div class="page-tags"><span><a>{}</a></span></div>'
+    for name, tag in (("a.html", "t1"), ("b/b.html", "t2"), ("b/a.html", "t1"), ("c/z.html", "t1")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(page.format(tag), encoding="utf-8")
+    saved = P.saved_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted((r.group, r.path.rsplit("/", 1)[-1], r.is_main) for r in saved.collect()) == [("a", "a.html", True), ("b", "a.html", False), ("b", "b.html", True), ("c", "z.html", True)]
+    assert {r.group for r in P.pages_of(spark, str(tmp_path / "out"), "t1").collect()} == {"a", "c"}
+    assert P.pages_of(spark, str(tmp_path / "out"), "t2").count() == 2 and P.pages_of(spark, str(tmp_path / "out")).count() == 4
+    content = H.parse("once<p>more</p>again<p>again</p>")
+    assert [c if isinstance(c, str) else c.tag for c in H.wrapped(content).children] == ["p", "p", "again", "p"]
+
+
+def test_table_facilities_and_task_forces(spark):
+    from graphloom.operators import hubs as E
+
+    rec = spark.createDataFrame(
+        [(1, {"编号": "Site-07", "说明x": "d"}, [("scp-1", "a"), ("hub", "b")]), (2, {"编号": "AREA 12"}, None), (3, {"编号": "none"}, [])],
+        "pos int, record map<string,string>, links array<struct<href:string,text:string>>",
+    )
+    got = {r.pos: r for r in E.table_facilities(rec, {"编号": "number", "说明": "description"}, "number", {"site": "站点", "area": "区域"}).collect()}
+    assert (got[1].type, got[1].name, got[1].description, got[1].contained, got[1].related) == ("站点", "site-7", "d", ["scp-1"], ["hub"])
+    assert (got[2].type, got[2].name, got[2].description, got[2].contained) == ("区域", "area-12", None, []) and (got[3].type, got[3].name) == (None, None)
+    rows = spark.createDataFrame([("p", 0, "h1", "MTF“Alias”-Omega"), ("p", 1, "h2", "任务记录"), ("p", 2, "p", "did"), ("q", 0, "p", "x")], "page string, pos int, tag string, text string")
+    out = {r.page: r for r in E.task_forces(rows, "page", {"任务": "missions"}).collect()}
+    assert out["p"].missions == ["did"] and out["p"].alias == "Omega" and out["q"].name is None and out["q"].missions == []
