@@ -68,7 +68,7 @@ class Ids:
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ſ]*")
-    LONG = 20_000
+    CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         import os
@@ -84,41 +84,45 @@ class Ids:
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.size[list(ranks.values())] = [len(b) for b in ranks]
+
+    def _plain(self, s: str) -> bool:
+        return self.fast is not None and (s.isascii() and s.isprintable() or self.PLAIN.fullmatch(s) is not None) and "<|" not in s
 
     def _unit(self, s: str) -> bytes:
-        if self.fast is not None and self.PLAIN.fullmatch(s) and "<|" not in s:
-            ids = self.fast.encode_ordinary(s)
-        else:
-            ids = self.exact.encode(s, add_special_tokens=False).ids
+        ids = self.fast(s) if self._plain(s) else self.exact.encode(s, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn(self, s: str) -> bytes:
-        out = self._unit(s)
-        if len(s) <= 48:
-            if len(self.kept) >= CACHED_UNITS:
-                self.kept.clear()
-            self.kept[s] = out
+    def _learned(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each unit with the space before it. Plain units are encoded in one text, whose tokens end where units do."""
+        plain = [u for u in units if self._plain(u)]
+        out = {u: self._unit(" " + u) for u in units if not self._plain(u)} if len(plain) < len(units) else {}
+        if plain:
+            ids = np.asarray(self.fast(" " + " ".join(plain)), dtype="<u4")
+            ends = np.cumsum([len(u.encode()) + 1 for u in plain])
+            upto = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+            raw, at = ids.tobytes(), 0
+            for u, end in zip(plain, upto.tolist()):
+                out[u] = raw[at:end]
+                at = end
+        if len(self.kept) + len(out) > CACHED_UNITS:
+            self.kept.clear()
+        self.kept.update(out if max(map(len, units)) < 48 else {u: x for u, x in out.items() if len(u) < 48})
         return out
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        parts, units = text.split(" "), []
-        start = 0  # of the unit that grows while a cut beside its end is unsafe
-        for i in range(1, len(parts)):
-            a, b = parts[i - 1], parts[i]
-            if a and b and not a[-1].isspace() and not b[0].isspace():
-                units.append(" ".join(parts[start:i]) if i - start > 1 else a)
-                start = i
-        units.append(" ".join(parts[start:]))
-        kept, learn = self.kept, self._learn
-        out = [self._unit(units[0])]
-        for u in units[1:]:
-            u = " " + u
-            got = kept.get(u)
-            out.append(learn(u) if got is None else got)
-        return b"".join(out)
+        first, *units = self.CUT.split(text)
+        ids = list(map(self.kept.get, units))
+        if None in ids:
+            new, some = {}, list(dict.fromkeys([u for u, x in zip(units, ids) if x is None]))
+            for i in range(0, len(some), 4096):
+                new.update(self._learned(some[i : i + 4096]))
+            ids = [new[u] if x is None else x for u, x in zip(units, ids)]
+        return self._unit(first) + b"".join(ids)
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
