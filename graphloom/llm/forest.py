@@ -76,7 +76,7 @@ class Forest:
 
 
 def searched(shards: DataFrame, queries: DataFrame, most_norm: float, top: int, trees: int, bits: int, share: float) -> DataFrame:
-    """The best ``top`` of each shard: (query_row, query_id, vec_id, score). ``shards`` and ``queries``: (shard, block, row, vec_id, v)."""
+    """The best ``top`` of each shard: (query_row, query_id, vec_id, score). ``shards``: (shard, block, row, vec_id, v); ``queries``: (q_shard, q_block, query_row, query_id, q)."""
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
@@ -85,7 +85,7 @@ def searched(shards: DataFrame, queries: DataFrame, most_norm: float, top: int,
         order = np.lexsort((rows, ids))
         ids, rows, x = ids[order], rows[order], x[order]
         forest = Forest(x, most_norm, trees, bits)
-        qi, qr, qv = right.column("vec_id").to_numpy(), right.column("row").to_numpy(), stacked(right.column("v"))
+        qi, qr, qv = right.column("query_id").to_numpy(), right.column("query_row").to_numpy(), stacked(right.column("q"))
         enough = max(2 * (top + 1), int(np.ceil(share * len(ids))))
         out: list = []
         for at in range(0, len(qi), QUERY_STEP):
@@ -109,8 +109,7 @@ def searched(shards: DataFrame, queries: DataFrame, most_norm: float, top: int,
         flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return flat.reshape(len(column), -1).astype(np.float64)
 
-    by = ["shard", "block"]
-    return shards.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    return shards.groupBy("shard", "block").cogroup(queries.groupBy("q_shard", "q_block")).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TREES, bits: int = BITS, share: float = SHARE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -132,7 +131,8 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP, trees: int = TR
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(n // every) // QUERY_BLOCK))
     every_one = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     dealt = v.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", every_one(blocks))
-    asked = v.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)).cast("int")).withColumn("shard", every_one(shards))
+    asked = v.where(F.col("vec_id") % every == 0).select(F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)).cast("int").alias("q_block"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = asked.withColumn("q_shard", every_one(shards))  # columns of their own: of shared ones a pruned plan would lose one side's
     found = searched(dealt, asked, float(most), top, trees, bits, share)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

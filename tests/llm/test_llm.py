@@ -285,7 +285,7 @@ def test_forest(spark):
     twice = forest.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert sorted((g.query_id, g.rank, g.vec_id, g.score) for g in twice) == [(20, 1, 20, 2.0)] * 2 + [(20, 2, 21, 0.0)] * 2
     assert hit / n >= 0.9 and {g.query_id for g in got} == set(range(0, 600, 20))
-    assert forest.nearest(df.limit(0)).count() == 0
+    assert forest.nearest(df.limit(0)).count() == 0 and forest.nearest(df).count() == len(got)  # also when no column is wanted
 
 
 def test_warc(spark, tmp_path):
