@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,49 +34,55 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Paths that ``scratch`` has given while ``owned`` was open, by owner.
-_owned: dict[str, list[str]] = {}
-_owner: list[str] = []
+class Scratch:
+    """Holds the scratch paths that are given while it is open (``with``), until ``close`` deletes them: for a caller that has saved what its lazy result reads.
 
+    Each call has its own, so that no call deletes what another's result still reads. Paths outside any are deleted with the session, as are those never closed.
+    """
 
-@contextmanager
-def owned(name: str) -> Iterator[None]:
-    """Notes the scratch paths that are given within, for ``forget``."""
-    _owner.append(name)
-    try:
-        yield
-    finally:
-        _owner.pop()
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._before = _open.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.reset(self._before)
+
+    def close(self) -> None:
+        paths, self.paths = self.paths, []
+        for p in paths:
+            deleted(self.spark, p)
+
+
+_open: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, which goes when the session's JVM ends, at the latest."""
     path = f"{shared_dir(spark)}/{what}_{uuid.uuid4().hex}"
-    if _owner:
-        _owned.setdefault(_owner[-1], []).append(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # only what exists can be noted
+    fs.deleteOnExit(p)
+    if (held := _open.get()) is not None:
+        held.paths.append(path)
     return path
 
 
 def deleted(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget(name: str, docs: DataFrame) -> None:
-    """Deletes the scratch of owner ``name``, unless ``docs`` itself still reads any of it."""
-    paths = _owned.get(name, [])
-    read = docs.inputFiles() if paths else []
-    if not any(p.rsplit("/", 1)[-1] in f for p in paths for f in read):
-        _owned[name] = []
-        for p in paths:
-            deleted(docs.sparkSession, p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -168,7 +168,7 @@ def resolved(captures: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def op4_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "warc")
+    path = scratch(spark, "warc") + "/records"
     written(table(spark, sf_dir, "pages"), path)
     records = read(spark, path).withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha256", F.sha2("payload", 256)).drop("payload")
     return resolved(assembled(saved(records, "warc_records")))
