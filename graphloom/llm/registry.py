@@ -10,6 +10,7 @@ from graphloom.llm.line_dedup import op6_line_dedup
 from graphloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from graphloom.llm.mixing import op2_source_mixing
 from graphloom.llm.packing import op5_best_fit_packing
+from graphloom.llm.repeats import op13_repeated_passages
 from graphloom.llm.simhash import op10_simhash_components
 from graphloom.llm.toxicity import op3_toxicity
 from graphloom.llm.warc import OP4_SQL, op4_warc_captures
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_simhash_components": op10_simhash_components,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 ORACLES: dict[str, str] = {"op4_warc_captures": OP4_SQL, "op7_perspective_rotation": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
