@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import instructions as I
+from graphloom.sources import files
 
 # The sentence of each task and language, which models were trained on.
 INSTRUCTIONS = {
@@ -29,6 +30,14 @@ INSTRUCTIONS = {
 }
 
 
+#: Types of the columns of labels as files hold them.
+LABELS = {
+    "entity": "array<struct<entity:string,entity_type:string>>",
+    "relation": "array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>>",
+    "event": "array<struct<event_trigger:string,event_type:string,arguments:array<struct<argument:string,role:string>>>>",
+}
+
+
 @dataclass(frozen=True)
 class Schema:
     """A schema file's three lines."""
@@ -61,9 +70,37 @@ def event_items(s: Schema) -> Column:
 
 def own_event_items(s: Schema) -> Column:
     """The record's own event types, with the roles of the schema (none if it lacks the type)."""
-    all_roles = F.map_from_entries(structs([F.struct(F.lit(t), texts(r)) for t, r in s.type_roles], "struct<k:string,v:array<string>>"))
     own = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col("event"), F.array()), lambda e: e["event_type"])))
-    return F.transform(own, lambda t: F.struct(t.alias("event_type"), F.lit(True).alias("trigger"), F.coalesce(F.try_element_at(all_roles, t), texts(())).alias("arguments")))
+    return F.transform(own, lambda t: F.struct(t.alias("event_type"), roles_of(s, t).alias("arguments")))
+
+
+def roles_of(s: Schema, t: Column) -> Column:
+    all_roles = F.map_from_entries(structs([F.struct(F.lit(k), texts(r)) for k, r in s.type_roles], "struct<k:string,v:array<string>>"))
+    return F.coalesce(F.try_element_at(all_roles, t), texts(()))
+
+
+def triggered_items(s: Schema, labels: Column, rate: float, key: Column, shuffled: bool, seed: int) -> Column:
+    """The record's own event types with their triggers, repeats included, and roles, in order or by hash.
+
+    Below rate 1 roles and triggers are drawn, one at least; there are never more triggers than roles.
+    """
+    own = F.array_sort(F.array_distinct(F.transform(labels, lambda e: e["event_type"])))
+    drawn = lambda items, k: items if rate >= 1 else F.slice(in_order(items, key, seed + 3), 1, F.greatest(F.lit(1), k.cast("int")))
+    coins = lambda items, n: F.size(F.filter(F.sequence(F.lit(1), F.size(items)), lambda i: I.uniform(key, i, F.lit(seed + n)) < rate))
+
+    def item(t: Column) -> Column:
+        roles, triggers = roles_of(s, t), F.transform(F.filter(labels, lambda e: e["event_type"] == t), lambda e: F.coalesce(e["event_trigger"], F.lit("")))
+        roles = F.when(F.size(roles) == 0, roles).otherwise(drawn(roles, coins(roles, 4)))
+        triggers = F.slice(drawn(triggers, coins(triggers, 5)), F.lit(1), F.size(roles))
+        return F.struct(t.alias("event_type"), triggers.alias("trigger"), (in_order(roles, key, seed + 2) if shuffled else roles).alias("arguments"))
+
+    return F.transform(in_order(own, key, seed + 2) if shuffled else own, item)
+
+
+def in_order(items: Column, key: Column, seed: int) -> Column:
+    """Items in an order by hash of the record."""
+    order = F.array_sort(F.transform(items, lambda x, i: F.struct(F.xxhash64(key, x, i, F.lit(seed)).alias("h"), x.alias("x"))))
+    return F.transform(order, lambda s: s["x"])
 
 
 def triple_items(s: Schema) -> Column:
@@ -149,9 +186,7 @@ def sampled_items(t: Task, schema: Schema, labels: Column, rate: float, key: Col
     names = F.transform(every, t.item_type)
     own = F.array_intersect(names, F.coalesce(F.transform(labels, t.label_type), texts(())))
     chosen = F.concat(own, I.negatives(names, own, rate, key, seed))
-    if shuffled:
-        order = F.array_sort(F.transform(chosen, lambda x: F.struct(F.xxhash64(key, x, F.lit(seed + 2)).alias("h"), x.alias("x"))))
-        chosen = F.transform(order, lambda s: s["x"])
+    chosen = in_order(chosen, key, seed + 2) if shuffled else chosen
     return F.transform(chosen, lambda n: F.get(F.filter(every, lambda i: t.item_type(i) == n), F.lit(0)))
 
 
@@ -165,10 +200,12 @@ def converted(records: DataFrame, task: str, schema: Schema, source: str, n: int
     has = t.labels in records.columns
     labels = F.coalesce(F.col(t.labels), F.array()) if has else None
     c_text = F.col(text)
-    if split == "train":
+    if split == "train" and task == "EEA":
+        items = triggered_items(schema, labels, rate, F.xxhash64(c_text), shuffled, seed)
+    elif split == "train":
         items = sampled_items(t, schema, labels, rate, F.xxhash64(c_text), shuffled, seed)
     else:
-        items = t.candidates(schema) if task != "EEA" or has else F.array().cast(f"array<{EVENT}>")
+        items = t.candidates(schema) if task != "EEA" or has else F.array().cast("array<struct<event_type:string,arguments:array<string>>>")
     rows = records.withColumn("c_items", F.explode(F.array(items))).where(F.size("c_items") > 0)
     rows = rows.withColumn("c_chunk", F.explode(I.chunks(F.col("c_items"), n)))
     told = I.instruction(c_text, F.col("c_chunk"), INSTRUCTIONS[task, language]).alias("instruction")
@@ -176,3 +213,16 @@ def converted(records: DataFrame, task: str, schema: Schema, source: str, n: int
     if split == "train":
         return rows.select(*head, t.output(labels, F.col("c_chunk"), c_text).alias("output"))
     return rows.select(F.sha2(c_text, 256).alias("id"), *head, *([F.to_json(F.col(t.labels)).alias("label")] if has else []))
+
+
+def convert_file(spark: SparkSession, task: str, source: str, target: str, schema: str, n: int, split: str = "train", rate: float = 1.0, language: str = "zh", shuffled: bool = True, seed: int = 2024) -> None:
+    """The file (or folder) of JSON lines ``source`` to instruction rows at ``target``, also JSON lines, by the schema file ``schema``.
+
+    Records need the task's labels but for a test set; those of EEA without events go. The rows' source is the name of the file's folder.
+    """
+    labels = TASKS[task].labels
+    records = files.json_lines(spark, source, f"text string, {labels} {LABELS[labels]}")
+    records = records.where(F.size(labels) > 0) if task == "EEA" else records
+    told = Schema.of(files.schema_file(spark, schema).first())
+    out = converted(records, task, told, source_of(source), n, split, rate, language, shuffled=shuffled, seed=seed)
+    files.write_json_lines(out, target)

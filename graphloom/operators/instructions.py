@@ -61,7 +61,7 @@ def split(records: DataFrame, key: str, share: float = 0.05, seed: int = 2024) -
     """(train, test) of exact sizes: the last floor(n share) rows in the order of a hash go to the test set.
 
     The hash's upper 16 bits, then the next 16, are counted to find the bucket that the cut falls in; only its rows, one in 2^32 of all,
-    are put in order. Rows of one key may fall on both sides of the cut.
+    are put in order, by the key and then all their columns. Rows of one key may fall on both sides of the cut; equal rows are counted, not told apart.
     """
     r = records.withColumn("s_hash", F.xxhash64(F.lit(seed), F.col(key)))
     bucket = lambda shift: F.shiftright("s_hash", shift)
@@ -76,10 +76,15 @@ def split(records: DataFrame, key: str, share: float = 0.05, seed: int = 2024) -
         part = r.where(bucket(shift) == cut) if cut is not None else r
     if cut is None:
         return r.drop("s_hash"), r.drop("s_hash")
-    rank = F.row_number().over(Window.partitionBy("s_cut").orderBy(F.desc("s_hash"), F.monotonically_increasing_id()))
-    edge = r.where(bucket(32) == cut).withColumn("s_cut", bucket(32)).withColumn("s_rank", rank)
-    out = [r.where(bucket(32) < cut).unionByName(edge.where(F.col("s_rank") > left).drop("s_cut", "s_rank")), r.where(bucket(32) > cut).unionByName(edge.where(F.col("s_rank") <= left).drop("s_cut", "s_rank"))]
-    return out[0].drop("s_hash"), out[1].drop("s_hash")
+    # equal rows are one row with a count, so that a second evaluation can't deal them otherwise
+    names = [F.col(f"`{c}`") for c in records.columns]
+    told = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    edge = r.where(bucket(32) == cut).withColumn("s_row", told).groupBy("s_hash", "s_row").agg(F.first(F.struct(*names)).alias("s_own"), F.count(F.lit(1)).alias("s_n"))
+    upto = F.sum("s_n").over(Window.partitionBy(bucket(32)).orderBy(F.desc("s_hash"), "s_row").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("s_test", F.greatest(F.lit(0), F.least("s_n", F.lit(left) - (upto - F.col("s_n")))))
+    times = lambda n: edge.withColumn("s_i", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select("s_own.*")
+    train = r.where(bucket(32) < cut).drop("s_hash").unionByName(times(F.col("s_n") - F.col("s_test")))
+    return train, r.where(bucket(32) > cut).drop("s_hash").unionByName(times(F.col("s_test")))
 
 
 def typed_lines(labels: Column, kind: str, value: str) -> Column:
@@ -151,20 +156,25 @@ def relation_target(relations: Column, schema: Column) -> Column:
 def event_target(events: Column, schema: Column, text: Column, with_trigger: bool = True) -> Column:
     """JSON of the events of each type of ``schema`` (event_type, arguments), in the order of where their trigger first stands in the text.
 
-    Arguments hold each role of the schema: NAN without a value; {} if the event has none of them.
+    Arguments hold each role of the schema: NAN without a value; {} if the event has none of them. Empty arguments count as none,
+    a missing or empty trigger reads NAN, and an event without a trigger and without arguments goes. Without triggers, events without a role of the schema go too.
     """
-    place = lambda e: F.coalesce(F.instr(text, e["event_trigger"]), F.lit(0))
+    has_trigger = lambda e: F.coalesce(e["event_trigger"], F.lit("")) != ""
+    trigger_of = lambda e: F.when(has_trigger(e), e["event_trigger"]).otherwise("NAN")
+    given = lambda e: F.filter(F.coalesce(e["arguments"], F.array()), lambda a: F.coalesce(a["argument"], F.lit("")) != "")
+    fits = lambda e, roles: F.exists(given(e), lambda a: F.array_contains(roles, a["role"]))
 
     def told(e: Column, roles: Column) -> Column:
-        of = lambda r: F.array_distinct(F.transform(F.filter(e["arguments"], lambda a: a["role"] == r), lambda a: a["argument"]))
-        none = ~F.exists(e["arguments"], lambda a: F.array_contains(roles, a["role"]))
-        args = F.when(none, F.lit("{}")).otherwise(object_json(roles, lambda r: value_json(of(r))))
-        trigger = [F.lit('"trigger":'), json_text(F.coalesce(e["event_trigger"], F.lit("NAN"))), F.lit(",")] if with_trigger else []
+        of = lambda r: F.array_distinct(F.transform(F.filter(given(e), lambda a: a["role"] == r), lambda a: a["argument"]))
+        args = F.when(fits(e, roles), object_json(roles, lambda r: value_json(of(r)))).otherwise("{}")
+        trigger = [F.lit('"trigger":'), json_text(trigger_of(e)), F.lit(",")] if with_trigger else []
         return F.concat(F.lit("{"), *trigger, F.lit('"arguments":'), args, F.lit("}"))
 
     def of_type(s: Column) -> Column:
-        own = F.filter(events, lambda e: e["event_type"] == s["event_type"])
-        order = F.array_sort(F.transform(own, lambda e, i: F.struct(place(e).alias("at"), i.alias("i"), told(e, s["arguments"]).alias("t"))))
+        real = lambda e: has_trigger(e) | (F.size(F.coalesce(e["arguments"], F.array())) > 0)
+        own = F.filter(events, lambda e: (e["event_type"] == s["event_type"]) & (real(e) if with_trigger else fits(e, s["arguments"])))
+        place = lambda e: F.instr(text, trigger_of(e)) if with_trigger else F.lit(0)
+        order = F.array_sort(F.transform(own, lambda e, i: F.struct(F.coalesce(place(e), F.lit(0)).alias("at"), i.alias("i"), told(e, s["arguments"]).alias("t"))))
         return F.concat(json_text(s["event_type"]), F.lit(":["), F.array_join(F.transform(order, lambda x: x["t"]), ","), F.lit("]"))
 
     return F.concat(F.lit("{"), F.array_join(F.transform(schema, of_type), ","), F.lit("}"))

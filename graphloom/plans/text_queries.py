@@ -63,10 +63,21 @@ def comma_repair(t):
     return t("part").select("p_partkey", l.alias("l")).select("p_partkey", F.col("l")[0].alias("head"), F.col("l")[1].alias("relation"), F.col("l")[2].alias("tail"))
 
 
-@query("""SELECT p_partkey, '{"' || p_brand || '":[{"trigger":"' || CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END || '","arguments":{"size":"' || p_size || '","colour":"NAN"}}]}' AS output FROM part""")
+@query("""
+WITH e AS (
+  SELECT *, p_size % 5 = 0 AS bare, p_size % 5 = 0 AND p_size % 2 = 0 AS empty, CASE WHEN p_size % 2 = 0 THEN 'NAN' ELSE p_type END AS kind FROM part
+)
+SELECT p_partkey, '{"' || p_brand || '":[' || CASE WHEN empty THEN '' ELSE '{"trigger":"' || CASE WHEN bare THEN 'NAN' ELSE p_name END || '","arguments":{"size":"' || p_size || '","kind":"' || kind || '","colour":"NAN"}}' END || '],"none":[]}' AS output,
+  '{"' || p_brand || '":[' || CASE WHEN kind = 'NAN' THEN '' ELSE '{"arguments":{"kind":"' || kind || '"}}' END || ']}' AS without_trigger FROM e
+""")
 def event_targets(t):
-    schema = F.array(F.struct(F.col("p_brand").alias("event_type"), F.array(F.lit("size"), F.lit("colour")).alias("arguments")))
-    return t("part").select("p_partkey", I.event_target(part_events(), schema, F.col("p_name")).alias("output"))
+    """An event without a trigger and without arguments has no target; empty triggers and arguments read NAN."""
+    event = part_events()[0]
+    empty = F.expr("p_size % 10 = 0")
+    e = F.array(F.struct(event["event_trigger"].alias("event_trigger"), event["event_type"].alias("event_type"), F.when(empty, F.slice(event["arguments"], 1, 0)).otherwise(event["arguments"]).alias("arguments")))
+    kinds = lambda *roles: F.struct(F.col("p_brand").alias("event_type"), F.array(*[F.lit(r) for r in roles]).alias("arguments"))
+    schema = F.array(kinds("size", "kind", "colour"), F.struct(F.lit("none").alias("event_type"), F.array(F.lit("x")).alias("arguments")))
+    return t("part").select("p_partkey", I.event_target(e, schema, F.col("p_name")).alias("output"), I.event_target(e, F.array(kinds("kind")), F.col("p_name"), with_trigger=False).alias("without_trigger"))
 
 
 @query("""SELECT s_nationkey AS k, '{"sells":[' || string_agg('{"subject":"' || s_name || '","object":"' || s_suppkey || '"}', ',' ORDER BY s_name) || '],"buys":[]}' AS output FROM supplier GROUP BY 1""")

@@ -45,7 +45,7 @@ def test_triples_and_events_and_attributes(spark):
     by = {json.loads(r.instruction)["input"]: json.loads(r.output) for r in C.converted(e, "EE", s, "x", -1).collect()}
     assert by["he won a race"] == {"win": [{"trigger": "won", "arguments": {"what": "NAN", "who": "he"}}], "lose": []} and by["no"] == {"win": [], "lose": []}
     own = C.converted(e, "EEA", s, "x", 4, "test").collect()  # the record's own types alone; without any, no rows
-    assert [json.loads(r.instruction)["schema"] for r in own] == [[{"event_type": "win", "trigger": True, "arguments": ["what", "who"]}]]
+    assert [json.loads(r.instruction)["schema"] for r in own] == [[{"event_type": "win", "arguments": ["what", "who"]}]]
     eet = {json.loads(r.instruction)["input"]: json.loads(r.output) for r in C.converted(e, "EET", s, "x", -1).collect()}
     assert eet["he won a race"] == {"win": ["won"], "lose": []}
     k = spark.createDataFrame([("Rome has hills and a river", [("Rome", "has", "hills", None, None), ("Rome", "has", "river", None, None)])], RELATIONS)
@@ -189,3 +189,95 @@ def test_table_facilities_and_task_forces(spark):
     rows = spark.createDataFrame([("p", 0, "h1", "MTF“Alias”-Omega"), ("p", 1, "h2", "任务记录"), ("p", 2, "p", "did"), ("q", 0, "p", "x")], "page string, pos int, tag string, text string")
     out = {r.page: r for r in E.task_forces(rows, "page", {"任务": "missions"}).collect()}
     assert out["p"].missions == ["did"] and out["p"].alias == "Omega" and out["q"].name is None and out["q"].missions == []
+
+
+# Golden rows of the format: (record, schema types by task, chunk size, schemas and outputs of the train rows).
+LAY_OFF = (("组织关系-加盟", ("时间", "加盟者", "所加盟组织")), ("组织关系-裁员", ("时间", "裁员方", "裁员人数")))
+GOLDEN_EEA = [
+    ("不仅仅是中国IT企业在裁员，为何500强的甲骨文也发生了全球裁员", [("裁员", "组织关系-裁员", [("中国IT企业", "裁员方")]), ("裁员", "组织关系-裁员", [("500强的甲骨文", "裁员方")])],
+     {"组织关系-裁员": ["裁员", "裁员"]},
+     {"组织关系-裁员": [{"trigger": "裁员", "arguments": {"时间": "NAN", "裁员人数": "NAN", "裁员方": "中国IT企业"}}, {"trigger": "裁员", "arguments": {"时间": "NAN", "裁员人数": "NAN", "裁员方": "500强的甲骨文"}}]}),
+    ("消息人士透露，猛龙已将前锋萨加巴-科纳特裁掉。此前他与猛龙签下了一份合同。", [("裁掉", "组织关系-裁员", [("猛龙", "裁员方")]), ("签下", "组织关系-加盟", [("前锋萨加巴-科纳特", "加盟者"), ("猛龙", "所加盟组织")]), ("裁掉", "组织关系-裁员", [("猛龙", "裁员方")])],
+     {"组织关系-加盟": ["签下"], "组织关系-裁员": ["裁掉", "裁掉"]},
+     {"组织关系-加盟": [{"trigger": "签下", "arguments": {"所加盟组织": "猛龙", "时间": "NAN", "加盟者": "前锋萨加巴-科纳特"}}], "组织关系-裁员": [{"trigger": "裁掉", "arguments": {"裁员方": "猛龙", "裁员人数": "NAN", "时间": "NAN"}}] * 2}),
+    ("冠军射手被裁掉，欲加入湖人队", [("裁掉", "组织关系-裁员", [])], {"组织关系-裁员": ["裁掉"]}, {"组织关系-裁员": [{"trigger": "裁掉", "arguments": {}}]}),
+]
+PERSON = ("别名", "出生地点", "出生日期", "死亡地点", "国籍", "职业", "作品", "成就", "籍贯", "职务", "配偶", "父母", "所属组织", "死亡日期", "兄弟姊妹")
+GOLDEN_KG = ("嘉永五年11月3日，明治天皇出生，是孝明天皇的第二位皇子。母亲是英照皇太后。真正的生母是权大纳言。万延元年被定为储君，并赐名睦仁。",
+             [("明治天皇", "别名", "睦仁"), ("明治天皇", "父母", "孝明天皇"), ("明治天皇", "父母", "英照皇太后"), ("明治天皇", "父母", "权大纳言"), ("孝明天皇", "配偶", "英照皇太后"), ("孝明天皇", "配偶", "权大纳言")],
+             {"人物": {"明治天皇": {"别名": "睦仁", "父母": ["孝明天皇", "英照皇太后", "权大纳言"]}, "孝明天皇": {"配偶": ["英照皇太后", "权大纳言"]}}})
+
+
+def written(path, rows):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    return str(path)
+
+
+def read_back(spark, path):
+    return [r.asDict() for r in spark.read.json(path).collect()]
+
+
+def test_golden_event_arguments_from_file_to_file(spark, tmp_path):
+    told = [{"text": t, "event": [{"event_trigger": a, "event_type": k, "arguments": [{"argument": x, "role": r} for x, r in args]} for a, k, args in e]} for t, e, *_ in GOLDEN_EEA]
+    src = written(tmp_path / "EEA" / "sample.json", [*told, {"text": "none", "event": []}])
+    schema = written(tmp_path / "EEA" / "schema.json", [[k for k, _ in LAY_OFF], ["时间"], {k: list(v) for k, v in LAY_OFF}])
+    C.convert_file(spark, "EEA", src, str(tmp_path / "train"), schema, 4)
+    rows = {json.loads(r["instruction"])["input"]: r for r in read_back(spark, str(tmp_path / "train"))}
+    assert set(rows) == {t for t, *_ in GOLDEN_EEA}
+    for text, _, triggers, output in GOLDEN_EEA:
+        said = json.loads(rows[text]["instruction"])
+        assert said["instruction"] == C.INSTRUCTIONS["EEA", "zh"] and rows[text]["task"] == rows[text]["source"] == "EEA"
+        assert {s["event_type"]: s["trigger"] for s in said["schema"]} == triggers and all(set(s["arguments"]) == set(dict(LAY_OFF)[s["event_type"]]) for s in said["schema"])
+        assert json.loads(rows[text]["output"]) == output
+    C.convert_file(spark, "EEA", src, str(tmp_path / "test"), schema, 4, "test")
+    rows = {json.loads(r["instruction"])["input"]: r for r in read_back(spark, str(tmp_path / "test"))}
+    assert [set(s) for s in json.loads(rows[GOLDEN_EEA[0][0]]["instruction"])["schema"]] == [{"event_type", "arguments"}]
+    assert json.loads(rows[GOLDEN_EEA[0][0]]["label"]) == told[0]["event"]
+
+
+def test_golden_attributes_and_entities(spark, tmp_path):
+    text, triples, output = GOLDEN_KG
+    src = written(tmp_path / "KG" / "sample.json", [{"id": 1, "text": text, "relation": [dict(zip(("head", "relation", "tail"), x)) for x in triples]}])
+    schema = written(tmp_path / "KG" / "schema.json", [["人物_别名_人物"], list(PERSON), {"人物": list(PERSON)}])
+    C.convert_file(spark, "KG", src, str(tmp_path / "kg"), schema, 1)
+    (row,) = read_back(spark, str(tmp_path / "kg"))
+    assert json.loads(row["output"]) == output and list(json.loads(row["output"])["人物"]) == ["明治天皇", "孝明天皇"]
+    assert [(s["entity_type"], set(s["attributes"])) for s in json.loads(row["instruction"])["schema"]] == [("人物", set(PERSON))]
+    text = "在这里恕弟不恭之罪，敢在尊前一诤：前人论书，每曰“字字有来历，笔笔有出处”，细读公字，何尝跳出前人藩篱，自隶变而后，直至明季，兄有何新出？"
+    src = written(tmp_path / "NER" / "sample.json", [{"text": text, "entity": []}])
+    schema = written(tmp_path / "NER" / "schema.json", [["人物", "地理位置", "组织机构"], [], {}])
+    C.convert_file(spark, "NER", src, str(tmp_path / "ner"), schema, 6)
+    C.convert_file(spark, "NER", src, str(tmp_path / "ner_test"), schema, 6, "test")
+    (row,) = read_back(spark, str(tmp_path / "ner"))
+    assert json.loads(row["output"]) == {"人物": [], "地理位置": [], "组织机构": []} and set(json.loads(row["instruction"])["schema"]) == {"人物", "地理位置", "组织机构"}
+    (row,) = read_back(spark, str(tmp_path / "ner_test"))
+    assert row["id"].startswith("c74ee8e5")
+
+
+def test_events_without_trigger_or_arguments(spark):
+    d = spark.createDataFrame([("he won", [("", "win", [("", "what"), ("he", "who")]), ("", "win", []), (None, "win", [("x", "other")])])], EVENTS)
+    schema = F.array(F.struct(F.lit("win").alias("event_type"), F.array(F.lit("what"), F.lit("who")).alias("arguments")))
+    got = d.select(I.event_target(F.col("event"), schema, F.col("text")), I.event_target(F.col("event"), schema, F.col("text"), with_trigger=False)).first()
+    assert json.loads(got[0]) == {"win": [{"trigger": "NAN", "arguments": {"what": "NAN", "who": "he"}}, {"trigger": "NAN", "arguments": {}}]}
+    assert json.loads(got[1]) == {"win": [{"arguments": {"what": "NAN", "who": "he"}}]}
+
+
+def test_drawn_triggers_and_roles(spark):
+    e = spark.createDataFrame([(f"t{i}", [("a", "T", [("v", "r1")]), ("b", "T", [])]) for i in range(300)], EVENTS)
+    s = C.Schema(type_roles=(("T", tuple(f"r{i}" for i in range(10))),))
+    items = [json.loads(r.instruction)["schema"][0] for r in C.converted(e, "EEA", s, "x", 4, rate=0.5).collect()]
+    assert 4 < sum(len(x["arguments"]) for x in items) / 300 < 6 and 1 < sum(len(x["trigger"]) for x in items) / 300 < 1.5
+    assert all(set(x["trigger"]) <= {"a", "b"} and x["arguments"] for x in items)
+
+
+def test_label_keys(spark):
+    d = spark.range(1).select(F.struct(F.lit("p").alias("predicate"), F.lit("a").alias("subject_type"), F.lit("b").alias("object_type")).alias("t"), F.lit("x").alias("n"), F.struct(F.lit("e").alias("event_type")).alias("e"))
+    got = d.select(C.label_key("SPO", F.col("t")), C.triple_type(F.col("t")), C.label_key("NER", F.col("n")), C.label_key("EE", F.col("e"))).first()
+    assert tuple(got) == ("p", "a_p_b", "x", "e")
+
+
+def test_split_deals_equal_rows_once(spark):
+    d = spark.createDataFrame([(i // 40, "x") for i in range(400)], "k int, v string").repartition(5)
+    train, test = I.split(d, "k", 0.33)
+    assert test.count() == 132 and train.count() == 268 and train.unionAll(test).groupBy("k").count().where("count <> 40").count() == 0
