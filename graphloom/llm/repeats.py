@@ -135,7 +135,8 @@ class Copies:
         order = np.argsort(c1)
         same = c1[order][1:] == c1[order][:-1]
         may = np.zeros(len(order), bool)
-        may[order[1:]], may[order[:-1]] = same, same | may[order[:-1]]
+        may[order[1:]] = same
+        may[order[:-1]] |= same
         x = np.flatnonzero(may)
         x = x[np.lexsort((sl[x], dh[x], did[x], c2[x], c1[x]))]
         start = np.ones(len(x), bool)
@@ -154,6 +155,8 @@ class Copies:
 
 def united(did: np.ndarray, dh: np.ndarray, sl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The spans of each document with those that overlap or touch made one."""
+    if not len(did):
+        return did, dh, sl
     order = np.lexsort((sl, dh, did))
     did, dh, sl = did[order], dh[order], sl[order]
     new = np.ones(len(did), bool)
@@ -303,8 +306,12 @@ def fetched(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "g long, many boolean, did long, dh long, start long, bytes binary")
 
 
-def grouped(found: DataFrame, length: int) -> DataFrame:
-    """(repeat, did, dh, sl, later): the maximal repeats of the contexts ``found``, each with all its occurrences there; ``repeat`` tells them apart, ``later`` all but the earliest."""
+def grouped(found: DataFrame, length: int, spans: bool = False) -> DataFrame:
+    """(repeat, did, dh, sl, later): the maximal repeats of the contexts ``found``, each with all its occurrences there; ``repeat`` tells them apart, ``later`` all but the earliest.
+
+    With ``spans`` only (did, dh, sl), the later occurrences, those of a document that overlap made one.
+    """
+    wanted = "did long, dh long, sl long" if spans else "repeat long, did long, dh long, sl long, later boolean"
     found.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CONTEXTS))
 
     def scan(held: list[pa.RecordBatch], roll: Rolling) -> pa.RecordBatch | None:
@@ -319,8 +326,11 @@ def grouped(found: DataFrame, length: int) -> DataFrame:
         key = doc[context] << 32 | place
         first = np.cumsum(count) - count
         later = key > np.repeat(np.minimum.reduceat(key, first), count)
-        name = np.array([xxhash.xxh3_64_intdigest(b[at[c] + o : at[c] + o + s].tobytes()) for c, o, s in zip(context[first].tolist(), offset[first].tolist(), size.tolist())], np.uint64).view(np.int64)
         sl = place << 32 | np.repeat(size, count)
+        if spans:
+            d, h, x = united(did[context][later], dh[context][later], sl[later])
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(x)], names=["did", "dh", "sl"])
+        name = np.array([xxhash.xxh3_64_intdigest(b[at[c] + o : at[c] + o + s].tobytes()) for c, o, s in zip(context[first].tolist(), offset[first].tolist(), size.tolist())], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, count)), pa.array(did[context]), pa.array(dh[context]), pa.array(sl), pa.array(later)], names=["repeat", "did", "dh", "sl", "later"])
 
     def run(batches):
@@ -339,7 +349,7 @@ def grouped(found: DataFrame, length: int) -> DataFrame:
         if held and (out := scan(held, roll)) is not None:
             yield out
 
-    return found.repartition("g").sortWithinPartitions("g").mapInArrow(run, "repeat long, did long, dh long, sl long, later boolean")
+    return found.repartition("g").sortWithinPartitions("g").mapInArrow(run, wanted)
 
 
 def single_windows(found: DataFrame, length: int) -> DataFrame:
@@ -359,18 +369,31 @@ def single_windows(found: DataFrame, length: int) -> DataFrame:
     return told(found.mapInArrow(run, ROWS), "g").where("later").select("did", "dh", "sl")
 
 
-def found_repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Of documents ``rows`` (did, dh, t): spans (did, dh, sl) that cover all bytes to remove, and the ``grouped`` repeats among them."""
+def dealt(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents ``rows`` (did, dh, t): spans (did, dh, sl) of the copies of whole contexts, and the contexts that share an anchor with others (see ``fetched``)."""
     order = frequent(rows, length)
     many = (F.shiftright("sl", 31).bitwiseAND(F.lit(1))) == 1
     size = F.lit(~(1 << 31))
     t = told(anchored(rows, order, length), "g")
     t = t.withColumn("d", F.sum(F.col("first").cast("int")).over(Window.partitionBy("g")))
     t = saved(t.where(F.col("later") | many | (F.col("d") > 1)).select("g", "did", "dh", F.col("sl").bitwiseAND(size).alias("sl"), "first", (many | (F.col("d") > BUCKET)).alias("many")), "repeat_rows")
-    found = saved(fetched(rows, t.where("first")), "repeat_contexts")
-    repeats = saved(grouped(found.where("not many"), length), "repeat_groups")
-    spans = t.where("not first").select("did", "dh", "sl").unionByName(repeats.where("later").select("did", "dh", "sl"))
-    return spans.unionByName(single_windows(found.where("many"), length)), repeats
+    return t.where("not first").select("did", "dh", "sl"), saved(fetched(rows, t.where("first")), "repeat_contexts")
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """(repeat, doc_id, start, size, later) of the occurrences of each maximal repeat among distinct contexts: bytes [start, start + size) of the document's text.
+
+    ``repeat`` is a hash of its bytes. Copies of a whole context stand behind its earliest occurrence, and repeats among more contexts of an anchor than a suffix array takes aren't among them.
+    """
+    found = dealt(keyed(docs, text, key), length)[1]
+    start, size = F.shiftright("sl", 32), F.col("sl").bitwiseAND(F.lit((1 << 31) - 1))
+    return grouped(found.where("not many"), length).select("repeat", F.nullif("did", F.lit(NO_ID)).alias("doc_id"), start.alias("start"), size.alias("size"), "later")
+
+
+def found_repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Spans (did, dh, sl) of documents ``rows`` (did, dh, t) that cover all bytes to remove."""
+    copies, found = dealt(rows, length)
+    return copies.unionByName(grouped(found.where("not many"), length, spans=True)).unionByName(single_windows(found.where("many"), length))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -383,7 +406,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     rows = keyed(docs, text, key)
     did, dh, own, at = missing_names(docs, "did", "dh", "own_text", "own_spans")
-    spans = found_repeats(rows, length)[0].groupBy(F.col("did").alias(did), F.col("dh").alias(dh)).agg(F.collect_set("sl").alias(at))  # of one document
+    spans = found_repeats(rows, length).groupBy(F.col("did").alias(did), F.col("dh").alias(dh)).agg(F.collect_set("sl").alias(at))  # of one document
     spans = saved(spans, "repeat_spans")
     some = member_filter(spans, did, dh)
     names = docs.columns
