@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import runs
+from graphloom.operators.knn import knn_join
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -19,16 +20,11 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, key: str = "vec_id
     return vectors.select(key, l2(F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """The k nearest rows of each query. More than ``most_queries`` are searched in blocks by the hash of their key, of half that many on average."""
-    n = queries.count()
-    blocks = 1 if n <= most_queries else -(-2 * n // most_queries)
-    of = F.pmod(F.xxhash64(key), F.lit(blocks))
-    out = None
-    for b in range(blocks):
-        near = near_block(vectors, queries if blocks == 1 else queries.where(of == b), k, key, vector)
-        out = near if out is None else out.unionByName(near)
-    return out
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most_queries: int = 4096) -> DataFrame:
+    """The k nearest rows of each query: (query_id, key, distance, rank). Up to ``most_queries`` are held by each task and meet every row; more are joined by pivots, so that rows and queries aren't all paired."""
+    if queries.count() > most_queries:
+        return knn_join(vectors, queries, k, key, vector)
+    return near_block(vectors, queries, k, key, vector)
 
 
 def near_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:

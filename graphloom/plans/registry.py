@@ -13,6 +13,7 @@ from graphloom.operators import evaluation as M
 from graphloom.operators import graph as G
 from graphloom.operators import hubs as E
 from graphloom.operators import instructions as I
+from graphloom.operators import knn as K
 from graphloom.operators import legacy as L
 from graphloom.operators import mining as N
 from graphloom.operators import vectors as V
@@ -240,6 +241,19 @@ def vector_topk_batch(t):
     return V.top_k_batch(e, e.where("vec_id % 100 = 0")).select("query_id", "vec_id", "rank")
 
 
+@query("""
+WITH d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS d
+  FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, vec_id, rank, round(d, 6) AS distance FROM k WHERE rank <= 10
+""")
+def vector_knn_join(t):
+    """The ten nearest rows of every hundredth one, by pivots."""
+    e = t("embeddings")
+    return K.knn_join(e, e.where("vec_id % 100 = 0"), 10).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("WITH o AS (SELECT o_orderkey AS k, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus <> 'F')) SELECT min(k) AS run_start, max(k) AS run_end, count(*) AS n FROM o GROUP BY r")
 def consecutive_runs(t):
     o = t("orders").where("o_orderstatus <> 'F'").select(F.lit(1).alias("one"), "o_orderkey")
