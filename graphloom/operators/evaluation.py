@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import segment
+
 
 def counts(gold: DataFrame, predicted: DataFrame, by: list[str], item: str, as_set: bool = False) -> DataFrame:
     """tp, gold, pred of each instance; items count as often as they occur, or once with ``as_set``."""
@@ -21,8 +23,8 @@ def counts(gold: DataFrame, predicted: DataFrame, by: list[str], item: str, as_s
 
 
 def totals(c: DataFrame, by: list[str]) -> DataFrame:
-    """Sums of ``counts`` for each group and over all (null group), with P, R and F1 in percent."""
-    t = c.rollup(*by).agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred")])
+    """Sums of ``counts`` (and of ``errors``, where the rows have them) for each group and over all (null group), with P, R and F1 in percent."""
+    t = c.rollup(*by).agg(*[F.sum(x).alias(x) for x in ("tp", "gold", "pred", "errors") if x in c.columns])
     from graphloom.functions.text import safe_percent
 
     t = t.withColumn("precision", safe_percent(F.col("tp"), F.col("pred"))).withColumn("recall", safe_percent(F.col("tp"), F.col("gold")))
@@ -161,46 +163,57 @@ def event_items(events: Column) -> tuple[Column, Column]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        old = 0
-        for j, y in enumerate(b, 1):
-            old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a bit for each token of ``a``, a sum of integers for each of ``b``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every  # a zero is a step of the subsequence
+    for y in b:
+        same = row & places.get(y, 0)
+        row = ((row + same) | (row - same)) & every
+    return len(a) - row.bit_count()
+
+
+def overlap(a: list[str], b: list[str], n: int) -> float:
+    """F1 of the n-grams of two lists, each counted as often as both hold it; 0 where one has none."""
+    x, y = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))
+    same = (x & y).total()
+    return 2 * same / (x.total() + y.total()) if same else 0.0
+
 
+def longest(a: list[str], b: list[str]) -> float:
+    """F1 of the longest common subsequence of two lists."""
+    n = lcs(a, b)
+    return 2 * n / (len(a) + len(b)) if n else 0.0
+
+
+def pairwise(score, reference: Column, candidate: Column) -> Column:
+    """``score`` of two columns, of lists of tokens or of texts cut at white space. Null counts as empty."""
 
-def rouge_l(reference, candidate):
-    """F1 of the longest common subsequence of white-space tokens."""
     @F.pandas_udf("double")
     def run(r: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(r.fillna(""), c.fillna("")):
-            a, b = x.split(), y.split()
-            n = lcs(a, b)
-            out.append(2 * n / (len(a) + len(b)) if n else 0.0)
-        return pd.Series(out)
+        tokens = lambda x: x.split() if isinstance(x, str) else [] if x is None else list(x)
+        return pd.Series([score(tokens(x), tokens(y)) for x, y in zip(r, c)], dtype="float64")
 
     return run(reference, candidate)
 
 
-def rouge_n(reference: Column, candidate: Column, n: int) -> Column:
-    """F1 of the n-grams of white-space tokens, each counted as often as both texts hold it; 0 where a text has none. Null counts as empty."""
+def rouge_l(reference: Column, candidate: Column) -> Column:
+    """F1 of the longest common subsequence of the tokens of two texts, or of two arrays of tokens."""
+    return pairwise(longest, reference, candidate)
 
-    @F.pandas_udf("double")
-    def run(r: pd.Series, c: pd.Series) -> pd.Series:
-        def grams(x: str) -> Counter:
-            t = x.split()
-            return Counter(zip(*(t[i:] for i in range(n))))
 
-        out = []
-        for x, y in zip(r.fillna(""), c.fillna("")):
-            a, b = grams(x), grams(y)
-            same = (a & b).total()
-            out.append(2 * same / (a.total() + b.total()) if same else 0.0)
-        return pd.Series(out)
+def rouge_n(reference: Column, candidate: Column, n: int) -> Column:
+    """F1 of the n-grams of the tokens of two texts, or of two arrays of tokens."""
+    return pairwise(lambda a, b: overlap(a, b, n), reference, candidate)
 
-    return run(reference, candidate)
+
+def rouge(reference: Column, candidate: Column, counts: dict[str, int] | None = None) -> Column:
+    """A struct (rouge_1, rouge_2, rouge_l) of two texts in percent; with a frequency table ``counts`` their words are those of the likeliest path (see ``functions.segment``), else they are cut at white space."""
+    r, c = (reference, candidate) if counts is None else (segment.words(reference, counts), segment.words(candidate, counts))
+    told = {"rouge_1": rouge_n(r, c, 1), "rouge_2": rouge_n(r, c, 2), "rouge_l": rouge_l(r, c)}
+    return F.struct(*[F.round(v * 100, 4).alias(k) for k, v in told.items()])
 
 
 def merged_counts(parts: list[DataFrame], by: list[str]) -> DataFrame:
@@ -221,3 +234,9 @@ def missed(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """One row: n, the gold instances, and missing, those without a prediction."""
     p = predicted.select(F.col(key).alias("m_key")).distinct()
     return gold.join(p, F.col(key) == F.col("m_key"), "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m_key").isNull()).alias("missing"))
+
+
+def with_errors(c: DataFrame, outputs: DataFrame, by: list[str], ok: str = "ok") -> DataFrame:
+    """``counts`` with ``errors``, how many of an instance's ``outputs`` could not be read (``ok`` is false or null); instances without items count 0."""
+    e = outputs.groupBy(*by).agg(F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("errors"))
+    return c.join(e, by, "full_outer").fillna(0, ["tp", "gold", "pred", "errors"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import segment
+from graphloom.functions import terms as A
 from graphloom.functions.sentences import split_sentences
 from graphloom.operators import evaluation as M
 from graphloom.operators import formats as L
@@ -128,11 +130,60 @@ def linked_page_sentences(t):
     return s.where("sentence <> 'page。'").select(F.regexp_replace("sentence", "。", "").cast("long").alias("page"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS rouge_1, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS rouge_2 FROM part WHERE string_split(p_name, ' ')[1] <> string_split(p_name, ' ')[2]")
+@query("""
+WITH p AS (
+  SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS a, string_split(CASE WHEN p_size % 2 = 0 THEN p_type || ' ' || p_name ELSE p_name || ' # ' || p_type END, ' ') AS b FROM part
+), u AS (
+  SELECT p_partkey, len(list_filter(a, lambda x: list_contains(b, x))) AS same, len(a) + len(b) AS n,
+    len(list_filter(range(1, len(a)), lambda i: len(list_filter(range(1, len(b)), lambda j: b[j] = a[i] AND b[j + 1] = a[i + 1])) > 0)) AS pairs,
+    list_max(list_transform(range(1::BIGINT << len(a)), lambda m: CASE
+      WHEN array_to_string(list_filter(b, lambda y: list_contains(list_filter(a, lambda x, i: (m >> (i - 1)) & 1 = 1), y)), ' ') = array_to_string(list_filter(a, lambda x, i: (m >> (i - 1)) & 1 = 1), ' ')
+      THEN bit_count(m) ELSE 0 END)) AS long
+  FROM p WHERE len(list_distinct(a)) = len(a)
+)
+SELECT p_partkey, round(200.0 * same / n, 4)::DOUBLE AS rouge_1, round(200.0 * pairs / (n - 2), 4)::DOUBLE AS rouge_2, round(200.0 * long / n, 4)::DOUBLE AS rouge_l FROM u
+""")
 def rouge_scores(t):
-    other = F.when(F.expr("p_size % 2 = 0"), F.col("p_name")).otherwise(F.concat(F.split("p_name", " ")[1], F.lit(" #")))
-    p = t("part").where(F.split("p_name", " ")[0] != F.split("p_name", " ")[1])
-    return p.select("p_partkey", M.rouge_n(F.col("p_name"), other, 1).alias("rouge_1"), M.rouge_n(F.col("p_name"), other, 2).alias("rouge_2"))
+    """A part's name and type against the same words in another order, or with a word between them."""
+    other = F.when(F.expr("p_size % 2 = 0"), F.concat_ws(" ", "p_type", "p_name")).otherwise(F.concat("p_name", F.lit(" # "), "p_type"))
+    own = F.concat_ws(" ", "p_name", "p_type")
+    p = t("part").where(F.size(F.array_distinct(F.split(own, " "))) == F.size(F.split(own, " ")))
+    return p.select("p_partkey", M.rouge(own, other).alias("r")).select("p_partkey", "r.*")
+
+
+# A character for each letter, so that names are texts without spaces.
+LETTERS, HAN = "abcdefghijklmnopqrstuvwxyz", "阿波次得鹅佛哥喝衣基科勒摸讷喔坡期日思特乌微屋西呀资"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, translate(p_name, '{LETTERS}', '{HAN}') AS name, translate(lower(p_type), '{LETTERS}', '{HAN}') AS kind FROM part)
+SELECT p_partkey, string_split(name, ' ') || [kind] AS words, round(200.0 * 2 / 5, 4)::DOUBLE AS rouge_1, round(200.0 / 3, 4)::DOUBLE AS rouge_2, round(200.0 * 2 / 5, 4)::DOUBLE AS rouge_l
+FROM p WHERE string_split(name, ' ')[1] <> string_split(name, ' ')[2]
+""")
+def segmented_rouge(t):
+    """Names and types written without spaces, cut into the words of a frequency table of all of them; scores of the name alone against both."""
+    p = t("part").select("p_partkey", F.translate("p_name", LETTERS, HAN).alias("name"), F.translate(F.lower("p_type"), LETTERS, HAN).alias("kind"))
+    p = p.where(F.split("name", " ")[0] != F.split("name", " ")[1])
+    counts = p.select(F.explode(F.split(F.concat_ws(" ", "name", "kind"), " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    told = segment.table_of(counts, "w", "n")
+    name, both = F.replace(F.col("name"), F.lit(" "), F.lit("")), F.replace(F.concat("name", "kind"), F.lit(" "), F.lit(""))
+    return p.select("p_partkey", segment.words(both, told).alias("words"), M.rouge(both, name, told).alias("r")).select("p_partkey", "words", "r.*")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS w FROM benchmark),
+t AS (SELECT w AS term FROM w UNION SELECT substr(w, 3) FROM w),
+f AS (
+  SELECT doc_id, term, strpos(text, term) AS place, text FROM documents, t WHERE contains(text, term)
+  UNION ALL SELECT doc_id, term, place + strpos(substr(text, place + 1), term), text FROM f WHERE strpos(substr(text, place + 1), term) > 0
+)
+SELECT doc_id, term, place - 1 AS offset FROM f
+""")
+def term_offsets(t):
+    """Every place of the long words of the benchmark, and of these without their first two letters, in all documents."""
+    w = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("w"))
+    terms = w.select(F.explode(F.array("w", F.substr("w", F.lit(3)))).alias("term"))
+    return A.term_offsets(t("documents"), "doc_id", "text", terms, "term")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS missing FROM documents")
