@@ -66,12 +66,12 @@ def missing(wanted: DataFrame, column: str, nodes: DataFrame, key: str) -> DataF
 
 
 def as_tail(nodes: DataFrame, key: str, tag: str, heads: DataFrame, head_key: str, rel: str, bag: bool = False) -> DataFrame:
-    """Edges from heads to the nodes of their tag; ``bag`` repeats each as often as records share the tag."""
+    """Edges from heads to the nodes of their tag; with ``bag`` also ``n``, how often each is there: as often as records share the tag."""
     e = key_edges(heads, head_key, head_key, nodes, key, tag, rel)
     if not bag:
         return e.distinct()
-    k = nodes.groupBy(F.col(tag).alias("t")).agg(F.count(F.lit(1)).alias("k"))
-    return e.join(k, F.col("src") == F.col("t")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))).select("src", "rel", "dst")
+    k = nodes.groupBy(F.col(tag).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(k, F.col("src") == F.col("t")).select("src", "rel", "dst", "n")
 
 
 def count_edges(e: DataFrame) -> DataFrame:
@@ -88,18 +88,25 @@ def schema_text(nodes: dict[str, DataFrame], e: DataFrame) -> tuple[dict[str, st
 
 
 class Pattern:
-    """A path pattern: ``Pattern(nodes, cond).out(edges, nodes, cond)...``; ``rows`` holds a struct for each name."""
+    """A path pattern: ``Pattern(nodes, cond).out(edges, nodes, cond)...``; ``rows`` holds a struct for each name.
+
+    Beside its struct a node's columns stay as they are (``p_`` name ``_`` column), and joins are on these, so that tables bucketed by a
+    key keep their layout through a step.
+    """
 
     def __init__(self, nodes: DataFrame, name: str, where: Column | None = None):
+        self.rows, self.last = self._named(nodes, name, where), name
+
+    @staticmethod
+    def _named(nodes: DataFrame, name: str, where: Column | None) -> DataFrame:
         n = nodes if where is None else nodes.where(where)
-        self.rows, self.last = n.select(F.struct(*n.columns).alias(name)), name
+        return n.select(F.struct(*n.columns).alias(name), *[F.col(f"`{c}`").alias(f"p_{name}_{c}") for c in n.columns])
 
     def out(self, e: DataFrame, key: str, nodes: DataFrame, name: str, to_key: str, where: Column | None = None, back: bool = False) -> Pattern:
-        n = nodes if where is None else nodes.where(where)
         a, b = ("dst", "src") if back else ("src", "dst")
         step = e.select(F.col(a).alias("p_from"), F.col(b).alias("p_to"))
-        far = n.select(F.struct(*n.columns).alias(name))
-        self.rows = self.rows.join(step, F.col(f"{self.last}.{key}") == F.col("p_from")).join(far, F.col("p_to") == F.col(f"{name}.{to_key}")).drop("p_from", "p_to")
+        rows = self.rows.join(step, F.col(f"p_{self.last}_{key}") == F.col("p_from"))
+        self.rows = rows.join(self._named(nodes, name, where), F.col("p_to") == F.col(f"p_{name}_{to_key}")).drop("p_from", "p_to")
         self.last = name
         return self
 
@@ -129,3 +136,28 @@ def runs(df: DataFrame, by: list[str], value: str, least: str | None = None, blo
     edge = parts.where(at_edge).withColumn("r_new", apart.cast("int")).withColumn("r_run", F.sum("r_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.groupBy(*by, "r_run").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.sum("n").alias("n"), *low).drop("r_run")
     return parts.where(~at_edge).unionByName(edge)
+
+
+def related(e: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """(label, key, hops): every node that ``start`` (label, key) reaches over at most ``hops`` edges of any relation, in either direction, with the least number of edges; the start itself is at 0.
+
+    ``e`` has src_label, src, dst_label, dst. Frontier by frontier: a step joins the last frontier with the edges, and drops the nodes that an earlier one has.
+    """
+    both = e.select(F.struct(F.col("src_label").alias("label"), F.col("src").alias("key")).alias("a"), F.struct(F.col("dst_label").alias("label"), F.col("dst").alias("key")).alias("b"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    frontier = start.select(F.struct("label", "key").alias("b")).distinct()
+    seen = frontier.withColumn("hops", F.lit(0))
+    for i in range(1, hops + 1):
+        # each frontier is read by the next step and by all later differences
+        frontier = both.join(frontier.select(F.col("b").alias("f")), F.col("a") == F.col("f"), "left_semi").select("b").distinct().join(seen, "b", "left_anti").persist()
+        seen = seen.unionByName(frontier.withColumn("hops", F.lit(i)))
+    return seen.select("b.label", "b.key", "hops")
+
+
+def whole_nodes(found: DataFrame, nodes: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """``found`` (label, key and more) with ``node``, the properties of each node as a map of texts; nulls are left out. Nodes of labels without a table have none."""
+    from functools import reduce
+
+    props = lambda n: F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in n.columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in n.columns])), lambda _, v: v.isNotNull())
+    every = reduce(DataFrame.unionByName, [n.select(F.lit(l).alias("label"), F.col(keys[l]).cast("string").alias("key"), props(n).alias("node")) for l, n in nodes.items()])
+    return found.join(every, ["label", "key"], "left")

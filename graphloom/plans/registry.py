@@ -110,7 +110,7 @@ def edge_counts_by_relation(t):
 @query("SELECT p_brand AS src, count(*) * count(*) AS n FROM part GROUP BY 1")
 def node_as_tail_bag(t):
     p = t("part")
-    return G.as_tail(p, "p_partkey", "p_brand", p.select("p_brand").distinct(), "p_brand", "IS_TAG_OF", bag=True).groupBy("src").agg(n_rows().alias("n"))
+    return G.as_tail(p, "p_partkey", "p_brand", p.select("p_brand").distinct(), "p_brand", "IS_TAG_OF", bag=True).groupBy("src").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT p_brand AS src, count(*) AS n FROM part GROUP BY 1")
@@ -170,10 +170,16 @@ def page_links(t):
     return t("pages").select("page_id", F.explode(H.parsed(c("html"), suffix="")["links"]).alias("l")).select("page_id", c("l.link").alias("link"))
 
 
-@query("SELECT k AS chunk, CAST(CASE WHEN k = 11 THEN 5 ELSE 4 END AS BIGINT) AS n FROM (SELECT unnest(range(12)) AS k)")
+@query("""
+WITH s AS (SELECT c_nationkey, list(c_custkey ORDER BY c_custkey) AS s FROM customer GROUP BY 1),
+f AS (SELECT c_nationkey, s, greatest(len(s) // 4, 1) AS full_, greatest(len(s) - 4 * greatest(len(s) // 4, 1), 0) AS rest FROM s),
+k AS (SELECT *, unnest(range(full_ + CASE WHEN rest >= 2 THEN 1 ELSE 0 END)) AS chunk FROM f)
+SELECT c_nationkey, CAST(chunk AS BIGINT) AS chunk, CASE WHEN rest < 2 AND chunk = full_ - 1 THEN s[chunk * 4 + 1:] ELSE s[chunk * 4 + 1:chunk * 4 + 4] END AS keys FROM k
+""")
 def schema_chunks(t):
-    s = t("nation").sparkSession.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(49)), lambda x: x.cast("string")).alias("s"))
-    return s.select(F.posexplode(I.chunks(c("s"), 4)).alias("chunk", "c")).select(c("chunk").cast("long").alias("chunk"), F.size("c").cast("long").alias("n"))
+    """The customers of a nation in chunks of four; a rest of one joins the last chunk."""
+    s = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("s"))
+    return s.select("c_nationkey", F.posexplode(I.chunks(c("s"), 4)).alias("chunk", "keys")).select("c_nationkey", c("chunk").cast("long").alias("chunk"), "keys")
 
 
 @query("SELECT p_partkey, CAST(len(list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '))) AS BIGINT) AS labels FROM part")
@@ -354,6 +360,76 @@ def graph_build(t):
     return B.built(sources)[1]
 
 
+PARTS_SQL = """
+words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
+brands AS (SELECT p_brand AS name, CASE WHEN p_brand < 'Brand#2' THEN 'b1' ELSE p_brand END AS tag FROM (SELECT DISTINCT p_brand FROM part)),
+own AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS src, unnest(list_concat(string_split(p_name, ' '), [p_type, CASE WHEN p_brand < 'Brand#2' THEN 'b1' ELSE p_brand END])) AS t FROM part),
+held AS (SELECT l_partkey, l_suppkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+"""
+
+
+@query(f"""
+WITH {PARTS_SQL}, e AS (
+  SELECT 'Tag' AS src_label, tag AS src, 'IS_TAG_OF' AS rel, 'GroupOfInterest' AS dst_label, name AS dst, count(*) OVER (PARTITION BY tag) AS n FROM brands
+  UNION ALL SELECT 'Tag', p_type, 'IS_TAG_OF', 'Series', p_type, 1 FROM (SELECT DISTINCT p_type FROM part)
+  UNION ALL SELECT 'SCP', CAST(l_partkey AS VARCHAR), 'IS_CONTAINED_IN_FACILITY', 'Facility', CAST(min(s_nationkey) AS VARCHAR), 1 FROM held GROUP BY l_partkey
+  UNION ALL SELECT DISTINCT 'SCP', CAST(l_partkey AS VARCHAR), 'IS_CONTAINED_BY_TASKFORCE', 'TaskForce', CAST(l_suppkey AS VARCHAR), 1 FROM held
+  UNION ALL SELECT 'SCP', src, 'HAS_TAG', 'Tag', t, 1 FROM own
+  UNION ALL SELECT 'SCP', src, 'RELATE_TO_GROUP', 'GroupOfInterest', name, 1 FROM own JOIN brands ON t = tag
+  UNION ALL SELECT 'SCP', src, 'BELONG_T0_SERIES', 'Series', t, 1 FROM own WHERE t IN (SELECT p_type FROM part)
+) SELECT src_label, rel, dst_label, count(*) AS edges, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT src) AS heads, count(DISTINCT dst) AS tails, min(src || '>' || dst) AS least, max(src || '>' || dst) AS most FROM e GROUP BY ALL
+""")
+def graph_whole_build(t):
+    """Parts as objects: their words, brands and types as tags, nations as facilities and suppliers as forces; all nodes, missing tags and edges are built, then told by relation."""
+    e = parts_graph(t)[1]
+    pair = F.concat_ws(">", "src", "dst")
+    told = [n_rows().alias("edges"), F.sum("n").alias("n"), F.count_distinct("src").alias("heads"), F.count_distinct("dst").alias("tails"), F.min(pair).alias("least"), F.max(pair).alias("most")]
+    return e.groupBy("src_label", "rel", "dst_label").agg(*told)
+
+
+def parts_graph(t):
+    p = t("part")
+    brand = F.when(c("p_brand") < "Brand#2", "b1").otherwise(c("p_brand"))
+    held = t("lineitem").join(t("supplier"), c("l_suppkey") == c("s_suppkey")).select("l_partkey", "l_suppkey", "s_nationkey").distinct()
+    lists = lambda key: held.groupBy(key).agg(F.collect_set("l_partkey").alias("objects"))
+    sources = {
+        "Tag": p.select(F.explode(F.split("p_name", " ")).alias("tag")).distinct(),
+        "GroupOfInterest": p.select(c("p_brand").alias("name"), brand.alias("tag")).distinct(),
+        "Series": p.select(c("p_type").alias("name"), c("p_type").alias("tag")).distinct(),
+        "SCP": p.select(c("p_partkey").alias("item"), F.concat(F.split("p_name", " "), F.array(c("p_type"), brand)).alias("tag_list")),
+        "Facility": t("nation"), "TaskForce": t("supplier"),
+    }
+    keys = {"GroupOfInterest": "name", "Series": "name", "SCP": "item", "Facility": "n_nationkey", "TaskForce": "s_suppkey"}
+    return B.built_graph(sources, keys, facilities=B.Holders(lists("s_nationkey"), "s_nationkey", "objects"), forces=B.Holders(lists("l_suppkey"), "l_suppkey", "objects"))
+
+
+STAR_EDGES_SQL = """
+e AS (
+  SELECT 'Nation:' || n_nationkey AS a, 'Region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey FROM supplier
+  UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'Order:' || o_orderkey, 'Customer:' || o_custkey FROM orders
+), d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {STAR_EDGES_SQL}, r AS (SELECT 'Nation:' || min(n_nationkey) AS id, 0 AS hops FROM nation UNION SELECT b, hops + 1 FROM r JOIN d ON id = a WHERE hops < 3),
+f AS (SELECT id, min(hops) AS hops FROM r GROUP BY id)
+SELECT string_split(id, ':')[1] AS label, string_split(id, ':')[2] AS key, CAST(hops AS INTEGER) AS hops, coalesce(n_name, r_name, s_name, c_name, o_orderpriority) AS name
+FROM f LEFT JOIN nation ON id = 'Nation:' || n_nationkey LEFT JOIN region ON id = 'Region:' || r_regionkey LEFT JOIN supplier ON id = 'Supplier:' || s_suppkey
+LEFT JOIN customer ON id = 'Customer:' || c_custkey LEFT JOIN orders ON id = 'Order:' || o_orderkey
+""")
+def graph_all_related(t):
+    """All nodes within three edges of a nation, whatever their labels and relations, each as a whole."""
+    of = lambda table, label, key, far, rel, to: t(table).select(F.lit(label).alias("src_label"), c(key).cast("string").alias("src"), F.lit(rel).alias("rel"), F.lit(to).alias("dst_label"), c(far).cast("string").alias("dst"))
+    e = of("nation", "Nation", "n_nationkey", "n_regionkey", "IN", "Region").unionByName(of("supplier", "Supplier", "s_suppkey", "s_nationkey", "IN", "Nation"))
+    e = e.unionByName(of("customer", "Customer", "c_custkey", "c_nationkey", "IN", "Nation")).unionByName(of("orders", "Order", "o_orderkey", "o_custkey", "BY", "Customer"))
+    start = t("nation").agg(F.min("n_nationkey").cast("string").alias("key")).select(F.lit("Nation").alias("label"), "key")
+    nodes = {"Nation": t("nation"), "Region": t("region"), "Supplier": t("supplier"), "Customer": t("customer"), "Order": t("orders")}
+    keys = {"Nation": "n_nationkey", "Region": "r_regionkey", "Supplier": "s_suppkey", "Customer": "c_custkey", "Order": "o_orderkey"}
+    found = G.whole_nodes(G.related(e, start, 3), nodes, keys)
+    return found.select("label", "key", "hops", F.coalesce(*[c("node")[x] for x in ("n_name", "r_name", "s_name", "c_name", "o_orderpriority")]).alias("name"))
+
+
 @query("SELECT 'nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part")
 def node_counts(t):
     return G.count_nodes({l: t(l) for l in ("nation", "customer", "part")})
