@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import segment
@@ -10,6 +13,7 @@ from graphloom.functions.sentences import split_sentences
 from graphloom.operators import evaluation as M
 from graphloom.operators import formats as L
 from graphloom.operators import instructions as I
+from graphloom.operators import legacy_conversion as O
 from graphloom.operators import mining as N
 from graphloom.operators import templates as T
 from graphloom.operators import vectors as V
@@ -215,3 +219,43 @@ def templated_prompts(t):
 @query("SELECT p_partkey, 'Write a query.' || chr(10) || chr(10) || 'Question: a?' || chr(10) || 'Query: b' || chr(10) || chr(10) || 'Question: ' || p_name || chr(10) || 'Query: ' AS prompt FROM part")
 def few_shot_prompts(t):
     return t("part").select("p_partkey", T.few_shot_prompt("Write a query.", [("a?", "b")], F.col("p_name")).alias("prompt"))
+
+
+TEMPLATE = "Find {s_schema} in the text, written as {s_format}"
+SEGMENT_LIST_SQL = "(SELECT '[''' || string_agg(s, ''', ''' ORDER BY s) || ''']' FROM (SELECT DISTINCT c_mktsegment AS s FROM customer))"
+
+
+@query(f"""
+WITH n AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer),
+ner AS (
+  SELECT 'NER' AS task, c_name AS input, 'Find ' || {SEGMENT_LIST_SQL} || ' in the text, written as (Entity,Entity Type)' || chr(10) AS instruction,
+    '(' || c_name || ',' || c_mktsegment || ')' || repeat(chr(10) || 'NAN', CAST((SELECT n FROM n) AS INTEGER) - 1) AS output FROM customer
+), re AS (
+  SELECT 'RE', s_name, 'Find [''buys'', ''sells''] in the text, written as Subject is,Relation is,Object is' || chr(10), 'Subject is ' || s_name || ',Relation is sells,Object is ' || s_suppkey || chr(10) || 'NAN' FROM supplier
+), e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events),
+eet AS (
+  SELECT 'EET', 'event ' || event_id || ' ' || k, 'Find [''' || event_type || '''] in the text, written as Event Type：Event Trigger' || chr(10), event_type || '：' || k FROM e
+), ee AS (
+  SELECT 'EE', 'event ' || event_id || ' ' || k, 'Find {{''' || event_type || ''': [''key'']}} in the text, written as (Event Trigger,Event Type,Argument1#Argument Role1;Argument2#Argument Role2)' || chr(10), '(' || k || ',' || event_type || ',key#' || k || ')' FROM e
+), eea AS (
+  SELECT 'EEA', 'event ' || event_id || ' ' || k, 'Given [{{''event_type'': ''' || event_type || ''', ''event_trigger'': ''' || k || '''}}] find {{''' || event_type || ''': [''key'']}}',
+    '{{''event_trigger'':''' || k || ''', ''event_type'':''' || event_type || ''', ''arguments'':({{''argument'':''' || k || ''', ''role'':''key''}})}}' FROM e
+)
+SELECT task, sha256(input) AS id, instruction, input, output FROM (SELECT * FROM ner UNION ALL SELECT * FROM re UNION ALL SELECT * FROM eet UNION ALL SELECT * FROM ee UNION ALL SELECT * FROM eea)
+""")
+def legacy_train(t):
+    """Rows of the older form for five tasks: customers' segments and suppliers' relations with all placeholders, events without."""
+    cu = t("customer").select(F.col("c_name").alias("text"), entity(t).alias("entity"))
+    sells = F.struct(F.col("s_name").alias("head"), F.lit("sells").alias("relation"), F.col("s_suppkey").cast("string").alias("tail"))
+    su = t("supplier").select(F.col("s_name").alias("text"), F.array(sells).alias("relation"))
+    k = F.get_json_object("props", "$.k")
+    event = F.struct(k.alias("event_trigger"), F.col("event_type"), F.array(F.struct(k.alias("argument"), F.lit("key").alias("role"))).alias("arguments"))
+    ev = t("events").select(F.concat_ws(" ", F.lit("event"), "event_id", k).alias("text"), F.array(event).alias("event"))
+    made = {
+        "NER": O.converted(cu, "NER", [TEMPLATE], sample=0, neg_ratio=1, neg_schema=1, language="en", shuffled=False),
+        "RE": O.converted(su, "RE", [TEMPLATE] * 2, O.Schema(roles=("buys", "sells")), 1, 1, 1, "en", False),
+        "EET": O.converted(ev, "EET", [TEMPLATE] * 3, sample=2, neg_ratio=0, language="en"),
+        "EE": O.converted(ev, "EE", [TEMPLATE], sample=0, neg_ratio=0, language="en"),
+        "EEA": O.converted(ev, "EEA", ["Given {s_schema2} find {s_schema1}"] * 4, sample=3, neg_ratio=1, language="en"),
+    }
+    return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("task"), "*") for n, d in made.items()])
