@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import segment
 from graphloom.functions import terms as A
 from graphloom.functions.sentences import split_sentences
+from graphloom.operators import embeddings as Y
 from graphloom.operators import evaluation as M
 from graphloom.operators import formats as L
 from graphloom.operators import instructions as I
 from graphloom.operators import legacy_conversion as O
 from graphloom.operators import mining as N
 from graphloom.operators import templates as T
+from graphloom.operators import tokens as K
 from graphloom.operators import vectors as V
 from graphloom.plans.base import query
 
@@ -259,3 +261,50 @@ def legacy_train(t):
         "EEA": O.converted(ev, "EEA", ["Given {s_schema2} find {s_schema1}"] * 4, sample=3, neg_ratio=1, language="en"),
     }
     return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("task"), "*") for n, d in made.items()])
+
+
+def byte_ids():
+    """A tokenizer whose ids are a text's UTF-8 bytes."""
+    return lambda texts: [list(x.encode()) for x in texts]
+
+
+def bpe_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return lambda texts: [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@query()
+def token_chunks(t):
+    """The sentences of all documents in chunks of 1024 tokens at most, each beginning with up to 200 tokens of the one before."""
+    return K.token_chunks(t("documents"), "doc_id", "text", bpe_ids, 1024, 200, ".!?")
+
+
+@query("""
+WITH p AS (
+  SELECT conv_id, turn, text AS q, lead(text) OVER w AS a, lead(role) OVER w AS r, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), u AS (SELECT conv_id, turn, strlen(q) + 1 AS s, strlen(a) + 1 AS t FROM p WHERE role = 'user' AND r = 'assistant' AND a <> '' AND q <> ''),
+b AS (SELECT *, least(200, greatest(200 * t // (s + t), 40)) AS most FROM u)
+SELECT conv_id, turn, CAST(least(s, 200 - most) + least(t, most) AS BIGINT) AS ids, CAST(least(t, most) AS BIGINT) AS trained, t <= most AS ended FROM b
+""")
+def supervised_pairs(t):
+    """Each question of a conversation with the answer after it, as 200 tokens at most; sources are masked."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t("conversations").withColumn("a", F.lead("text").over(w)).withColumn("r", F.lead("role").over(w)).where("role = 'user' and r = 'assistant'")
+    rows = c.select("conv_id", "turn", F.array(F.struct(F.col("text").alias("query"), F.col("a").alias("answer"))).alias("turns"))
+    s = K.supervised_turns(rows, "turns", byte_ids, 200, 40, bos=256, eos=257)
+    told = F.size(F.filter("labels", lambda x: x != K.IGNORED)).cast("long")
+    return s.select("conv_id", "turn", F.size("input_ids").cast("long").alias("ids"), told.alias("trained"), (F.element_at("labels", -1) == 257).alias("ended"))
+
+
+def letter_counts():
+    """A model whose vectors are counts of a text's characters, of its vowels and of its spaces."""
+    return lambda texts: [[len(x), *(x.count(c) for c in "aeiou "), 0.5] for x in texts]
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash, list_transform(['', 'a', 'e', 'i', 'o', 'u', ' '], lambda c: CASE WHEN c = '' THEN length(text) ELSE length(text) - length(replace(text, c, '')) END::DOUBLE) || [0.5::DOUBLE] AS embedding FROM documents")
+def embedded_documents(t):
+    return Y.embedded(t("documents"), "doc_id", "text", letter_counts, 8)
