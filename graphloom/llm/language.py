@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import missing_names, saved, small_batches, table
 
-#: Rows that the trigram model is fitted on, and languages that it tells apart: the most declared ones.
-SAMPLE_ROWS, MOST_LANGUAGES = 2_000, 200
+#: Rows that the trigram model is fitted on.
+SAMPLE_ROWS = 2_000
 BUCKETS = 1 << 16
 #: Trigrams follow from one another: a text counts as so many independent ones at most.
 MOST_TRIGRAMS = 200.0
@@ -67,16 +67,20 @@ class Model:
 
 
 def plain(declared: Column) -> Column:
-    """The language of a tag such as ``en-GB``, in lower case; null if there is none."""
+    """The language of a tag such as ``en-GB``, in lower case; null if there is none. A language has two to eight letters, as the syntax of tags has it."""
     l = F.lower(F.trim(F.substring_index(declared, "-", 1)))
-    return F.when(l != "", l)
+    return F.when(l.rlike("^[a-z]{2,8}$"), l)
 
 
-def fitted(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the ``MOST_LANGUAGES`` most declared languages, by at most rows / languages (10 at least) rows of each, those of the least hashes."""
+def fitted(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, languages: int | None = None) -> Model:
+    """A model of all declared languages, by at most rows / languages (10 at least) rows of each, those of the least hashes. A language takes 256 KB of it.
+
+    ``languages``, if given, keeps the most declared ones alone: documents of others then get one of these or none.
+    """
     t, l = F.col(f"`{text}`"), plain(F.col(f"`{declared}`"))
     known = docs.select(F.xxhash64(F.lit("language"), F.col(f"`{key}`"), t).alias("h"), l.alias("l"), t.alias("t")).where("l is not null")
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l")
+    counts = (counts if languages is None else counts.limit(languages)).collect()  # a row a language
     if not counts:
         return Model([])
     each = max(10, rows // len(counts))

@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words (a line of fewer words is one token), compared as 64-bit
+A line's tokens are its distinct shingles of five words (lines of fewer words have none and match equal ones alone), compared as 64-bit
 hashes. A line is removed if an earlier line of the corpus, by (doc_id, line number), has a
 Jaccard similarity of at least 0.8 to it, whether that one stays or goes.
 
@@ -34,6 +34,8 @@ SHINGLE = 5
 HOT_SHARE = 10_000
 #: A token's rows are dealt to 2^(c - SALT_FROM) groups, 64 at most, where its count is 2^c times the least hot one: to groups of about 8,192 rows.
 SALT_FROM, SALT_BITS = 8, 6
+#: Rows of a token from which on the sizes and places of all decide whether a row meets the others.
+MANY = 64
 #: Longs of a membership bitmap, of 63 bits each: about 16 bits a member, within these bounds.
 FILTER_WORDS = (1 << 8, 1 << 18)
 #: Jaccard similarity of at least NUM / DEN.
@@ -67,7 +69,11 @@ def fits(x: str, y: str, first_shared: bool) -> Column:
     With ``first_shared`` the token counts as the first that the two share, as it is in one of the places where a matching pair meets.
     """
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-    upto = F.lit(1) if first_shared else F.least(i, j)
+    return fitting(n, m, i, j, F.lit(1) if first_shared else F.least(i, j))
+
+
+def fitting(n: Column, m: Column, i: Column, j: Column, upto: Column) -> Column:
+    """Whether nodes of n and m tokens with a shared one at places i and j, at most the ``upto``-th that they share, can match."""
     return (m >= need_column(n)) & (n >= need_column(m)) & (upto + F.least(n - i, m - j) >= overlap(n, m))
 
 
@@ -91,9 +97,15 @@ SIGNATURE = ("s0", "s1", "s2", "s3")
 
 def bitmaps(h: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of tokens (repeats included, so at least that of distinct ones) and the signature of each unit."""
-    bits = np.zeros((units, 64 * len(SIGNATURE)), np.uint8)
-    bits[unit, (h >> np.uint64(40)).astype(np.int64) % bits.shape[1]] = 1
-    return np.bincount(unit, minlength=units).astype(np.int32), np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    width, step = 64 * len(SIGNATURE), 1 << 14
+    place = (h >> np.uint64(40)).astype(np.int64) % width
+    out = np.empty((units, len(SIGNATURE)), "<i8")
+    for i in range(0, units, step):  # a byte a bit for so many units at once
+        a, z = np.searchsorted(unit, (i, i + step))
+        bits = np.zeros((min(step, units - i), width), np.uint8)
+        bits[unit[a:z] - i, place[a:z]] = 1
+        out[i : i + step] = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return np.bincount(unit, minlength=units).astype(np.int32), out
 
 
 def first_of(*keys: np.ndarray) -> np.ndarray:
@@ -209,11 +221,22 @@ def removed_nodes(docs: DataFrame, nodes: DataFrame, order: Rarity, cut: dict, s
     left = shared.join(place, F.col("x.lid") == F.col("n_lid")).drop("n_lid")
     left = left.join(met.withColumnRenamed("g_first", "m"), F.col("first") == F.col("m"), "left_anti")
     others = shared.select("tok", F.col("x").alias("z"), F.col("did").alias("z_did"))
-    more = left.join(others, "tok").where("z_did <= did and x.lid <> z.lid and z.lid <> y.lid").where(fits("x", "z", True))
+    more = promising(left, others).join(others, "tok").where("z_did <= did and x.lid <> z.lid and z.lid <> y.lid").where(fits("x", "z", True))
     more = more.select(F.greatest("x.lid", "z.lid").alias("u"), F.least("x.lid", "z.lid").alias("v")).distinct()
     return met.unionByName(matches(docs, nodes, more, shingle)).distinct()
 
 
+def promising(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows`` (tok, x) without those that fit none of ``others`` (tok, z) of their token, where these are MANY: told by the sizes and places that occur, not by the rows.
+
+    Variants of a template share tokens behind those that tell them apart: there, nothing that fits is left of a group, and its rows never meet.
+    """
+    many = others.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MANY).select("tok")
+    kinds = others.join(many, "tok").select("tok", "z.n", "z.pos").distinct().groupBy("tok").agg(F.collect_list(F.struct("n", "pos")).alias("kinds"))
+    fit = F.exists("kinds", lambda k: fitting(F.col("x.n"), k["n"], F.col("x.pos"), k["pos"], F.lit(1)))
+    return rows.join(kinds, "tok", "left").where(F.col("kinds").isNull() | fit).drop("kinds")
+
+
 def matches(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(g_first): the first place of the later node of each of ``pairs`` (u, v: lids) whose token sets have the similarity. Only lines of pairs are cut into tokens."""
     place = lambda name: nodes.select(F.col("lid").alias(f"{name}_lid"), F.struct("first", "n", *SIGNATURE).alias(name))

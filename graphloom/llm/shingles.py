@@ -139,12 +139,13 @@ def sorted_sets(tokens: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.nd
     """The distinct tokens (below 2^63) of each unit in rising order, units in order."""
     if not len(tokens):
         return tokens, unit
-    assert int(unit[-1]) < 1 << 20
-    # 20 bits of the unit above the token's upper 44: one fast sort; where these tie, a full one
-    key = unit.astype(np.uint64) << np.uint64(44) | tokens >> np.uint64(19)
-    order = np.argsort(key)
-    t, u = tokens[order], unit[order]
-    if ((t[1:] != t[:-1]) & (key[order][1:] == key[order][:-1])).any():
+    # 20 bits of the unit above the token's upper 44: one fast sort; where these tie, or there are more units, a full one
+    few = int(unit[-1]) < 1 << 20
+    if few:
+        key = unit.astype(np.uint64) << np.uint64(44) | tokens >> np.uint64(19)
+        order = np.argsort(key)
+        t, u = tokens[order], unit[order]
+    if not few or ((t[1:] != t[:-1]) & (key[order][1:] == key[order][:-1])).any():
         order = np.lexsort((tokens, unit))
         t, u = tokens[order], unit[order]
     new = np.ones(len(t), bool)
