@@ -79,7 +79,7 @@ def test_two_stages_before_either_is_used(spark):
 
 
 def test_two_pipelines_and_what_they_leave(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "OWN_CHECKPOINT_DIR", str(tmp_path / "shared"))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path / "shared"))
     for s in (1, 2):
         spark.createDataFrame(documents(80, s), DOCS).write.parquet(f"{tmp_path}/{s}/documents.parquet")
     one, two = (corpus_pipeline.run(spark, f"{tmp_path}/{s}") for s in (1, 2))
