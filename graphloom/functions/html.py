@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,6 +123,9 @@ def without(root: Node, tests: list[Callable[[Node], bool]]) -> Node:
     return root
 
 
+GONE = [selector(s) for s in REMOVED]
+
+
 def bordered(root: Node) -> set[str]:
     """Selectors of this page's style rules with a border; ``.alt-block`` where there is none."""
     out = set()
@@ -162,11 +166,26 @@ def node_text(n) -> str:
     return "\n".join(map(row_text, rows)) if rows else n.text()
 
 
+def once(whole: str, texts: set[str]) -> set[str]:
+    """Those of ``texts`` that stand in ``whole`` exactly once, by one pass over it."""
+    a = ahocorasick.Automaton()
+    for t in texts:
+        a.add_word(t, t)
+    a.make_automaton()
+    n: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for end, t in a.iter(whole):
+        if end - len(t) >= last.get(t, -1):  # occurrences of one text that overlap count once
+            n[t], last[t] = n.get(t, 0) + 1, end
+    return {t for t, k in n.items() if k == 1}
+
+
 def wrapped(content: Node) -> Node:
     """Bare texts of the content that stand in it once as paragraphs of their own (in place); texts that recur stay bare."""
-    whole = content.text()
+    bare = {c.strip() for c in content.children if isinstance(c, str) and c.strip()}
+    alone = once(content.text(), bare) if bare else bare
     for i, c in enumerate(content.children):
-        if isinstance(c, str) and c.strip() and whole.count(c.strip()) == 1:
+        if isinstance(c, str) and c.strip() in alone:
             p = Node("p", {})
             p.children = [c]
             content.children[i] = p
@@ -201,6 +220,18 @@ def blocks(content: Node, stop: set[str]) -> list[str]:
     return out
 
 
+def content_of(root: Node, content_id: str = "page-content") -> Node:
+    """The div of ``content_id``; where there is none, the body or all."""
+    return next((n for n in [root, *root.walk()] if n.tag == "div" and n.attrs.get("id") == content_id), None) or next((n for n in [root, *root.walk()] if n.tag == "body"), root)
+
+
+def links_of(content: Node, suffix: str, excluded: frozenset[str]) -> list[dict]:
+    """Links of nested anchors whose address ends in ``suffix``, the last first."""
+    direct = {id(c) for c in content.children}
+    links = [{"link": a.attrs["href"].removesuffix(suffix), "text": a.text()} for a in content.walk() if a.tag == "a" and id(a) not in direct and a.attrs.get("href", "").endswith(suffix) and a.attrs["href"] not in excluded]
+    return links[::-1]
+
+
 def page(html: str | None, content_id: str = "page-content", suffix: str = ".html", excluded: frozenset[str] = frozenset()) -> dict:
     """tags, links (last first, of nested anchors whose address ends in ``suffix``), blocks and text of a page.
 
@@ -209,12 +240,18 @@ def page(html: str | None, content_id: str = "page-content", suffix: str = ".htm
     root = parse(html)
     tags = sorted({a.text() for d in root.walk() if d.tag == "div" and "page-tags" in d.classes() for s in d.children if isinstance(s, Node) and s.tag == "span" for a in s.children if isinstance(a, Node) and a.tag == "a"})
     stop = bordered(root)
-    every = [root, *root.walk()]
-    content = next((n for n in every if n.tag == "div" and n.attrs.get("id") == content_id), None) or next((n for n in every if n.tag == "body"), root)
-    without(content, [selector(s) for s in REMOVED])
-    direct = {id(c) for c in content.children}
-    links = [{"link": a.attrs["href"].removesuffix(suffix), "text": a.text()} for a in content.walk() if a.tag == "a" and id(a) not in direct and a.attrs.get("href", "").endswith(suffix) and a.attrs["href"] not in excluded]
-    return {"tags": tags, "links": links[::-1], "blocks": blocks(wrapped(content), stop), "text": content.text().strip()}
+    content = without(content_of(root, content_id), GONE)
+    return {"tags": tags, "links": links_of(content, suffix, excluded), "blocks": blocks(wrapped(content), stop), "text": content.text().strip()}
+
+
+def linked(column: Column, content_id: str = "page-content", suffix: str = ".html", excluded: frozenset[str] = frozenset()) -> Column:
+    """The ``links`` of ``page`` alone: no blocks are cut for them."""
+
+    @F.pandas_udf("array<struct<link:string,text:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([links_of(without(content_of(parse(x), content_id), GONE), suffix, excluded) for x in s])
+
+    return run(column)
 
 
 def parsed(column: Column, content_id: str = "page-content", suffix: str = ".html", excluded: frozenset[str] = frozenset()) -> Column:

@@ -82,7 +82,7 @@ def type_by_name(c: Column, kinds: dict[str, str]) -> Column:
 
 
 def simplified(c: Column, traditional: str, simple: str) -> Column:
-    """Characters of one script variant as those of another, by a table that the caller gives."""
+    """Characters of one script variant as those of another, by a table that the caller gives; for phrases see ``functions.phrases``."""
     return F.translate(c, traditional, simple)
 
 
@@ -103,9 +103,14 @@ def split_selectors(c: Column) -> Column:
     return F.filter(F.split(F.replace(c, F.lit(","), F.lit("")), r"(?<![~+>]) (?![~+>])"), lambda s: s != "")
 
 
-def text_pieces(c: Column, ends: str = "。！？", closers: str = "”’」』") -> Column:
-    """Pieces cut after a terminator and up to two closing quotes; the signs stay."""
-    marked = F.regexp_replace(c, f"([{ends}][{closers}]{{0,2}})", "$1\u0001")
+def text_pieces(c: Column, ends: str = "﹒﹔﹖﹗．。！？", closers: str = "\"’”」』", openers: str = "\"‘“「『", flat: bool = False) -> Column:
+    """Pieces cut after a terminator and up to two closing quotes, which stay; what begins with an opening quote or a terminator goes on with the piece before.
+
+    With ``flat`` runs of three line ends or more are one, then every white space is a space.
+    """
+    if flat:
+        c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n"), r"(?U)\s", " ")
+    marked = F.regexp_replace(c, f"([{ends}][{closers}]{{0,2}}+)(?![{openers}{ends}])", "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
 
 

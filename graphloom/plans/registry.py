@@ -162,12 +162,12 @@ def sentence_split(t):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"')) AS links FROM pages")
 def page_link_counts(t):
-    return t("pages").select("page_id", F.size(H.parsed(c("html"), suffix="")["links"]).cast("long").alias("links"))
+    return t("pages").select("page_id", F.size(H.linked(c("html"), suffix="")).cast("long").alias("links"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS link FROM pages")
 def page_links(t):
-    return t("pages").select("page_id", F.explode(H.parsed(c("html"), suffix="")["links"]).alias("l")).select("page_id", c("l.link").alias("link"))
+    return t("pages").select("page_id", F.explode(H.linked(c("html"), suffix="")).alias("l")).select("page_id", c("l.link").alias("link"))
 
 
 @query("""

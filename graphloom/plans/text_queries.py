@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import segment
+from graphloom.functions import phrases, segment
+from graphloom.functions.text import text_pieces
 from graphloom.functions import terms as A
 from graphloom.functions.sentences import split_sentences
 from graphloom.operators import embeddings as Y
+from graphloom.operators import extractors as X
 from graphloom.operators import evaluation as M
 from graphloom.operators import formats as L
 from graphloom.operators import instructions as I
@@ -308,3 +310,47 @@ def letter_counts():
 @query("SELECT doc_id, sha256(text) AS text_hash, list_transform(['', 'a', 'e', 'i', 'o', 'u', ' '], lambda c: CASE WHEN c = '' THEN length(text) ELSE length(text) - length(replace(text, c, '')) END::DOUBLE) || [0.5::DOUBLE] AS embedding FROM documents")
 def embedded_documents(t):
     return Y.embedded(t("documents"), "doc_id", "text", letter_counts, 8)
+
+
+@query("""
+SELECT p_partkey, 'keep ' || p_name || ' under ' || p_type || ' lock' AS containment, CASE p_size % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'class' ELSE 'line' END AS rule,
+  CASE p_size % 3 WHEN 2 THEN '描述 short' ELSE 'it is a thing of brand ' || p_brand END AS description FROM part
+""")
+def object_extractors(t):
+    """Parts as object pages of three layouts: keyword blocks, classed blocks, and lines that only the last rule reads."""
+    held, told = F.concat(F.lit("keep "), "p_name", F.lit(" under "), "p_type", F.lit(" lock")), F.concat(F.lit("it is a thing of brand "), "p_brand")
+    blocks = F.concat(F.lit("<p><strong>特殊收容措施：</strong>"), held, F.lit("</p><p><strong>描述：</strong>"), told, F.lit("</p>"))
+    classed = F.concat(F.lit('<section><div class="blbf-special-containment-procedures x">'), held, F.lit('</div><div class="blbf-description">'), told, F.lit("</div></section>"))
+    lines = F.concat(F.lit("<p>编号 1<br>特殊收容措施 "), held, F.lit("<br>描述 short</p>"))
+    own = F.when(F.expr("p_size % 3 = 0"), blocks).when(F.expr("p_size % 3 = 1"), classed).otherwise(lines)
+    html = F.concat(F.lit('<div id="page-content">'), own, F.lit("</div>"))
+    x = t("part").select("p_partkey", X.object_texts(F.array(html)).alias("x")).select("p_partkey", "x.*")
+    return x.select("p_partkey", F.regexp_replace("containment", "^特殊收容措施 ", "").alias("containment"), F.col("containment_rule").alias("rule"), "description")
+
+
+@query("""
+SELECT s_name AS name, 'canon-' || s_suppkey AS address, 'of nation ' || s_nationkey AS description, 'x' AS language,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'tag ' || s_suppkey WHEN s_suppkey = 1 THEN 'by hand' END AS tag FROM supplier
+""")
+def canon_pages(t):
+    """A canon page of each nation: its suppliers as blocks; tags of every third address, and one set by hand."""
+    s = t("supplier")
+    block = F.concat(F.lit('<div><h1><a href="canon-'), "s_suppkey", F.lit('.html">'), "s_name", F.lit("</a></h1><p>of nation "), "s_nationkey", F.lit("</p><p>more</p></div>"))
+    pages = s.groupBy("s_nationkey").agg(F.concat(F.lit('<div class="canon-wrapper">'), F.array_join(F.collect_list(block), ""), F.lit("</div>")).alias("html"))
+    kinds = F.when(F.expr("s_suppkey % 3 = 0"), F.array(F.lit("设定"), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    tags = s.select(F.concat(F.lit("tag "), "s_suppkey").alias("tag"), kinds.alias("type"), F.concat(F.lit("canon-"), "s_suppkey").alias("address"), F.col("s_suppkey").alias("pos"))
+    return X.canons(pages, "html", "x", tags, "设定", overrides={"canon-1": "by hand", "canon-3": "unused"})
+
+
+@query("SELECT p_partkey, replace(replace(replace(replace(p_name, 'red widget', 'X'), 'red', 'R'), 'widget', 'W'), 'a', '4') AS name FROM part")
+def longest_phrases(t):
+    return t("part").select("p_partkey", phrases.converted(F.col("p_name"), {"red": "R", "red widget": "X", "widget": "W", "a": "4", "red widgets": "no"}).alias("name"))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, text, regexp_replace(replace(text, '.', '。'), '([。！？]["’”]{0,2})([^"。！？‘“’”])', '\1' || chr(1) || '\2', 'g') AS m FROM conversations)
+SELECT conv_id, turn, list_filter(string_split(m, chr(1)), lambda x: x <> '') AS pieces FROM c
+""")
+def quoted_pieces(t):
+    """Turns cut after full stops, but not before an opening quote."""
+    return t("conversations").select("conv_id", "turn", text_pieces(F.replace(F.col("text"), F.lit("."), F.lit("。"))).alias("pieces"))
