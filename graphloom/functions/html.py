@@ -254,6 +254,21 @@ def linked(column: Column, content_id: str = "page-content", suffix: str = ".htm
     return run(column)
 
 
+def selected(column: Column, css: str) -> Column:
+    """An array of structs (text, href) of the elements that a simple selector names, in order: the stripped text, and the address of the first link at or below it (null without one)."""
+    test = selector(css)
+
+    def told(n: Node) -> dict:
+        href = next((a.attrs["href"] for a in [n, *n.walk()] if a.tag == "a" and "href" in a.attrs), None)
+        return {"text": n.text().strip(), "href": href}
+
+    @F.pandas_udf("array<struct<text:string,href:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[told(n) for n in parse(x).walk() if test(n)] for x in s])
+
+    return run(column)
+
+
 def parsed(column: Column, content_id: str = "page-content", suffix: str = ".html", excluded: frozenset[str] = frozenset()) -> Column:
     """``page`` as a struct column."""
 

@@ -63,6 +63,15 @@ def bracketed(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
+def braced(entries: Column) -> Column:
+    """Entries (key, value, an array) as ``{key: [a, b], key: []}``."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), bracketed(e["value"]))), ", "), F.lit("}"))
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.round(a / F.nullif(b, F.lit(0)), 2))
+
+
 def safe_percent(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(F.round(a / F.nullif(b, F.lit(0)) * 100, 2))
 

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import html as H
 from graphloom.functions import phrases, segment
-from graphloom.functions.text import text_pieces
+from graphloom.functions.text import braced, bracketed, safe_percent, safe_ratio, text_pieces
 from graphloom.functions import terms as A
 from graphloom.functions.sentences import split_sentences
+from graphloom.operators import conversion as C
 from graphloom.operators import embeddings as Y
 from graphloom.operators import extractors as X
 from graphloom.operators import evaluation as M
@@ -354,3 +356,72 @@ SELECT conv_id, turn, list_filter(string_split(m, chr(1)), lambda x: x <> '') AS
 def quoted_pieces(t):
     """Turns cut after full stops, but not before an opening quote."""
     return t("conversations").select("conv_id", "turn", text_pieces(F.replace(F.col("text"), F.lit("."), F.lit("。"))).alias("pieces"))
+
+
+
+def task_sql(task: str, schema: str, text: str, output: str, table: str) -> str:
+    told = C.INSTRUCTIONS[task, "en"].replace("'", "''")
+    return f"""SELECT '{task}' AS task, 'x' AS source, '{{"instruction":"{told}","schema":' || {schema} || ',"input":"' || {text} || '"}}' AS instruction, {output} AS output FROM {table}"""
+
+
+CONVERT_SQL = " UNION ALL ".join([
+    task_sql("RE", """'["sells","buys"]'""", "s_name", """'{"sells":[{"subject":"' || s_name || '","object":"' || s_suppkey || '"}],"buys":[]}'""", "supplier"),
+    task_sql("SPO", """'[{"subject_type":"firm","predicate":"sells","object_type":"key"},{"subject_type":"firm","predicate":"sells","object_type":"thing"}]'""", "s_name", """'{"sells":[{"subject":"' || s_name || '","object":"' || s_suppkey || '"}],"sells":[]}'""", "supplier"),
+    task_sql("EE", """'[{"event_type":"view","trigger":true,"arguments":["k","none"]}]'""", "'saw ' || k", """'{"view":[{"trigger":"saw","arguments":{"k":"' || k || '","none":"NAN"}}]}'""", "(SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type = 'view')"),
+    task_sql("EET", """'["view"]'""", "'saw ' || k", """'{"view":["saw"]}'""", "(SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type = 'view')"),
+    task_sql("EEA", """'[{"event_type":"view","trigger":["saw"],"arguments":["k","none"]}]'""", "'saw ' || k", """'{"view":[{"trigger":"saw","arguments":{"k":"' || k || '","none":"NAN"}}]}'""", "(SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type = 'view')"),
+    task_sql("KG", """'[{"entity_type":"part","attributes":["brand","size"]}]'""", "p_name || ' ' || p_brand || ' /' || p_size || '/'", """'{"part":{"' || p_name || '":{"brand":"' || p_brand || '","size":"/' || p_size || '/"}}}'""", "part"),
+])
+
+
+@query(CONVERT_SQL)
+def convert_tasks(t):
+    """Train rows of relations, typed triples, events in three forms, and attributes, end to end."""
+    sells = F.struct(F.col("s_name").alias("head"), F.lit("firm").alias("head_type"), F.lit("sells").alias("relation"), F.col("s_suppkey").cast("string").alias("tail"), F.lit("key").alias("tail_type"))
+    su = t("supplier").select(F.col("s_name").alias("text"), F.array(sells).alias("relation"))
+    k = F.get_json_object("props", "$.k")
+    seen = F.struct(F.lit("saw").alias("event_trigger"), F.col("event_type"), F.array(F.struct(k.alias("argument"), F.lit("k").alias("role"))).alias("arguments"))
+    ev = t("events").where("event_type = 'view'").select(F.concat(F.lit("saw "), k).alias("text"), F.array(seen).alias("event"))
+    has = lambda r, v: F.struct(F.col("p_name").alias("head"), F.lit(r).alias("relation"), v.alias("tail"))
+    size = F.concat(F.lit("/"), F.col("p_size").cast("string"), F.lit("/"))
+    pa = t("part").select(F.concat_ws(" ", "p_name", "p_brand", size).alias("text"), F.array(has("size", size), has("brand", F.col("p_brand")), has("else", F.lit("x"))).alias("relation"))
+    roles = (("view", ("k", "none")),)
+    made = [
+        (su, "RE", C.Schema(roles=("buys", "sells")), 4),
+        (su, "SPO", C.Schema(types=("firm_sells_thing", "firm_sells_key")), -1),
+        (ev, "EE", C.Schema(("view",), ("k", "none"), roles), 4),
+        (ev, "EET", C.Schema(("view",)), 4),
+        (ev, "EEA", C.Schema(("view",), ("k", "none"), roles), 4),
+        (pa, "KG", C.Schema(type_roles=(("part", ("brand", "size")),)), 1),
+    ]
+    return reduce(DataFrame.unionByName, [C.converted(d, task, s, "x", n, "train", language="en", shuffled=False) for d, task, s, n in made])
+
+
+@query("""
+WITH s AS (SELECT list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer),
+c AS (SELECT c_name, unnest([0, 1]) AS split FROM customer)
+SELECT sha256(c_name) AS id, CAST(split AS INTEGER) AS split, 'Find ["' || array_to_string(CASE split WHEN 0 THEN s[1:3] ELSE s[4:5] END, '","') || '"].' AS instruction, c_name AS input FROM c, s
+""")
+def legacy_test_rows(t):
+    cu = t("customer")
+    types = [r[0] for r in cu.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a few segments
+    return I.test_rows(cu, "c_name", F.array(*[F.lit(x) for x in types]), 3, "Find {schema}.")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE round(p_size::DOUBLE / (p_partkey % 7), 2) END::DOUBLE AS ratio, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE round(p_size::DOUBLE / (p_partkey % 7) * 100, 2) END::DOUBLE AS percent,
+  '[' || replace(p_name, ' ', ', ') || ']' AS list, '{' || p_brand || ': [' || replace(p_name, ' ', ', ') || '], ' || p_type || ': []}' AS dictionary FROM part
+""")
+def written_values(t):
+    """Safe ratios and percents, and lists and dictionaries as plain text."""
+    words = F.split("p_name", " ")
+    both = F.array(F.struct(F.col("p_brand").alias("key"), words.alias("value")), F.struct(F.col("p_type").alias("key"), F.slice(words, 1, 0).alias("value")))
+    a, b = F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")
+    return t("part").select("p_partkey", safe_ratio(a, b).alias("ratio"), safe_percent(a, b).alias("percent"), bracketed(words).alias("list"), braced(both).alias("dictionary"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS n, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS title, regexp_extract(html, '<nav>.*?href=\"([^\"]*)\"', 1) AS first_link FROM pages")
+def selected_elements(t):
+    """The number of first headings of a page, the first one's text, and the first address in its navigation."""
+    p = t("pages").select("page_id", H.selected(F.col("html"), "h1").alias("h"), H.selected(F.col("html"), "nav").alias("n"))
+    return p.select("page_id", F.size("h").cast("long").alias("n"), F.get("h", F.lit(0))["text"].alias("title"), F.get("n", F.lit(0))["href"].alias("first_link"))

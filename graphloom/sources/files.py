@@ -78,6 +78,25 @@ def read_graph(spark: SparkSession, path: str, labels: list[str]) -> tuple[dict[
     return {l: spark.read.parquet(f"{path}/nodes_{l}") for l in labels}, spark.read.parquet(f"{path}/edges")
 
 
+def delete_graph(spark: SparkSession, path: str) -> None:
+    """Removes a stored graph, nodes and edges; one that isn't there is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Readers by the ending of a data set's files.
+FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "txt": "text"}
+
+
+def dataset(spark: SparkSession, path: str, schema: str | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+    """A data set's rows, by the ending of ``path`` (or, of a folder, ``parquet``), columns of ``renames`` under their new names. A renamed column takes the place of one that bears its new name."""
+    kind = FORMATS.get(path.rsplit(".", 1)[-1].lower(), "parquet")
+    r = spark.read if schema is None else spark.read.schema(schema)
+    df = (r.option("header", True) if kind == "csv" else r).format(kind).load(path)
+    taken = {new for old, new in (renames or {}).items() if old in df.columns and new != old}
+    return df.select(*[F.col(f"`{c}`").alias((renames or {}).get(c, c)) for c in df.columns if c not in taken])
+
+
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at ``path``, built and written first where there is none or an empty one (in any file system of Spark's)."""
     if not exists(spark, path + "/_SUCCESS") or spark.read.parquet(path).isEmpty():
