@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import missing_names, saved, small_batches, table
+from graphloom.llm.common import batches_of, missing_names, saved, small_batches, table
 
 RADIUS = 2
 SHINGLE = 3
@@ -208,8 +208,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFra
     spark = nodes.sparkSession
     part = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[(F.lit(t) * F.lit(1 << 32) + part(i) * F.lit(1 << 16) + part(j)) for t, (i, j) in enumerate(quarters())])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    first = saved(linked(nodes.select(F.explode(keys).alias("bucket"), "fp"), radius, large), "simhash_links")
+    with batches_of(spark, 20_000):
+        first = saved(linked(nodes.select(F.explode(keys).alias("bucket"), "fp"), radius, large), "simhash_links")
     found = first.where("v is not null").select("u", "v")
     again = first.where("v is null").select(F.col("u").alias("fp"), "bucket")
     if again.isEmpty():
@@ -221,7 +221,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFra
         other = F.when(F.shiftright("bucket", 32) == t, part(a) * F.lit(1 << 16) + part(b)).otherwise(other)
     thirds = F.array(*[F.xxhash64(F.lit(s), F.col("bucket"), F.shiftright(other, s).bitwiseAND(F.lit((1 << n) - 1))) for s, n in ((0, 11), (11, 11), (22, 10))])
     second = linked(again.select(F.explode(thirds).alias("bucket"), "fp"), radius, None)
-    return found.unionByName(saved(second.select("u", "v"), "simhash_links"))
+    with batches_of(spark, 20_000):
+        return found.unionByName(saved(second.select("u", "v"), "simhash_links"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
