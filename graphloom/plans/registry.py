@@ -440,12 +440,12 @@ def property_collect(t):
     return G.property_values(t("part"), "p_brand").groupBy(c("p_brand").alias("value")).agg(n_rows().alias("n"))
 
 
-@query("SELECT c_custkey AS src, 'IN' AS rel, s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey OR c_nationkey = (s_nationkey + 1) % 25")
+@query("SELECT DISTINCT l_partkey AS src, 'IN' AS rel, l_suppkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'")
 def edges_of_many_heads(t):
-    """Many heads to a tail: each supplier names two nations, whose customers are the heads."""
-    s = t("supplier").withColumn("nations", F.array(c("s_nationkey"), (c("s_nationkey") + 1) % 25))
-    e = G.edges_to(t("customer").select("c_nationkey").distinct(), "c_nationkey", s, "s_suppkey", c("nations"), "IN")
-    return e.join(t("customer"), c("src") == c("c_nationkey")).select(c("c_custkey").alias("src"), "rel", "dst")
+    """Many heads to a tail: each supplier lists the parts that came back, which are its heads."""
+    lists = t("lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("heads"))
+    s = t("supplier").join(lists, c("s_suppkey") == c("l_suppkey"))
+    return G.edges_to(t("part"), "p_partkey", s, "s_suppkey", c("heads"), "IN")
 
 
 @query("SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS text FROM events")

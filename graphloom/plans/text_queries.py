@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import html as H
 from graphloom.functions import phrases, segment
-from graphloom.functions.text import braced, bracketed, safe_percent, safe_ratio, text_pieces
+from graphloom.functions.text import braced, bracketed, lowered, normalize_answer, safe_percent, safe_ratio, split_quote, strip_quote, strip_tag, text_pieces, triple_of, triple_text
 from graphloom.functions import terms as A
 from graphloom.functions.sentences import split_sentences
 from graphloom.operators import conversion as C
@@ -425,3 +425,26 @@ def selected_elements(t):
     """The number of first headings of a page, the first one's text, and the first address in its navigation."""
     p = t("pages").select("page_id", H.selected(F.col("html"), "h1").alias("h"), H.selected(F.col("html"), "nav").alias("n"))
     return p.select("page_id", F.size("h").cast("long").alias("n"), F.get("h", F.lit(0))["text"].alias("title"), F.get("n", F.lit(0))["href"].alias("first_link"))
+
+
+@query("""
+SELECT p_partkey, p_name AS bare, [p_brand, p_type] AS quoted, p_name AS tag, string_split(p_name, ' ')[1] || ' ' || lower(p_type) AS answer,
+  p_brand || '_made_of_' || p_type AS triple, 'made_of' AS relation, lower(p_type) AS low FROM part WHERE string_split(p_name, ' ')[1] NOT IN ('a', 'an', 'the')
+""")
+def text_tools(t):
+    """Quotes and tag addresses taken off, answers made alike, triples written and read, on a part's texts."""
+    p = t("part").where(~F.split("p_name", " ")[0].isin("a", "an", "the"))
+    lit, first = F.lit, F.split("p_name", " ")[0]
+    triple = triple_text(F.col("p_brand"), lit("made_of"), F.col("p_type"))
+    return p.select(
+        "p_partkey", strip_quote(F.concat(lit('"'), "p_name", lit('"'))).alias("bare"), split_quote(F.concat(lit('x "'), "p_brand", lit('" y "'), "p_type", lit('"'))).alias("quoted"),
+        strip_tag(F.concat(lit("system_page-tags/tag/"), F.replace(F.col("p_name"), lit(" "), lit("%20")), lit(".html#x"))).alias("tag"), normalize_answer(F.concat(lit(" The "), first, lit(", an  "), "p_type", lit("!"))).alias("answer"),
+        triple.alias("triple"), triple_of(triple)["relation"].alias("relation"), lowered(F.concat(lit(" "), "p_type", lit(" "))).alias("low"),
+    )
+
+
+@query("SELECT p_partkey, p_name AS head, unnest(['brand', 'size', 'size']) AS relation, unnest([p_brand, CAST(p_size AS VARCHAR), p_type]) AS tail FROM part")
+def gold_tuples(t):
+    """The (head, relation, tail) tuples of attributes by relation, as gold records hold them."""
+    of = F.create_map(F.lit("brand"), F.array("p_brand"), F.lit("size"), F.array(F.col("p_size").cast("string"), "p_type"))
+    return t("part").select("p_partkey", F.explode(M.attribute_triples(F.create_map("p_name", of))).alias("x")).select("p_partkey", "x.*")
