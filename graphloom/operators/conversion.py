@@ -52,6 +52,12 @@ class Schema:
         pairs = sorted((k, tuple(v)) for k, v in (row["type_roles"] or {}).items())
         return cls(tuple(row["types"] or ()), tuple(row["roles"] or ()), tuple(pairs))
 
+    @classmethod
+    def of_topics(cls, rows) -> Schema:
+        """Of rows (topic, relations) as ``sources.files.topic_file`` gives them: topics are types, their relations roles."""
+        pairs = sorted((r["topic"], tuple(r["relations"])) for r in rows)
+        return cls(tuple(t for t, _ in pairs), tuple(sorted({x for _, r in pairs for x in r})), tuple(pairs))
+
 
 def texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

@@ -448,3 +448,23 @@ def gold_tuples(t):
     """The (head, relation, tail) tuples of attributes by relation, as gold records hold them."""
     of = F.create_map(F.lit("brand"), F.array("p_brand"), F.lit("size"), F.array(F.col("p_size").cast("string"), "p_type"))
     return t("part").select("p_partkey", F.explode(M.attribute_triples(F.create_map("p_name", of))).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""
+WITH e AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+t AS (SELECT event_type, count(*) FILTER (k % 10 <> 0 AND k % 3 <> 0) AS tp, count(*) AS gold, count(*) FILTER (k % 10 <> 0) AS pred, count(*) FILTER (k % 10 = 0) AS errors FROM e GROUP BY ROLLUP (event_type)),
+r AS (SELECT *, round(tp::DOUBLE / pred * 100, 2) AS "precision", round(tp::DOUBLE / gold * 100, 2) AS recall FROM t)
+SELECT *, CASE WHEN "precision" + recall = 0 THEN 0.0 ELSE round(2 * "precision" * recall / ("precision" + recall), 2) END::DOUBLE AS f1 FROM r
+""")
+def scores_with_errors(t):
+    """Outputs of a model by event type: every tenth can't be read, every third has another value; scores, and how many are unreadable."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    value = F.when(k % 3 == 0, F.lit("other")).otherwise(k.cast("string"))
+    output = F.when(k % 10 == 0, F.lit('{"k": [')).otherwise(F.concat(F.lit('{"k": ["'), value, F.lit('"]}')))
+    e = t("events").select("event_id", "event_type", k.cast("string").alias("gold"), M.typed_values(output).alias("read"))
+    pair = lambda v: F.concat_ws("|", "event_id", v)
+    gold = e.select("event_type", "event_id", pair(F.col("gold")).alias("item"))
+    told = e.select("event_type", "event_id", F.explode("read.items").alias("i")).select("event_type", "event_id", pair(F.col("i.value")).alias("item"))
+    counts = M.counts(gold, told, ["event_type", "event_id"], "item")
+    counts = M.with_errors(counts, e.select("event_type", "event_id", "read.ok"), ["event_type", "event_id"])
+    return M.totals(counts, ["event_type"])

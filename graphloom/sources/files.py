@@ -65,6 +65,23 @@ def vocabulary(spark: SparkSession, entries: dict[str, dict[str, str]]) -> DataF
     return spark.createDataFrame([(c, k, d) for c, v in entries.items() for k, d in v.items()], "category string, key string, display string")
 
 
+def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
+    """(category, key, display) of a JSON file {category: {key: display}}; empty without a file. Of a key that a category repeats the last holds."""
+    kind = "map<string,map<string,string>>"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "category string, key string, display string")
+    v = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("category", "v"))
+    return v.select("category", F.explode("v").alias("key", "display"))
+
+
+def topic_file(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, relations) of a JSON file {topic: [relation, ...]}, relations once each in their order; empty without a file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "topic string, relations array<string>")
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("topic", "r"))
+    return t.select("topic", F.array_distinct(F.coalesce("r", F.array().cast("array<string>"))).alias("relations"))
+
+
 def write_graph(nodes: dict[str, DataFrame], edges: DataFrame, path: str, keys: dict[str, str] | None = None) -> None:
     """A folder a label and one of the edges by relation, in place of what was there. Labels with a key in ``keys`` are dealt and sorted by it."""
     for label, df in nodes.items():

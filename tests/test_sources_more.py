@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from graphloom.functions import html as H, text as X
-from graphloom.operators import graph as G, instructions as I
+from graphloom.operators import conversion as C, graph as G, instructions as I
 from graphloom.sources import files as S
 
 
@@ -59,3 +59,17 @@ def test_small_text_functions(spark):
     d = spark.createDataFrame([("h_r_s_t",)], "t string")
     assert d.select(X.triple_text(*[X.triple_of(F.col("t"))[k] for k in ("head", "relation", "tail")])).first()[0] == "h_r_s_t"
     assert X.alternation(["a", "a.b", "c"]) == "a\\.b|a|c"
+
+
+def test_vocabularies(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"genre": {"a": "A", "b": "B"}, "none": {}}')
+    assert sorted(map(tuple, S.vocabulary_file(spark, str(tmp_path / "v.json")).collect())) == [("genre", "a", "A"), ("genre", "b", "B")]
+    (tmp_path / "t.json").write_text('{"person": ["spouse", "work", "spouse"], "city": ["age"], "x": null}')
+    t = S.topic_file(spark, str(tmp_path / "t.json"))
+    assert sorted((r.topic, r.relations) for r in t.collect()) == [("city", ["age"]), ("person", ["spouse", "work"]), ("x", [])]
+    s = C.Schema.of_topics(t.collect())
+    assert s == C.Schema(("city", "person", "x"), ("age", "spouse", "work"), (("city", ("age",)), ("person", ("spouse", "work")), ("x", ())))
+    d = spark.createDataFrame([("Ann", [("Ann", "spouse", "Bob")])], "text string, relation array<struct<head:string,relation:string,tail:string>>")
+    assert any('"spouse":"Bob"' in r.output for r in C.converted(d, "KG", s, "x", 1).collect())
+    for f in (S.vocabulary_file, S.topic_file):
+        assert f(spark, str(tmp_path / "no.json")).count() == 0
