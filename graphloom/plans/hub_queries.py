@@ -102,3 +102,13 @@ def incomplete_rows(t):
 def page_headings(t):
     i = items(t("pages"), "page_id", "html").where("tag = 'h1'").groupBy("page_id").agg(F.count(F.lit(1)).alias("headings"))
     return t("pages").select("page_id").join(i, "page_id", "left").select("page_id", F.coalesce("headings", F.lit(0)).alias("headings"))
+
+
+@query("""
+SELECT CAST(l_partkey AS VARCHAR) AS address, CASE WHEN l_partkey = 1 THEN 'by hand' ELSE min_by(l_returnflag || l_linenumber, l_orderkey * 10 + l_linenumber) END AS text FROM lineitem GROUP BY l_partkey
+UNION ALL SELECT 'nowhere', 'kept'
+""")
+def address_texts(t):
+    """The first text of each address, with two set by hand."""
+    l = t("lineitem").select("l_partkey", F.concat("l_returnflag", "l_linenumber").alias("said"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return E.address_texts(l, "l_partkey", "said", "at", {"1": "by hand", "nowhere": "kept"})
