@@ -41,12 +41,12 @@ def family(n):
 def test_a_family_of_a_template(spark, run):
     """Variants that share most tokens but aren't similar enough: their number doesn't square."""
     took = []
-    for n in (500, 2000, 8000):
+    for n in (1500, 6000):
         d = spark.createDataFrame(family(n), "doc_id long, text string")
         began = time.time()
         assert run(d).count() == n
         took.append(time.time() - began)
-    assert took[2] < 2 * took[1] + 5
+    assert took[1] < 2 * took[0] + 5
 
 
 def test_languages_beyond_two_hundred(spark):
