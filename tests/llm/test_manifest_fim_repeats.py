@@ -266,10 +266,11 @@ def test_repeats_across_steps(monkeypatch, spark):
 def test_a_very_long_text(spark):
     r = random.Random(7)
     one = "".join(r.choice("abcdefgh ") for _ in range(1_300_000))
-    rows = [(1, one), (2, one[600_000:1_250_000]), (3, "z" * 150 + one[1_048_400:1_048_700])]
+    rows = [(1, one), (2, one[600_000:1_250_000]), (3, "z" * 150 + one[1_048_400:1_048_700]), (4, "Y" * 99 + "X" + one[1_048_500:1_048_700])]
     got = kept(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [got[k][1] for k in (1, 2)] == [0, 650_000]
-    assert got[3][:3] == (450, 351, 2) and got[3][3] == b"z" * 99
+    assert got[3] == (450, 449, 1, b"z")  # the run of z repeats itself
+    assert got[4] == (300, 200, 1, b"Y" * 99 + b"X")
 
 
 def test_repeats_empty(spark, empty):
