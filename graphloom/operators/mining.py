@@ -24,18 +24,66 @@ def merged(samples: DataFrame) -> DataFrame:
     return samples.groupBy("text").agg(F.array_sort(F.flatten(F.collect_list("entity"))).alias("entity"), F.count(F.lit(1)).alias("entity_type_count"))
 
 
+#: Texts are told by 128 bits and their first characters, so that none is dealt whole; so many entities that occur most often are held by every task.
+HEAD, OFTEN = 128, 4096
+ORDER = ["entity_type_count", "frequency", "entities", "kind", "longest"]
+
+
+def told(text: Column) -> list[Column]:
+    return [F.unhex(F.md5(text)).alias("id"), F.left(text, F.lit(HEAD)).alias("head")]
+
+
+def facts_of(found: DataFrame) -> DataFrame:
+    """(id, head, ORDER) of distinct texts (id, head, found: the entities of each kind), dealt by id, that have any.
+
+    The rarity of a text that has one of the OFTEN entities is the greatest number of those; only texts without one meet the other entities by key.
+    """
+    every = F.flatten("found")
+    some = F.transform("found", lambda x: F.size(x) > 0)
+    d = found.select(
+        "id", "head", F.size(F.filter(some, lambda x: x)).alias("entity_type_count"), F.size(every).alias("entities"), F.array_position(some, F.lit(True)).alias("kind"),
+        F.array_max(F.transform(every, lambda x: F.length(x))).alias("longest"), F.explode(F.array_distinct(every)).alias("entity"),
+    )
+    own = ["id", "head", "entity_type_count", "entities", "kind", "longest"]
+    often = found.select(F.explode(every).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("often"))
+    most = often.orderBy(F.desc("often"), "entity").limit(OFTEN)
+    first = d.join(F.broadcast(most), "entity", "left").groupBy(*own).agg(F.max("often").alias("frequency"))
+    rest = first.where("frequency is null").select("id").hint("shuffle_hash")
+    other = d.join(rest, "id").join(often, "entity").groupBy(*own).agg(F.max("often").alias("frequency"))
+    return first.where("frequency is not null").unionByName(other).select("id", "head", *ORDER)
+
+
+def foremost(facts: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of ``facts`` by order and head, with all that tie with the last of them: few, as they share the head too."""
+    key = F.struct((-F.col("entity_type_count")).alias("a"), "frequency", (-F.col("entities")).alias("b"), "kind", "longest", "head")
+    k = facts.withColumn("key", key)
+    last = k.select("key").orderBy("key").limit(n).agg(F.max("key").alias("last"))
+    return k.join(F.broadcast(last), F.col("key") <= F.col("last")).select("id", *ORDER)
+
+
+def first_by(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy(F.desc("entity_type_count"), "frequency", F.desc("entities"), "kind", "longest", "text").limit(n)
+
+
 def ranked(samples: DataFrame, kinds: list[str], n: int) -> DataFrame:
     """The ``n`` samples (all, if fewer) that come first by: most kinds, rarest entity, most entities, first kind, shortest entity; then text.
 
-    The rarity of a sample is the largest number of times that one of its entities occurs in all samples.
+    The rarity of a sample is the largest number of times that one of its entities occurs in all samples. Each text has at most one sample of a kind.
     """
-    m = merged(samples)
-    e = m.select("text", F.explode("entity").alias("e")).select("text", "e.entity", "e.entity_type")
-    often = e.groupBy("entity").agg(F.count(F.lit(1)).alias("often"))
-    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("entity_type"))
-    facts = e.join(often, "entity").groupBy("text").agg(F.max("often").alias("frequency"), F.count(F.lit(1)).alias("entities"), F.min(place).alias("kind"), F.max(F.length("entity")).alias("longest"))
-    order = [F.desc("entity_type_count"), "frequency", F.desc("entities"), "kind", "longest", "text"]
-    return m.join(facts, "text").orderBy(*order).limit(n)
+    s = samples.select(*told(F.col("text")), "text", "entity")
+    of = [F.transform(F.filter("e", lambda x: x["entity_type"] == F.lit(k)), lambda x: x["entity"]) for k in kinds]  # noqa: B023
+    found = s.select("id", "head", "entity").groupBy("id", "head").agg(F.flatten(F.collect_list("entity")).alias("e")).select("id", "head", F.array(*of).alias("found"))
+    m = s.join(F.broadcast(foremost(facts_of(found), n)), "id")
+    return first_by(m.groupBy("text", *ORDER).agg(F.array_sort(F.flatten(F.collect_list("entity"))).alias("entity")), n)
+
+
+def ranked_matches(sentences: DataFrame, text: str, patterns: dict[str, str], n: int) -> DataFrame:
+    """``ranked`` of the ``matches`` of patterns by kind, in their order: (text, ORDER). Only entities and heads are dealt, no text is but the ``n`` and their ties."""
+    t = sentences.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    found = F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in patterns.values()])
+    d = t.select(*told(F.col("text")), found.alias("found")).repartition("id").distinct()
+    near = F.broadcast(foremost(facts_of(d), n))
+    return first_by(t.withColumn("id", told(F.col("text"))[0]).join(near, "id").select("text", *ORDER).distinct(), n)
 
 
 def few_shot(examples: DataFrame, by: str, entity: str, output: str, every: list[str]) -> DataFrame:

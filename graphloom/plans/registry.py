@@ -299,9 +299,7 @@ def regex_entities(t):
 
 @query(r"WITH s AS (SELECT text, 0 AS k, regexp_extract_all(text, '[A-Z][a-z]{6,}') AS e FROM (SELECT DISTINCT text FROM documents) UNION ALL SELECT text, 1, regexp_extract_all(text, '[A-Z][a-z]{2,3}') FROM (SELECT DISTINCT text FROM documents)), x AS (SELECT text, k, unnest(e) AS e FROM s WHERE len(e) > 0), o AS (SELECT e, count(*) AS often FROM x GROUP BY e) SELECT text, count(DISTINCT k) AS kinds, max(often) AS frequency, count(*) AS entities FROM x JOIN o USING (e) GROUP BY text ORDER BY kinds DESC, frequency, entities DESC, min(k), max(length(e)), text LIMIT 50")
 def rank_samples(t):
-    d = t("documents").where("text is not null")
-    s = N.matches(d, "text", r"[A-Z][a-z]{6,}", "long").unionByName(N.matches(d, "text", r"[A-Z][a-z]{2,3}", "short"))
-    return N.ranked(s, ["long", "short"], 50).select("text", c("entity_type_count").alias("kinds"), "frequency", "entities")
+    return N.ranked_matches(t("documents"), "text", {"long": r"[A-Z][a-z]{6,}", "short": r"[A-Z][a-z]{2,3}"}, 50).select("text", c("entity_type_count").alias("kinds"), "frequency", "entities")
 
 
 @query("WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_name || 's', ' ') AS w FROM part) SELECT p_partkey, array_to_string(list_filter(w, lambda m: len(list_filter(w, lambda y: y <> m AND contains(y, m))) = 0), ' ') AS kept FROM w")

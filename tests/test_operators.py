@@ -46,6 +46,31 @@ def test_mining(spark):
     assert mining.ranked(both.limit(0), ["site"], 5).count() == 0
 
 
+def test_ranked_matches(spark, monkeypatch):
+    """As a plain version ranks them, also beyond the entities that tasks hold and where texts share their heads; no text is dealt whole."""
+    import random
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(mining, "HEAD", 3)
+    monkeypatch.setattr(mining, "OFTEN", 2)
+    r, kinds = random.Random(3), {"x": "X[a-c]", "y": "Y[a-e]+"}
+    texts = [" ".join(r.choice(["Xa", "Xb", "Xc", "Ya", "Yab", "Yde", "n"]) for _ in range(r.randint(0, 4))) for _ in range(200)] + [None]
+    found = {t: [e for e in (re.findall(p, t) for p in kinds.values())] for t in texts if t}
+    found = {t: f for t, f in found.items() if any(f)}
+    often = Counter(e for f in found.values() for k in f for e in k)
+    fact = {t: (sum(map(bool, f)), max(often[e] for k in f for e in k), sum(map(len, f))) for t, f in found.items()}
+    want = sorted(found, key=lambda t: (-fact[t][0], fact[t][1], -fact[t][2], 1 if found[t][0] else 2, max(len(e) for k in found[t] for e in k), t))
+    d = spark.createDataFrame([(t,) for t in texts], "s string").repartition(3)
+    both = mining.matches(d, "s", kinds["x"], "x").unionByName(mining.matches(d, "s", kinds["y"], "y"))
+    for n in (7, 1000):
+        q = mining.ranked_matches(d, "s", kinds, n)
+        got = [(x.text, (x.entity_type_count, x.frequency, x.entities)) for x in q.collect()]
+        assert got == [(t, fact[t]) for t in want[:n]] and [x.text for x in mining.ranked(both, list(kinds), n).collect()] == want[:n]
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan and plan.count("RepartitionByExpression") == plan.count("RepartitionByExpression [id")
+
+
 def test_few_shot(spark):
     d = spark.createDataFrame([("i", "a", "x"), ("i", "a", "y"), ("j", "b", "z")], "input string, entity string, output string")
     out = {r.input: r.output for r in mining.few_shot(d, "input", "entity", "output", ["a", "b"]).collect()}
