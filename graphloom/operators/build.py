@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from graphloom.operators import graph as G
 
@@ -48,7 +49,7 @@ EDGE = ("src_label", "src", "rel", "dst_label", "dst", "n")
 
 @dataclass(frozen=True)
 class Holders:
-    """Nodes that hold objects: their key, the array of the objects' keys, and the column that tells which come first."""
+    """Nodes that hold objects: their key, the objects' keys (an array, or one a row, so that no node's objects are gathered), and the column that tells which come first."""
 
     nodes: DataFrame
     key: str
@@ -58,7 +59,9 @@ class Holders:
 
 def contained(objects: DataFrame, key: str, holders: Holders, rel: str, first: bool = False) -> DataFrame:
     """(src, rel, dst): objects that a holder's list names. With ``first`` an object belongs to the first holder that names it alone; ties go by the holder's key."""
-    h = holders.nodes.select(F.col(holders.key).cast("string").alias("dst"), F.col(holders.order or holders.key).alias("at"), F.explode(holders.objects).alias("o"))
+    o = F.col(holders.objects)
+    listed = isinstance(holders.nodes.schema[holders.objects].dataType, ArrayType)
+    h = holders.nodes.select(F.col(holders.key).cast("string").alias("dst"), F.col(holders.order or holders.key).alias("at"), (F.explode(o) if listed else o).alias("o"))
     if first:
         h = h.groupBy("o").agg(F.min(F.struct("at", "dst")).alias("f")).select("o", F.col("f.dst").alias("dst"))
     else:

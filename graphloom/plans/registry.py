@@ -388,8 +388,8 @@ def graph_whole_build(t):
 def parts_graph(t):
     p = t("part")
     brand = F.when(c("p_brand") < "Brand#2", "b1").otherwise(c("p_brand"))
-    held = t("lineitem").join(t("supplier"), c("l_suppkey") == c("s_suppkey")).select("l_partkey", "l_suppkey", "s_nationkey").distinct()
-    lists = lambda key: held.groupBy(key).agg(F.collect_set("l_partkey").alias("objects"))
+    held = t("lineitem").join(t("supplier"), c("l_suppkey") == c("s_suppkey"))
+    pairs = lambda key: held.select(key, c("l_partkey").alias("objects")).distinct()
     sources = {
         "Tag": p.select(F.explode(F.split("p_name", " ")).alias("tag")).distinct(),
         "GroupOfInterest": p.select(c("p_brand").alias("name"), brand.alias("tag")).distinct(),
@@ -398,7 +398,7 @@ def parts_graph(t):
         "Facility": t("nation"), "TaskForce": t("supplier"),
     }
     keys = {"GroupOfInterest": "name", "Series": "name", "SCP": "item", "Facility": "n_nationkey", "TaskForce": "s_suppkey"}
-    return B.built_graph(sources, keys, facilities=B.Holders(lists("s_nationkey"), "s_nationkey", "objects"), forces=B.Holders(lists("l_suppkey"), "l_suppkey", "objects"))
+    return B.built_graph(sources, keys, facilities=B.Holders(pairs("s_nationkey"), "s_nationkey", "objects"), forces=B.Holders(pairs("l_suppkey"), "l_suppkey", "objects"))
 
 
 STAR_EDGES_SQL = """

@@ -99,3 +99,17 @@ def test_two_hops_deal_no_stored_table_anew(spark, store):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_no_node_gathers_its_objects(spark):
+    """Holders of one object a row give the edges of those of arrays, and the query's plan gathers no list of a nation's parts."""
+    from graphloom.plans import registry
+
+    objects = spark.createDataFrame([(1,), (2,), (3,)], "item int")
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("b", 2), ("a", None), (None, 9)], "name string, items int")
+    lists = spark.createDataFrame([("a", [1, None]), ("b", [1, 2, 2]), (None, [9])], "name string, items array<int>")
+    for first in (False, True):
+        of = lambda h: sorted(tuple(r) for r in build.contained(objects, "item", build.Holders(h, "name", "items"), "IN", first).collect())  # noqa: B023, E731
+        assert of(rows) == of(lists) == [("1", "IN", "a"), *([] if first else [("1", "IN", "b")]), ("2", "IN", "b")]
+    plan = registry.QUERIES["graph_whole_build"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan
