@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import functions as F
+
+from graphloom.functions.slices import sliced
 
 ENDS = "。！？"
 # Opening and closing quotes by pair. The ASCII quote opens.
@@ -41,8 +42,4 @@ def sentences(paragraph: str | None, ends: str = ENDS) -> list[str]:
 
 
 def split_sentences(column, ends: str = ENDS):
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: sentences(x, ends))
-
-    return run(column)
+    return sliced(column, lambda s: pd.Series([sentences(x, ends) for x in s]), "array<string>")
