@@ -20,15 +20,31 @@ IGNORED = -100
 
 
 def longest_prefix(text: str, encode: Encode, budget: int) -> int:
-    """A number of characters, one at least, that fits the budget: up to the last space of the largest part found by bisection that leaves no less than half of it, else all of it."""
+    """A number of characters, one at least, that fits the budget: up to the last space of the largest part found by bisection that leaves no less than half of it, else all of it.
+
+    Parts as long as a beginning of more than twice the budget don't fit, and aren't encoded.
+    """
     low, high = 1, len(text)
+    beyond = len(beginning(text, encode, budget)[0])
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if len(encode([text[:mid]])[0]) <= budget else (low, mid - 1)
+        fits = (mid < beyond or beyond == len(text)) and len(encode([text[:mid]])[0]) <= budget
+        low, high = (mid, high) if fits else (low, mid - 1)
     space = text.rfind(" ", 0, low)
     return space + 1 if low < len(text) and space >= low // 2 else low
 
 
+def beginning(text: str, encode: Encode, budget: int) -> tuple[str, int]:
+    """A beginning of the text that has more than twice the budget of tokens, and their number; all of the text where it has no more. Work is bounded by the beginning's length."""
+    n = max(4 * budget, 64)
+    while n < len(text):
+        size = len(encode([text[:n]])[0])
+        if size > 2 * budget:
+            return text[:n], size
+        n *= 2
+    return text, len(encode([text])[0]) if text else 0
+
+
 def pieces(parts: list[str], sizes: list[int], encode: Encode, budget: int) -> list[tuple[str, int]]:
     """Sentences with their numbers of tokens; those beyond the budget are cut."""
     out = []
@@ -37,7 +53,7 @@ def pieces(parts: list[str], sizes: list[int], encode: Encode, budget: int) -> l
             k = longest_prefix(x, encode, budget)
             out.append((x[:k].rstrip() or x[:k], len(encode([x[:k].rstrip() or x[:k]])[0])))
             x = x[k:].lstrip()
-            n = len(encode([x])[0]) if x else 0
+            n = beginning(x, encode, budget)[1]
         if x:
             out.append((x, n))
     return out
@@ -56,16 +72,26 @@ def packed(parts: list[str], sizes: list[int], encode: Encode, budget: int, over
         while end < len(held) and size + held[end][1] <= budget:
             size += held[end][1]
             end += 1
-        while True:  # what the sentences have together is not what they have apart
-            text = separator.join(x for x, _ in held[start:end])
-            n = len(encode([text])[0])
-            if n <= budget or end - start == 1:
-                break
-            if start < new:
-                start += 1
+        spare, most = new - start, end - start - 1
+
+        def told(k: int) -> tuple[str, int]:
+            """The chunk without ``k`` sentences: those of the chunk before go first, then the last ones."""
+            text = separator.join(x for x, _ in held[start + min(k, spare) : end - max(k - spare, 0)])  # noqa: B023
+            return text, len(encode([text])[0])
+
+        # what the sentences have together is not what they have apart: the least number of them that must go, by steps that double and then halve
+        low, high, made = -1, 0, told(0)
+        while made[1] > budget and high < most:
+            low, high = high, min(2 * high + 1, most)
+            made = told(high)
+        while high - low > 1:
+            mid = (low + high) // 2
+            if (tried := told(mid))[1] <= budget or mid == most:
+                high, made = mid, tried
             else:
-                end -= 1
-        out.append((text, n))
+                low = mid
+        start, end = start + min(high, spare), end - max(high - spare, 0)
+        out.append(made)
         new = start = end
         kept = 0
         while overlap and start > 0 and (kept := kept + held[start - 1][1]) <= overlap:

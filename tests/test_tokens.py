@@ -111,3 +111,41 @@ def test_index_embeds_what_has_changed(spark, tmp_path):
 def test_vectors_of_another_length(spark):
     with pytest.raises(Exception, match="not vectors of 3"):
         Y.embedded(spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t", lambda: lambda xs: [[1.0, 2.0] for _ in xs], 3).collect()
+
+
+def test_work_grows_with_the_text():
+    """Long sentences are cut, and chunks of many short ones found, by work that grows no faster than the text, with the chunks of trying each size in turn."""
+
+    def plainly(parts, sizes, encode, budget, overlap):
+        held, out, start, new = [(p, n) for p, n in zip(parts, sizes)], [], 0, 0
+        while new < len(held):
+            end, size = new + 1, sum(n for _, n in held[start : new + 1])
+            while end < len(held) and size + held[end][1] <= budget:
+                size, end = size + held[end][1], end + 1
+            while len(encode([" ".join(x for x, _ in held[start:end])])[0]) > budget and end - start > 1:
+                start, end = (start + 1, end) if start < new else (start, end - 1)
+            out.append(" ".join(x for x, _ in held[start:end]))
+            new = start = end
+            kept = 0
+            while overlap and start > 0 and (kept := kept + held[start - 1][1]) <= overlap:
+                start -= 1
+        return out
+
+    for overlap in (0, 5, 9):
+        parts = [random.Random(i).choice(["a.", "bb.", "ccc.", "!"]) for i in range(300)]
+        own = [len(x) for x in ids()(parts)]
+        assert [x for x, _ in K.packed(parts, own, ids(), 20, overlap)] == plainly(parts, own, ids(), 20, overlap)
+
+    def work(text_parts, budget):
+        seen = [0]
+
+        def encode(xs):
+            seen[0] += sum(map(len, xs))
+            return ids()(xs)
+
+        out = K.packed(text_parts, [len(x) for x in text_parts], encode, budget)
+        return seen[0], out
+
+    (a, one), (b, two) = work(["xyz " * 2000], 50), work(["xyz " * 20000], 50)
+    assert b < 11 * a and all(n <= 50 for _, n in two) and "".join(x for x, _ in two).replace(" ", "") == "xyz" * 20000
+    assert work(["!"] * 4000, 1000)[0] < 30 * 8000
