@@ -29,6 +29,44 @@ def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1) if len(points) else np.empty((len(x), 0))
 
 
+#: Points that meet the rows at once.
+POINTS = 512
+
+
+def k_nearest(x: np.ndarray, points: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, row, distance): the ``k`` rows of ``x`` nearest to each point, nearest first, ties by the row's place. Of a point with a bound ``most``, rows farther than it may be missing.
+
+    All distances are estimated by one product of matrices. Pairs that the estimate's rounding leaves in doubt are few; these alone are summed, component by component in order.
+    """
+    most = np.full(len(points), np.inf) if most is None else most
+    eps, columns, out = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps, np.ascontiguousarray(x.T), []
+    with np.errstate(all="ignore"):  # what is not finite is never ruled out
+        xx = (x * x).sum(axis=1)
+        for i in range(0, len(points) if len(x) else 0, POINTS):
+            p = points[i : i + POINTS]
+            size = (p * p).sum(axis=1)[:, None] + xx
+            about = size - 2 * (p @ columns)
+            size = size * eps + 1e-300
+            upto = most[i : i + POINTS] ** 2
+            if len(x) > k and not np.isfinite(upto).all():
+                high = np.partition(about + size, k - 1, axis=1)[:, k - 1]
+                upto = np.fmin(upto, np.where(np.isnan(high), np.inf, high))
+            a, b = np.nonzero(~(about - size > upto[:, None]))
+            d = np.zeros(len(a))
+            for c, y in zip(columns, p.T):
+                e = c[b] - y[a]
+                d += e * e
+            d = np.sqrt(d)
+            order = np.lexsort((b, d, a))
+            n = np.bincount(a, minlength=len(p))
+            keep = order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) < k]
+            keep = keep[~(d[keep] > most[i : i + POINTS][a[keep]])]
+            out.append((a[keep] + i, b[keep], d[keep]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
 def spread(sample: np.ndarray, n: int) -> np.ndarray:
     """``n`` of the sample's points (fewer if they are equal), each the farthest from those before."""
     chosen, far = [0], distances(sample, sample[:1])[:, 0]
@@ -165,13 +203,8 @@ class PivotJoin:
             if own.empty or asked.empty:
                 return pd.DataFrame({"query_id": asked["query_id"][:0], "id": own["id"][:0], "distance": np.empty(0)})
             own = own.sort_values("id", kind="stable")
-            x, ids, out = np.stack(own["v"].to_numpy()), own["id"].to_numpy(), []
-            for name, v in zip(asked["query_id"], asked["q"]):
-                d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                best = np.argsort(d, kind="stable")[:k]
-                out.append((np.full(len(best), name), ids[best], d[best]))
-            a, b, c = (np.concatenate(z) for z in zip(*out))
-            return pd.DataFrame({"query_id": a, "id": b, "distance": c})
+            a, b, d = k_nearest(np.stack(own["v"].to_numpy()), np.stack(asked["q"].to_numpy()), k)
+            return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[a], "id": own["id"].to_numpy()[b], "distance": d})
 
         return rows.groupBy(*on).cogroup(q.groupBy(*on)).applyInPandas(met, f"query_id {kind}, id {kind}, distance double")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import runs
-from graphloom.operators.knn import knn_join
+from graphloom.operators.knn import k_nearest, knn_join
+
+#: Rows that meet the queries of a block at once.
+ROWS = 2048
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -21,18 +27,55 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, key: str = "vec_id
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", vector: str = "embedding", most_queries: int = 4096) -> DataFrame:
-    """The k nearest rows of each query: (query_id, key, distance, rank). Up to ``most_queries`` are held by each task and meet every row; more are joined by pivots, so that rows and queries aren't all paired."""
-    if queries.count() > most_queries:
-        return knn_join(vectors, queries, k, key, vector)
-    return near_block(vectors, queries, k, key, vector)
+    """The k nearest rows of each query: (query_id, key, distance, rank), ties by the smaller key. Up to ``most_queries`` are held by each task and meet every row; more are joined by pivots, so that rows and queries aren't all paired.
+
+    Null vectors are at no distance from any, which ranks behind all others; those that hold nulls or are of another length than most take no part.
+    """
+    near = knn_join if queries.count() > most_queries else near_block
+    met = near(vectors.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull()), k, key, vector).select("query_id", key, "distance")
+    met = met.unionByName(unmeasured(vectors, queries, k, key, vector))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), F.asc_nulls_last(key)))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def unmeasured(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """(query_id, key, distance): the pairs of a null vector that may rank: queries with the k least keys of null vectors, null queries with the k least of all."""
+    least = lambda rows: F.broadcast(rows.select(key).orderBy(F.asc_nulls_last(key)).limit(k))
+    q, null = F.col(key).alias("query_id"), F.col(vector).isNull()
+    some = queries.where(~null).select(q).join(least(vectors.where(null)), F.lit(True))
+    return some.unionByName(queries.where(null).select(q).join(least(vectors), F.lit(True))).withColumn("distance", F.lit(None).cast("double"))
 
 
 def near_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """The k nearest rows of each of a bounded set of queries, which every task holds; Spark cuts each task's rows to its k nearest before it deals them (WindowGroupLimit)."""
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")))
-    d = vectors.join(q, F.lit(True)).select("query_id", F.col(key), l2(F.col(vector), F.col("q")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, key, distance) with the k nearest rows of each of a bounded set of queries, which every task holds; a task gives few more than its k nearest."""
+    v = F.col(vector).cast("array<double>")
+    sound = lambda df: df.select(F.col(key), v.alias("v")).where((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+    held = sound(queries).toArrow()
+    sizes = pc.list_value_length(held["v"]).to_pylist()
+    size = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 0
+    held = held.filter(pc.equal(pc.list_value_length(held["v"]), size)).combine_chunks()
+    names, points = pa.array(held[key].to_pylist(), held.schema.field(key).type), matrix(held["v"].combine_chunks(), size)
+
+    def run(batches):
+        most = np.full(len(points), np.inf)
+        for b in batches:
+            b = b.take(pc.sort_indices(b.column(0)))  # ties go by the key
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                at, row, d = k_nearest(matrix(part.column(1), size), points, k, most)
+                n = np.bincount(at, minlength=len(points))
+                full = n == k
+                most[full] = np.fmin(most[full], d[(np.cumsum(n) - 1)[full]])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), part.column(0).take(pa.array(row)), pa.array(d)], names=["query_id", key, "distance"])
+
+    kind = lambda df: df.schema[key].dataType.simpleString()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files of one row group would be one task
+    return sound(vectors).where(F.size("v") == size).repartition(tasks, key).mapInArrow(run, f"query_id {kind(queries)}, `{key}` {kind(vectors)}, distance double")
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """The vectors of a column, each of ``size`` components."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), size) if len(column) else np.empty((0, size))
 
 
 def stuffed_prompt(contexts: DataFrame, by: str, rank: str, text: str, template: str) -> DataFrame:

@@ -63,3 +63,35 @@ def test_many_queries_are_joined_by_pivots(spark):
     out = vectors.top_k_batch(df, df, 2, most_queries=50)
     assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().toString()
     assert got(out) == brute(rows, rows, 2)
+
+
+def test_k_nearest_sums_few_pairs_exactly(monkeypatch):
+    """Estimates rule out all but few pairs; ties of copies go by place, and distances are sums in order."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1500, 24))
+    x[700:760] = x[10]  # copies, which tie
+    points = np.concatenate([x[::50], x[10:11] + 1e-9])
+    at, row, d = knn.k_nearest(x, points, 5)
+    for i, p in enumerate(points):
+        s = np.zeros(len(x))
+        for j in range(24):
+            s += (x[:, j] - p[j]) ** 2
+        best = np.lexsort((np.arange(len(x)), np.sqrt(s)))[:5]
+        assert row[at == i].tolist() == best.tolist() and d[at == i].tolist() == np.sqrt(s)[best].tolist()
+    odd = np.array([[np.inf, 0.0], [np.nan, 0.0], [1e200, 0.0], [3.0, 0.0]])
+    assert knn.k_nearest(odd, np.zeros((1, 2)), 4)[1].tolist() == [3, 0, 2, 1]
+    assert len(knn.k_nearest(odd[:0], np.zeros((1, 2)), 4)[0]) == 0
+
+
+def test_top_k_batch_takes_queries_to_all_rows_by_matrices(spark):
+    """No expression is interpreted for each pair; null vectors rank last, null queries have the least keys."""
+    rows = [(None, [0.5, 0.5]), (0, None), *rows_of(np.random.default_rng(4).normal(size=(40, 2)), 1), (41, [1.0]), (42, [1.0, None])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = vectors.top_k_batch(df, df.where("vec_id % 20 = 0"), 3)
+    assert "zip_with" not in out._jdf.queryExecution().toString()
+    sound = [x for x in rows[2:42]]
+    assert got(out.where("query_id <> 0 and vec_id is not null")) == [x for x in brute(sound, [s for s in sound if s[0] % 20 == 0], 3)]
+    assert [(r.vec_id, r.distance, r["rank"]) for r in out.where("query_id = 0").orderBy("rank").collect()] == [(0, None, 1), (1, None, 2), (2, None, 3)]
+    few = spark.createDataFrame([(0, [0.0]), (1, None), (2, [5.0])], SCHEMA)
+    for most in (4096, 0):
+        assert [(r.vec_id, r["rank"]) for r in vectors.top_k_batch(few, few.where("vec_id = 0"), 3, most_queries=most).orderBy("rank").collect()] == [(0, 1), (2, 2), (1, 3)]
