@@ -125,6 +125,16 @@ def line_families(seed=5):
     return ["\n".join(out[i : i + 3]) for i in range(0, len(out), 3)]
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Also of equal lines of one document the first stays, whatever the blanks between their words."""
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, f"a\n{line}\nb\n{line.replace(' ', '  ')}"), (2, f"{line} more\nc\n{line[4:]}\t"), (3, None)], "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, lambda *_, **__: 1 / 0)
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {1: (f"a\n{line}\nb", 1), 2: ("c", 2), 3: (None, 0)}
+
+
 def test_line_dedup_of_families(spark):
     rows = [(i, t) for i, t in enumerate(line_families())]
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
