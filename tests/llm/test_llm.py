@@ -151,6 +151,47 @@ def test_line_dedup_of_families(spark):
     assert out == want
 
 
+def brute_lines(rows):
+    seen, gone = [], Counter()
+    for i, t in rows:
+        for line in t.split("\n"):
+            w = line.split()
+            s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+            gone[i] += any(5 * len(s & x) >= 4 * len(s | x) for x in seen)
+            seen.append(s)
+    return {i: gone[i] for i, _ in rows}
+
+
+def test_line_dedup_makes_no_pairs_of_frequent_phrases(spark, monkeypatch):
+    """Lines that share a phrase alone, while the sample is too small to tell that it is frequent."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    lines = [" ".join([word() for _ in range(7)] + phrase) for phrase in [[word() for _ in range(5)] for _ in range(8)] for _ in range(150)]
+    lines += [f"{x} {word()}" for x in lines[::40]]
+    rows = list(enumerate(lines))
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    made, matches = [], line_dedup.matches
+
+    def counted(docs, nodes, pairs, shingle):
+        made.append(pairs.count())
+        return matches(docs, nodes, pairs, shingle)
+
+    monkeypatch.setattr(line_dedup, "matches", counted)
+    out = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute_lines(rows) and sum(out.values()) == 30
+    assert len(made) == 2 and made[1] < 100
+
+
+@pytest.mark.parametrize("most", [256, 30, 0])
+def test_line_dedup_by_two_tokens_and_by_one(spark, monkeypatch, most):
+    """Families whose nodes meet by two tokens, by one where lines are long, also lines of one token."""
+    rows = list(enumerate([*line_families(7), *(" ".join(["again"] * k) for k in range(5, 40)), *(" ".join(["once", "more"] * k) for k in range(3, 30))]))
+    monkeypatch.setattr(line_dedup, "LONG", most, raising=False)
+    monkeypatch.setattr(line_dedup, "GROUP", 3, raising=False)
+    out = {x.doc_id: x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute_lines(rows)
+
+
 def test_line_dedup_of_one_long_document(spark):
     """80,000 equal lines in one document: linear, so that this ends within seconds."""
     out = line_dedup.dedup_lines(spark.createDataFrame([(1, "a line that is said again and again\n" * 80_000), (2, "x")], "doc_id long, text string")).orderBy("doc_id").collect()
