@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import common, language, shingles
-from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.line_dedup import dedup_lines, member_filter
 from graphloom.llm.near_copies import kept_of_near
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +93,23 @@ def test_two_pipelines_and_what_they_leave(spark, tmp_path, monkeypatch):
     assert out.count() == 5 and len(held.paths) == 1
     held.close()
     assert not any("kept" in n for n in os.listdir(tmp_path / "shared"))
+
+
+def test_a_member_filter_takes_no_job_a_partition(spark):
+    """All members pass, few others do, and the driver runs as few jobs with many partitions as with few."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("member_filter", "")
+    try:
+        rows = spark.range(0, 30_000, 10).select(F.col("id").alias("did"), (F.col("id") % 7).alias("dh"))
+        test = member_filter(rows, "did", "dh")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("member_filter")
+        passed = {r.did for r in spark.range(30_000).select(F.col("id").alias("did"), (F.col("id") % 7).alias("dh")).where(test).collect()}
+        assert spark.range(9).select(F.col("id").alias("did"), F.col("id").alias("dh")).where(member_filter(rows.limit(0), "did", "dh")).count() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert set(range(0, 30_000, 10)) <= passed and len(passed) < 6_000
+    assert len(jobs) < 10
