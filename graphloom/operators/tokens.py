@@ -1,22 +1,58 @@
 """Token budgets: sentences packed to chunks, and turns to training rows with masked labels. The tokenizer is the caller's.
 
-``load`` is called once a task and gives a function from a list of texts to a list of lists of ids. A batch's texts are encoded together.
+``load`` is called once a task and gives a function from a list of texts to a list of lists of ids. Texts are encoded together as far as their characters are bounded.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from graphloom.functions.sentences import ENDS, sentences
+from graphloom.functions.slices import CHARACTERS, slices
 
 Encode = Callable[[list[str]], list[list[int]]]
 #: The label of a token that isn't trained on.
 IGNORED = -100
+#: A single space between other characters.
+SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def words(text: str) -> list[str]:
+    """The text cut before single spaces between other characters."""
+    if text.isprintable() and "  " not in text and text == text.strip(" "):  # no other white space
+        return text.replace(" ", "\0 ").split("\0")
+    return SPACE.sub("\0 ", text).split("\0") if "\0" not in text else [text]
+
+
+def by_words(encode: Encode, most: int = 200_000, longest: int = 48) -> Encode:
+    """``encode`` by ``words``, of which the ids of about ``most`` with at most ``longest`` characters are kept.
+
+    Only for tokenizers of which no token spans a place where words are cut, as those of byte-level vocabularies that take words with the space before.
+    """
+    kept: dict[str, tuple[int, ...]] = {}  # tuples of numbers are not searched for garbage
+
+    def run(texts: list[str]) -> list[list[int]]:
+        cut = [words(x) for x in texts]
+        new = list({w for ws in cut for w in ws if w not in kept})
+        kept.update(zip(new, map(tuple, encode(new))))
+        out = [list(chain.from_iterable(map(kept.__getitem__, ws))) for ws in cut]
+        if len(kept) > most:
+            kept.clear()
+        for w in new:
+            if len(w) > longest:
+                kept.pop(w, None)
+        return out
+
+    return run
 
 
 def longest_prefix(text: str, encode: Encode, budget: int) -> int:
@@ -59,6 +95,15 @@ def pieces(parts: list[str], sizes: list[int], encode: Encode, budget: int) -> l
     return out
 
 
+def measured(parts: list[str], encode: Encode, budget: int) -> list[int]:
+    """The sentences' numbers of tokens, encoded in groups of bounded characters; of one beyond those, the number that a ``beginning`` of it has."""
+    out: list[int] = []
+    for group in slices(pd.Series(parts, dtype=object), len):
+        told = iter(encode([x for x in group if len(x) <= CHARACTERS]))
+        out += [len(next(told)) if len(x) <= CHARACTERS else beginning(x, encode, budget)[1] for x in group]
+    return out
+
+
 def packed(parts: list[str], sizes: list[int], encode: Encode, budget: int, overlap: int = 0, separator: str = " ") -> list[tuple[str, int]]:
     """Chunks (text, tokens) of consecutive sentences; as many as fit the budget, told by the tokens of the whole chunk.
 
@@ -106,17 +151,20 @@ def token_chunks(docs: DataFrame, key: str, text: str, load: Callable[[], Encode
     """
     schema = StructType([docs.schema[key], StructField("pos", IntegerType()), StructField("chunk", StringType()), StructField("tokens", IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
         for b in batches:
-            cut = [sentences(x, ends) for x in b["t"]]
-            sizes = iter([len(x) for x in encode([s for c in cut for s in c])])
-            out = []
-            for k, c in zip(b["k"], cut):
-                out += [(k, i, *x) for i, x in enumerate(packed(c, [next(sizes) for _ in c], encode, budget, overlap))]
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+            keys, column = b.column(0), b.column(1)
+            # a batch's sentences, ids and chunks together would take many times its size
+            for part in slices(pd.Series(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), dtype=object), int):
+                start = part.index[0] if len(part) else 0
+                cut = [sentences(x, ends) for x in column.slice(start, len(part)).to_pylist()]
+                sizes = iter(measured([s for c in cut for s in c], encode, budget))
+                out = [(start + j, i, *x) for j, c in enumerate(cut) for i, x in enumerate(packed(c, [next(sizes) for _ in c], encode, budget, overlap))]
+                at, pos, chunk, tokens = zip(*out) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(chunk, column.type), pa.array(tokens, pa.int32())], [f.name for f in schema])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def budgets(source: int, target: int, cutoff: int, least_target: int) -> tuple[int, int]:

@@ -149,3 +149,48 @@ def test_work_grows_with_the_text():
     (a, one), (b, two) = work(["xyz " * 2000], 50), work(["xyz " * 20000], 50)
     assert b < 11 * a and all(n <= 50 for _, n in two) and "".join(x for x, _ in two).replace(" ", "") == "xyz" * 20000
     assert work(["!"] * 4000, 1000)[0] < 30 * 8000
+
+
+def test_texts_are_encoded_in_bounded_groups(spark, tmp_path):
+    """A batch of many texts, or a text of many sentences, isn't encoded at once, nor is a giant sentence as a whole."""
+    seen = str(tmp_path / "seen")
+
+    def load():
+        def encode(xs):
+            with open(seen, "a") as f:
+                f.write(f"{sum(map(len, xs))}\n")
+            return [[1] * len(x) for x in xs]
+
+        return encode
+
+    docs = [(i, "abcd. " * 1000) for i in range(600)] + [(None, "abcd. " * 400_000), (1 << 60, "xyz " * 900_000), (7, None)]
+    d = spark.createDataFrame(docs, "id long, t string").coalesce(1)
+    got = K.token_chunks(d, "id", "t", load, 1000, 0, ".").collect()
+    with open(seen) as f:
+        assert max(map(int, f)) < 2_200_000
+    whole = {}
+    for r in got:
+        whole[r.id] = whole.get(r.id, 0) + len(r.chunk.replace(" ", ""))
+    assert whole[None] == 5 * 400_000 and whole[1 << 60] == 3 * 900_000 and whole[5] == 5000 and max(r.tokens for r in got) <= 1000
+    assert len(whole) == 602
+
+
+def test_ids_by_words():
+    """The ids of words with the space before them, also once they are kept, are those of the vocabulary for the whole text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.plans.text_queries import bpe_ids
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    r = random.Random(2)
+    signs = ["a", "b", " ", " ", " the", "  ", "\n", "\t", ".", "!", "é", "日本", "́", "\xa0", "　", "\x1c", "\x85", "\0", "12", "'s", "<|endoftext|>", "😀", "-", "x" * 50]
+    texts = ["", *("".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(3000))]
+    own = K.by_words(bpe_ids(), 50)
+    for encode in (bpe_ids(), own):
+        for xs in (texts, texts[:100], texts[:100]):
+            assert [list(x) for x in encode(xs)] == [x.ids for x in t.encode_batch(xs, add_special_tokens=False)]
+    asked = []
+    K.by_words(lambda ws: asked.extend(ws) or [[1] for _ in ws])(["a b a b a", "b a  c", " d"])
+    assert sorted(asked) == [" a", " a  c", " b", " d", "a", "b"]
